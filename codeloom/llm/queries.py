@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import mixing, packing, percentiles, pieces
+from codeloom.llm import credentials, mixing, packing, percentiles, pieces, provenance
 from codeloom.llm.tokens import VOCABULARY, n_tokens
 from codeloom.session import table
 
@@ -21,6 +21,23 @@ def query(fn):
     return fn
 
 
+# 1: provenance
+
+
+@query
+def p1_found(spark, d):
+    """Pushed rows that are not hand-written source."""
+    files = table(spark, d, "sync_files").select("sync_id", provenance.reason_column(F.col("path"), F.col("content")).alias("reason"))
+    return files.where("reason is not null").select("sync_id").distinct()
+
+
+@query
+def p1_reasons(spark, d):
+    """How many rows of each workspace come out, and why."""
+    files = table(spark, d, "sync_files").select("workspace_id", provenance.reason_column(F.col("path"), F.col("content")).alias("reason"))
+    return files.groupBy("workspace_id", F.coalesce("reason", F.lit("hand_written")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 # 2: percentiles
 
 
@@ -84,6 +101,26 @@ def p3_pieces(spark, d):
     return pieces.split_oversized(_oversized(spark, d), ["item_kind", "item_id"], "content", "max_chars", "overlap_chars")
 
 
+# 5: credentials
+
+
+def _texts(spark, d):
+    c = table(spark, d, "chunks").select(F.lit("chunk").alias("item_kind"), F.col("faiss_id").alias("item_id"), "content")
+    return c.unionByName(table(spark, d, "sync_files").select(F.lit("file").alias("item_kind"), F.col("sync_id").alias("item_id"), "content"))
+
+
+@query
+def p5_found(spark, d):
+    """Lines that hold a credential."""
+    return credentials.found_lines(_texts(spark, d), ["item_kind", "item_id"], "content").select("item_kind", "item_id", "line_no").distinct()
+
+
+@query
+def p5_masked(spark, d):
+    """All contents with their credentials masked."""
+    return _texts(spark, d).select("item_kind", "item_id", credentials.masked_column(F.col("content")).alias("content"))
+
+
 # 8: packing
 
 
