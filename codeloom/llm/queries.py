@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import credentials, mixing, packing, percentiles, pieces, provenance
+from codeloom.llm import credentials, mixing, packing, percentiles, pieces, provenance, truncation
 from codeloom.llm.tokens import VOCABULARY, n_tokens
 from codeloom.session import table
 
@@ -153,3 +153,23 @@ def p9_mixture(spark, d):
 def p9_shares(spark, d):
     """Target and reached shares per source."""
     return mixing.mixture(_sized(spark, d, "source"), table(spark, d, "mix_targets"), "doc_id", "source", "n_tokens")[1]
+
+
+# 10: truncation
+
+
+def _scored(spark, d):
+    return truncation.truncated(table(spark, d, "documents"), "doc_id", "text", "source")
+
+
+@query
+def p10_found(spark, d):
+    """Documents whose text was cut."""
+    return _scored(spark, d).where("is_cut").select("doc_id").distinct()
+
+
+@query
+def p10_rates(spark, d):
+    """How often each source's texts are cut, and how many of these stop at a length typical of the source."""
+    n, cut, lim = F.count("*").alias("n"), F.count_if("is_cut").alias("n_cut"), F.count_if("is_cut and at_limit").alias("n_cut_at_limit")
+    return _scored(spark, d).groupBy("source").agg(n, cut, lim).withColumn("rate", F.round(F.col("n_cut") / F.col("n"), 6))
