@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.operators import hierarchy
-from codeloom.session import table
+from codeloom.session import registry, table
 
 FLAGSHIP = "p4_found"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+QUERIES, SQL, query = registry()
 
 
 # Problem 4: parent-child links to hierarchies

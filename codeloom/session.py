@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,3 +88,40 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else unhinted (a shuffled join)."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    The archive is staged beside the driver only; Spark serves it to every executor.
+    """
+    global _shipped
+    sc = spark.sparkContext
+    if _shipped == sc.applicationId:
+        return
+    _shipped = sc.applicationId
+    base = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="codeloom-")) / "codeloom.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(base.rglob("*.py")):
+            z.write(p, p.relative_to(base.parent))
+    sc.addPyFile(str(target))
+
+
+_shipped: str | None = None
+
+
+def registry() -> tuple[dict, dict, Callable]:
+    """(queries, SQL, decorator) of a module of queries; a query ships the package before it runs."""
+    queries: dict[str, Callable] = {}
+
+    def query(fn):
+        def run(spark, sf_dir):
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        run.__doc__, run.__name__ = fn.__doc__, fn.__name__
+        queries[fn.__name__] = run
+        return fn
+
+    return queries, {}, query

@@ -8,8 +8,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    from codeloom.session import get_spark
+    from codeloom.session import get_spark, ship
 
     s = get_spark("tests", "4", 4)
+    ship(s)
     s.sparkContext.setLogLevel("ERROR")
     yield s
