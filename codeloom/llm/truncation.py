@@ -31,6 +31,8 @@ from codeloom.session import Scratch, bounded_broadcast
 
 DIMS = 1 << 14
 SAMPLE = 12_000
+#: Rounds of relabelling rows of the data, and parts that are scored by fits on the others.
+ROUNDS, FOLDS = 3, 3
 
 SIGN = re.compile(r"\s*(?:…|\.\.\.|\[(?:\.\.\.|…|more|cut|snip|truncated)\]|\((?:\+\d+ (?:chars|characters|more)|more|truncated|cut)\)|<(?:snip|truncated|cut)>|\[\+\d+[^\]]*\]|�+)\s*$", re.I)
 #: Closing words after which three dots end a sentence and are no sign of a cut.
@@ -273,7 +275,7 @@ def truncated(df: DataFrame, record_id: str, text: str, source: str, min_chars:
 
     @F.pandas_udf("array<string>")
     def cut(t: pd.Series, s: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([_cuts(x, int(z), 2, per_source.get(y, [])) for x, y, z in zip(t, s, k)])
+        return pd.Series([_cuts(x, int(z), copies, per_source.get(y, [])) for x, y, z in zip(t, s, k)])
 
     def with_words(x: DataFrame) -> DataFrame:
         x = x.withColumn("d", described("text", "source")).select(*[c for c in x.columns if c != "text"], F.col("d.word").alias("word"), F.col("d.base").alias("base"))
@@ -283,26 +285,35 @@ def truncated(df: DataFrame, record_id: str, text: str, source: str, min_chars:
     key = F.xxhash64(F.lit(seed), "text")
     total = live.count()
     share = min(1.0, 1.3 * sample / max(1, total))
+    copies = max(2, min(8, sample // max(1, total)))
     picked = live.withColumn("key", key).where(F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id")), F.lit(1_000_000)) < int(share * 1_000_000)).limit(int(1.5 * sample))
     picked = scratch.write(picked)
     own = picked.select("source", "n", "text", F.lit(0).alias("y"))
     made = picked.select("source", F.explode(cut("text", "source", "key")).alias("text")).withColumn("n", F.length("text")).select("source", "n", "text", F.lit(1).alias("y"))
-    rows = with_words(own.unionByName(made)).select("base", *STATS, "at_limit", "y").collect()  # at most 4.5 x sample rows
+    rows = with_words(own.unionByName(made)).select("base", *STATS, "at_limit", "y").collect()  # at most 9 x sample rows, of short lists
     if not rows:
         return docs.limit(0).select(F.col("id").alias(record_id), F.col("source").alias(source), F.lit(0.0).alias("probability"), F.lit(False).alias("is_cut"), F.lit(False).alias("at_limit"))
     y = np.array([r["y"] for r in rows], dtype=float)
     feats = [hashed(categories(r["base"], tuple(r[c] for c in STATS), 1 - r["y"], r["at_limit"]), dims) for r in rows]
     lim = np.array([r["at_limit"] for r in rows])
     pos, own = y == 1, y == 0
-    # rows of the data may be cut themselves: a first fit leaves out those at a limit, the next ones take as whole
-    # what the fit before held for whole and add what it held for cut with near certainty
+    # rows of the data may be cut themselves: the first fits leave out those at a limit, the next ones take as
+    # whole what fits on the other rows held for whole, and add what these held for cut with near certainty
     whole, cut_too = own & ~lim, np.zeros(len(rows), dtype=bool)
-    w = np.zeros(dims)
-    for _ in range(4):
+    fold = np.arange(len(rows)) % FOLDS
+
+    def fitted(use: np.ndarray, epochs: int) -> np.ndarray:
+        at = np.flatnonzero(use & (pos | whole | cut_too))
         weight = np.where(pos, 0.7 * cut_share / max(1, pos.sum()), 0) + np.where(cut_too, 0.3 * cut_share / max(1, cut_too.sum()), 0) + np.where(whole, (1 - cut_share) / max(1, whole.sum()), 0)
-        w = fit(feats, np.where(pos | cut_too, 1.0, 0.0), weight * len(rows), dims)
-        p = score(feats, w)
-        whole, cut_too = own & (p < 0.3), own & (p > 0.9)
+        return fit([feats[i] for i in at], (pos | cut_too)[at].astype(float), weight[at] * len(rows), dims, epochs)
+
+    for _ in range(ROUNDS):
+        p = np.zeros(len(rows))
+        for k in range(FOLDS):
+            part = np.flatnonzero(fold == k)
+            p[part] = score([feats[i] for i in part], fitted(fold != k, 120))
+        whole, cut_too = own & (p < 0.4), own & (p > 0.9)
+    w = fitted(np.ones(len(rows), dtype=bool), 300)
 
     @F.pandas_udf("double")
     def scored(base: pd.Series, stats: pd.DataFrame, at: pd.Series) -> pd.Series:
