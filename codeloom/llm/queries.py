@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.llm import credentials, mixing, packing, percentiles, pieces, provenance, truncation
+from codeloom.llm import credentials, mixing, packing, parsing, percentiles, pieces, provenance, truncation
 from codeloom.llm.tokens import VOCABULARY, n_tokens
 from codeloom.session import registry, table
 
@@ -112,6 +112,31 @@ def p5_masked(spark, d):
     return _texts(spark, d).select("item_kind", "item_id", credentials.masked_column(F.col("content")).alias("content"))
 
 
+# 6: parsing
+
+
+def _checked(spark, d):
+    return parsing.checked(table(spark, d, "sync_files"), table(spark, d, "files"), ["sync_id"], ["workspace_id", "path"])
+
+
+@query
+def p6_found(spark, d):
+    """Pushed rows that do not parse in their language."""
+    return _checked(spark, d).where("not valid").select("sync_id").distinct()
+
+
+@query
+def p6_errors(spark, d):
+    """The first error of every row that does not parse."""
+    return _checked(spark, d).where("not valid").select("sync_id", "workspace_id", "path", "language", "error_line")
+
+
+@query
+def p6_rates(spark, d):
+    """Share of invalid rows per workspace and language."""
+    return parsing.rates(_checked(spark, d), "workspace_id")
+
+
 # 8: packing
 
 
