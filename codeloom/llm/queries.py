@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.llm import credentials, mixing, packing, parsing, percentiles, pieces, provenance, truncation
+from codeloom.llm import credentials, mixing, packing, parsing, percentiles, pieces, provenance, similar, truncation
 from codeloom.llm.tokens import VOCABULARY, n_tokens
 from codeloom.session import registry, table
 
@@ -137,6 +137,38 @@ def p6_rates(spark, d):
     return parsing.rates(_checked(spark, d), "workspace_id")
 
 
+# 7: similar vectors
+
+VECTORS = (("chunk", "chunks", "faiss_id", "embedding"), ("memory", "memories", "id", "embedding_vector"))
+
+
+def _each(spark, d, fn):
+    out = None
+    for kind, name, row_id, vector in VECTORS:
+        part = fn(table(spark, d, name), row_id, vector)
+        part = part.select(F.lit(kind).alias("item_kind"), *part.columns)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def p7_found(spark, d):
+    """Pairs of rows whose vectors have a cosine similarity of at least 0.95."""
+    return _each(spark, d, lambda t, i, v: similar.near_pairs(t, i, v, 0.95)).select("item_kind", "id_a", "id_b").distinct()
+
+
+@query
+def p7_neighbours(spark, d):
+    """The ten most similar rows of every row whose id is divisible by 100."""
+    return _each(spark, d, lambda t, i, v: similar.neighbours(t, i, v, 10, "id % 100 = 0"))
+
+
+@query
+def p7_recall(spark, d):
+    """How much of the true ten most similar vectors the search finds for these rows."""
+    return _each(spark, d, lambda t, i, v: similar.recall(t, i, v, 10, "id % 100 = 0"))
+
+
 # 8: packing
 
 
