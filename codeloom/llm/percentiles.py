@@ -132,6 +132,8 @@ def from_sketch(sk: DataFrame, groups: list[str], ps: list[float], bits: int = 2
     shift = 64 - bits
     first = F.shiftleft("bin", shift)
     h = h.withColumn("low", ordered_value(first)).withColumn("high", ordered_value(first.bitwiseOR(F.lit((1 << shift) - 1))))
+    # the bins of the infinities reach into the codes of NaN
+    h = h.withColumn("high", F.coalesce(F.nanvl("high", "low"), "low")).withColumn("low", F.coalesce(F.nanvl("low", "high"), "high"))
     return h.select(*groups, "p", F.col("total").alias("n"), ((F.col("low") + F.col("high")) / 2).alias("value"), "low", "high")
 
 
