@@ -4,10 +4,12 @@ from __future__ import annotations
 
 
 from codeloom.operators import hierarchy
-from codeloom.session import registry, table
+from codeloom.plans import analytics, retrieval  # noqa: F401
+from codeloom.plans.base import QUERIES, SQL, query
+from codeloom.session import table
 
-FLAGSHIP = "p4_found"
-QUERIES, SQL, query = registry()
+FLAGSHIP = "grep_lines"
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
 
 
 # Problem 4: parent-child links to hierarchies
