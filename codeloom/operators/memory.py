@@ -72,14 +72,15 @@ def stats(df: DataFrame, as_of: str) -> DataFrame:
     """(section, key, n) in one pass: totals, by category and importance, of the last week, verified, archived."""
     active = F.col("status") == "active"
     recent = active & (F.col("created_at") >= F.lit(as_of).cast("timestamp") - F.expr("interval 7 days"))
+
+    def pair(when: Column, section: str, key: Column) -> Column:
+        return F.when(when, F.struct(F.lit(section).alias("section"), key.alias("key")))
+
+    none = F.lit("")
     pairs = F.array(
-        F.when(active, F.struct(F.lit("total").alias("section"), F.lit("").alias("key"))),
-        F.when(active, F.struct(F.lit("category"), F.coalesce("category", F.lit("")))),
-        F.when(active, F.struct(F.lit("importance"), F.coalesce(F.col("importance").cast("string"), F.lit("")))),
-        F.when(recent, F.struct(F.lit("recent"), F.lit(""))),
-        F.when(active & F.col("verified"), F.struct(F.lit("verified"), F.lit(""))),
-        F.when(F.col("status") == "archived", F.struct(F.lit("archived"), F.lit(""))),
-    )
+        pair(active, "total", none), pair(active, "category", F.coalesce("category", none)), pair(active, "importance", F.coalesce(F.col("importance").cast("string"), none)),
+        pair(recent, "recent", none), pair(active & F.col("verified"), "verified", none), pair(F.col("status") == "archived", "archived", none),
+    )
     return df.select(F.explode(F.filter(pairs, lambda p: p.isNotNull())).alias("p")).groupBy("p.section", "p.key").agg(F.count("*").alias("n"))
 
 

@@ -313,12 +313,13 @@ SQL["memory_update"] = "WITH u AS (SELECT id, category, CASE WHEN importance = 1
 
 def _commits(spark, d):
     f = table(spark, d, "sync_files")
-    day = F.date_format("received_at", "yyyy-MM-dd")
-    g = f.where("client_id is not null").groupBy("workspace_id", "client_id", day.alias("day"))
-    return g.agg(F.max("received_at").alias("at"), F.sort_array(F.collect_set("path")).alias("files"), F.array_join(F.sort_array(F.collect_set("path")), " ").alias("message")).select(F.concat_ws("/", "workspace_id", "client_id", "day").alias("hash"), F.col("client_id").alias("author"), "at", "message", "files")
+    g = f.groupBy("workspace_id", F.date_format("received_at", "yyyy-MM").alias("month"))
+    paths = F.sort_array(F.collect_set("path"))
+    g = g.agg(F.min(F.coalesce("client_id", F.lit(""))).alias("author"), F.max("received_at").alias("at"), paths.alias("files"))
+    return g.select(F.concat_ws("/", "workspace_id", "month").alias("hash"), "author", "at", F.array_join("files", " ").alias("message"), "files")
 
 
-_COMMITS = "c AS (SELECT workspace_id || '/' || client_id || '/' || strftime(received_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS hash, client_id AS author, max(received_at) AS at, list_sort(list(DISTINCT path)) AS files, array_to_string(list_sort(list(DISTINCT path)), ' ') AS message FROM sync_files WHERE client_id IS NOT NULL GROUP BY 1, 2)"
+_COMMITS = "c AS (SELECT workspace_id || '/' || strftime(received_at AT TIME ZONE 'UTC', '%Y-%m') AS hash, min(coalesce(client_id, '')) AS author, max(received_at) AS last_at, list_sort(list(DISTINCT path)) AS files, array_to_string(list_sort(list(DISTINCT path)), ' ') AS message FROM sync_files GROUP BY 1)"
 
 
 def _words(ws, text):
@@ -369,7 +370,7 @@ def file_history(spark, d):
 
 
 SQL["file_history"] = f"""WITH {_COMMITS}, k AS (SELECT *, {_words(history.DEFENSIVE, 'message')} AS df, {_words(history.HARDENING, 'message')} AS hd FROM c),
-x AS (SELECT unnest(files) AS file, author, at, df, hd FROM k), g AS (SELECT file, count(*) AS commits, count(DISTINCT author) AS authors, min(at) AS f, max(at) AS l, count(*) FILTER (df) AS defensive, count(*) FILTER (hd) AS hardening FROM x GROUP BY file),
+x AS (SELECT unnest(files) AS file, author, last_at, df, hd FROM k), g AS (SELECT file, count(*) AS commits, count(DISTINCT author) AS authors, min(last_at) AS f, max(last_at) AS l, count(*) FILTER (df) AS defensive, count(*) FILTER (hd) AS hardening FROM x GROUP BY file),
 r AS (SELECT *, greatest(0, CAST(floor((floor(epoch(l)) - floor(epoch(f))) / 86400) AS BIGINT)) AS days_active, greatest(0, floor((epoch(TIMESTAMPTZ '{AS_OF}+00') - floor(epoch(l))) / 86400)) AS age FROM g),
 s AS (SELECT *, round(0.30 * defensive / commits + 0.20 * hardening / commits + 0.20 * least(1.0, commits / 50.0) + 0.15 * least(1.0, authors / 10.0) + 0.15 * exp(-age / 90.0), 4)::DOUBLE AS risk FROM r)
 SELECT file, commits, authors, defensive, hardening, days_active, risk, CASE WHEN risk >= 0.6 THEN 'high' WHEN risk >= 0.3 THEN 'medium' ELSE 'low' END AS level FROM s"""

@@ -169,13 +169,14 @@ ORDER BY score DESC, name = 'Cursor' DESC, kind = 'class' DESC, lower(name), pat
 def symbol_fuzzy(spark, d):
     """Tiers and edit similarity over chunk symbols."""
     c = table(spark, d, "chunks").select("faiss_id", F.get_json_object("metadata", "$.symbol_name").alias("name")).where("name is not null")
-    s = c.withColumn("score", F.round(symbols.fuzzy_score(F.col("name"), "refresh_origin_offset"), 6)).where("score >= 0.5")
+    first = c.orderBy("faiss_id").first()
+    s = c.withColumn("score", F.round(symbols.fuzzy_score(F.col("name"), first["name"] if first else ""), 6)).where("score >= 0.5")
     return s.orderBy(F.desc("score"), "name", "faiss_id").limit(50)
 
 
-SQL["symbol_fuzzy"] = f"""WITH c AS (SELECT faiss_id, json_extract_string(metadata, '$.symbol_name') AS name FROM chunks),
-s AS (SELECT *, 100.0 * (1 - levenshtein(lower(name), 'refresh_origin_offset')::DOUBLE / greatest(length(name), 21)) AS ratio FROM c WHERE name IS NOT NULL),
-t AS (SELECT faiss_id, name, round(coalesce({_TIER.format(q='refresh_origin_offset')}, CASE WHEN ratio >= 60 THEN least(0.95, 0.5 + (ratio - 60) / 100) END)::DOUBLE, 6) AS score FROM s)
+SQL["symbol_fuzzy"] = """WITH c AS (SELECT faiss_id, json_extract_string(metadata, '$.symbol_name') AS name FROM chunks), n AS (SELECT * FROM c WHERE name IS NOT NULL), q AS (SELECT lower(trim(name)) AS q FROM n ORDER BY faiss_id LIMIT 1),
+s AS (SELECT n.*, q, 100.0 * (1 - levenshtein(lower(name), q)::DOUBLE / greatest(length(name), length(q))) AS ratio FROM n, q),
+t AS (SELECT faiss_id, name, round(CASE WHEN lower(name) = q THEN 1.0 WHEN starts_with(lower(name), q) THEN 0.9 WHEN instr(lower(name), q) > 0 THEN 0.7 WHEN ratio >= 60 THEN least(0.95, 0.5 + (ratio - 60) / 100) END::DOUBLE, 6) AS score FROM s)
 SELECT * FROM t WHERE score >= 0.5 ORDER BY score DESC, name, faiss_id LIMIT 50"""
 
 
