@@ -7,6 +7,7 @@ come before the limit. Scores are rounded to six digits and ties are ordered by
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,12 +17,16 @@ from codeloom.functions import text as T
 
 def topk(df: DataFrame, row_id: str, vector: str, query: list[float], k: int, where: Column | None = None) -> DataFrame:
     """``df``'s k best rows with ``score``. The query is a literal, so no join is needed."""
-    q = F.array(*[F.lit(float(x)) for x in query])
     n = sum(x * x for x in query) ** 0.5
+    if not n:
+        return df.limit(0).withColumn("score", F.lit(0.0))
     rows = df if where is None else df.where(where)
-    rows = rows.where(F.size(vector) == len(query)).withColumn("_u", T.unit_vector(vector)).where("_u is not null")
-    score = F.round(T.dot(F.col("_u"), q) / F.lit(n), 6) if n else F.lit(None).cast("double")
-    return rows.withColumn("score", score).where("score is not null").drop("_u").orderBy(F.desc("score"), row_id).limit(k)
+    # element by element, so that the sum stays in generated code
+    e = [F.col(vector)[i].cast("double") for i in range(len(query))]
+    dot = reduce(lambda a, b: a + b, [x * F.lit(float(q)) for x, q in zip(e, query)])
+    size = F.sqrt(reduce(lambda a, b: a + b, [x * x for x in e]))
+    rows = rows.where(F.size(vector) == len(query)).withColumn("score", F.when(size > 0, F.round(dot / (size * F.lit(n)), 6)))
+    return rows.where("score is not null and not isnan(score)").orderBy(F.desc("score"), row_id).limit(k)
 
 
 def keyword(df: DataFrame, row_id: str, text: str, query: str, k: int) -> DataFrame:

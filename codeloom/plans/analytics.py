@@ -226,7 +226,8 @@ FROM m LEFT JOIN tt ON tt.fp = m.fp LEFT JOIN ff ON ff.fp = m.fp GROUP BY m.fp""
 @query
 def memory_rank(spark, d):
     """Hybrid ranking with a vector."""
-    q = [float(x) for x in table(spark, d, "memories").where("id = 1").select("embedding_vector").first()[0]]
+    row = table(spark, d, "memories").where("id = 1").select("embedding_vector").first()
+    q = [float(x) for x in row[0]] if row and row[0] else None
     return memory.rank(memory.select(table(spark, d, "memories")), "shard index task", q, limit=20)
 
 

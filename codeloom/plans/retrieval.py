@@ -213,7 +213,7 @@ def call_extract(spark, d):
 
 def _query_vector(spark, d):
     row = table(spark, d, "chunks").where("faiss_id = 1").select("embedding").first()
-    return [float(x) for x in row[0]]
+    return [float(x) for x in row[0]] if row and row[0] else [0.0] * 64
 
 
 _COS = """u AS (SELECT faiss_id, chunk_id, chunk_type, file_path, content, CAST(embedding AS DOUBLE[]) AS e FROM chunks WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: x * x)) > 0),
