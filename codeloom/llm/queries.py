@@ -219,5 +219,5 @@ def p10_found(spark, d):
 @query
 def p10_rates(spark, d):
     """How often each source's texts are cut, and how many of these stop at a length typical of the source."""
-    n, cut, lim = F.count("*").alias("n"), F.count_if("is_cut").alias("n_cut"), F.count_if("is_cut and at_limit").alias("n_cut_at_limit")
+    n, cut, lim = F.count("*").alias("n"), F.count_if("is_cut").alias("n_cut"), F.count_if(F.col("is_cut") & F.col("at_limit")).alias("n_cut_at_limit")
     return _scored(spark, d).groupBy("source").agg(n, cut, lim).withColumn("rate", F.round(F.col("n_cut") / F.col("n"), 6))
