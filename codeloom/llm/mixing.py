@@ -5,8 +5,9 @@ epochs of the source plus, of one more epoch, the records up to the budget in ke
 cuts there is taken in two steps: sums per (source, bucket of the key) and their prefix sums, then the running
 sum within a bucket, so that no source, however large, lies in one task.
 
-The mixture's size is ``total`` if given, else the greatest at which every source can give its share within its
-repeats. A source that cannot is used as often as allowed, and the shares reached are reported.
+The mixture's size is ``total`` if given; else, by ``extent``, that of all records of the sources ("all"), or the greatest
+at which every source can give its share within its repeats ("exact"). A source that cannot give its share is used as
+often as allowed, and the shares reached are reported.
 
 Defined results
 - Sources without a target, and null ones, take no part. Shares of sources without any token are spread over the
@@ -24,18 +25,20 @@ from pyspark.sql import functions as F
 from codeloom.session import Scratch
 
 
-def plan_budgets(sources: list[dict], total: float | None) -> tuple[dict[str, float], float]:
+def plan_budgets(sources: list[dict], total: float | None, extent: str = "all") -> tuple[dict[str, float], float]:
     """Tokens wanted per source and the mixture's size, from (source, share, repeats, tokens) of each."""
     live = [s for s in sources if s["tokens"] > 0 and s["share"] > 0]
     if not live:
         return {}, 0.0
     weight = sum(s["share"] for s in live)
-    if total is None:
+    if total is None and extent == "all":
+        total = float(sum(s["tokens"] for s in live))
+    elif total is None:
         total = min(s["tokens"] * s["repeats"] * weight / s["share"] for s in live)
     return {s["source"]: min(total * s["share"] / weight, s["tokens"] * s["repeats"]) for s in live}, total
 
 
-def mixture(sized: DataFrame, targets: DataFrame, record_id: str, source: str, size: str, total: float | None = None, seed: int = 7, buckets: int = 256) -> tuple[DataFrame, DataFrame]:
+def mixture(sized: DataFrame, targets: DataFrame, record_id: str, source: str, size: str, total: float | None = None, extent: str = "all", seed: int = 7, buckets: int = 256) -> tuple[DataFrame, DataFrame]:
     """(records: record_id, source, n_tokens, copies; report: one row per target source)."""
     spark = sized.sparkSession
     scratch = Scratch(spark)
@@ -47,7 +50,7 @@ def mixture(sized: DataFrame, targets: DataFrame, record_id: str, source: str, s
     sums = scratch.write(docs.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")))
     stats = want.join(sums.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("n").alias("n")), "source", "left").collect()
     rows = [{"source": r["source"], "share": float(r["share"] or 0), "repeats": int(r["repeats"]), "tokens": int(r["tokens"] or 0), "n": int(r["n"] or 0)} for r in stats]
-    budgets, whole = plan_budgets(rows, total)
+    budgets, _ = plan_budgets(rows, total, extent)
     cuts = []
     for r in rows:
         b = budgets.get(r["source"], 0.0)

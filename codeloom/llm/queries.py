@@ -193,7 +193,7 @@ def p8_unused(spark, d):
 
 @query
 def p9_mixture(spark, d):
-    """The records of the mixture with the number of times each is used."""
+    """The records of a mixture as large as all records, with the number of times each is used."""
     return mixing.mixture(_sized(spark, d, "source"), table(spark, d, "mix_targets"), "doc_id", "source", "n_tokens")[0]
 
 
@@ -203,6 +203,12 @@ def p9_shares(spark, d):
     return mixing.mixture(_sized(spark, d, "source"), table(spark, d, "mix_targets"), "doc_id", "source", "n_tokens")[1]
 
 
+@query
+def p9_exact_shares(spark, d):
+    """The same for the greatest mixture in which every source can give its share."""
+    return mixing.mixture(_sized(spark, d, "source"), table(spark, d, "mix_targets"), "doc_id", "source", "n_tokens", extent="exact")[1]
+
+
 # 10: truncation
 
 

@@ -14,7 +14,7 @@ def frames(spark):
 @pytest.mark.parametrize("buckets", [1, 16])
 def test_shares_as_near_as_repeats_allow(spark, buckets):
     docs, targets = frames(spark)
-    rows, report = mixture(docs, targets, "doc_id", "source", "n_tokens", buckets=buckets)
+    rows, report = mixture(docs, targets, "doc_id", "source", "n_tokens", extent="exact", buckets=buckets)
     rep = {r.source: r for r in report.collect()}
     assert rep["small"].tokens_used == 20 * 7 * 3 and rep["small"].most_copies == 3
     assert abs(rep["big"].share_reached - 0.75) < 0.01 and abs(rep["big"].tokens_used - 1260) <= 5
@@ -32,6 +32,13 @@ def test_given_total_and_repeats(spark):
     assert rep["big"].tokens_used == 3000 and rep["small"].tokens_used == 420
 
 
+def test_as_large_as_all_records(spark):
+    docs, targets = frames(spark)
+    _, report = mixture(docs, targets, "doc_id", "source", "n_tokens")
+    rep = {r.source: r for r in report.collect()}
+    assert rep["big"].budget == 7605.0 and abs(rep["big"].tokens_used - 7605) <= 5 and rep["small"].tokens_used == 420 and rep["small"].most_copies == 3
+
+
 def test_edges(spark):
     docs, targets = frames(spark)
     assert mixture(docs.limit(0), targets, "doc_id", "source", "n_tokens")[0].count() == 0
