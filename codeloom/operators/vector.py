@@ -22,7 +22,7 @@ def topk(df: DataFrame, row_id: str, vector: str, query: list[float], k: int, wh
         return df.limit(0).withColumn("score", F.lit(0.0))
     rows = df if where is None else df.where(where)
     # element by element, so that the sum stays in generated code
-    e = [F.col(vector)[i].cast("double") for i in range(len(query))]
+    e = [F.get(vector, F.lit(i)).cast("double") for i in range(len(query))]
     dot = reduce(lambda a, b: a + b, [x * F.lit(float(q)) for x, q in zip(e, query)])
     size = F.sqrt(reduce(lambda a, b: a + b, [x * x for x in e]))
     rows = rows.where(F.size(vector) == len(query)).withColumn("score", F.when(size > 0, F.round(dot / (size * F.lit(n)), 6)))
