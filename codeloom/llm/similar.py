@@ -239,14 +239,16 @@ def brute_force(points: DataFrame, queries: list[tuple[int, bytes]], k: int, dim
         for pdf in batches:
             if not len(pdf) or not len(qid):
                 continue
-            s = qx @ matrix(pdf["v"], dim).T
-            m = min(k, s.shape[1])
-            top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            ids = np.concatenate([ids, pdf["id"].to_numpy()[top]], 1)
-            sims = np.concatenate([sims, np.take_along_axis(s, top, 1)], 1)
-            if sims.shape[1] > k:
-                top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-                ids, sims = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
+            x, at = matrix(pdf["v"], dim), pdf["id"].to_numpy()
+            for i in range(0, len(x), 512):  # a slice of similarities stays small whatever the number of queries
+                s = qx @ x[i : i + 512].T
+                m = min(k, s.shape[1])
+                top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+                ids = np.concatenate([ids, at[i : i + 512][top]], 1)
+                sims = np.concatenate([sims, np.take_along_axis(s, top, 1)], 1)
+                if sims.shape[1] > k:
+                    top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+                    ids, sims = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
         if sims.shape[1]:
             yield pd.DataFrame({"q": np.repeat(qid, sims.shape[1]), "rep": ids.ravel(), "s": sims.ravel().astype("float64")})
 
