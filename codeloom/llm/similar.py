@@ -4,8 +4,8 @@ Vectors become unit vectors; exact copies are one point with its members. Centre
 bounded sample; every point goes to the shard of its nearest centre and of those nearly as near (``margin``). Each
 shard's graph (see ``vamana``) is built in one task; a shard with more than ``max_points`` points is split by hash of
 the id, and its points then also search the other splits. ``near_pairs`` takes the pairs that insertions and searches
-meet above a threshold; a point whose whole beam is above it is compared with all points of the shard, so there is no
-cap on partners. ``neighbours`` searches the ``probes`` nearest shards of each query and merges.
+meet above a threshold; a point that meets several is compared with all points of the shard, so there is no cap on
+partners. ``neighbours`` searches the ``probes`` nearest shards of each query and merges.
 
 Loss of accuracy. ``recall`` measures it against brute force over all rows; see the README for figures.
 
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.vamana import NONE, Graph, centroids
+from codeloom.llm.vamana import DENSE, NONE, Graph, centroids
 from codeloom.session import Scratch, bounded_broadcast
 
 SAMPLE = 20_000
@@ -122,12 +122,12 @@ def _cells(kept: DataFrame, asking: DataFrame | None, parts: DataFrame) -> DataF
 
 
 def _near(g: Graph, q: np.ndarray, beam: int, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, point, similarity) above a threshold; a full beam leads to a comparison with all points."""
+    """(query, point, similarity) above a threshold; several near points lead to a comparison with all."""
     out = []
     for at in range(0, len(q), g.batch):
         part = q[at : at + g.batch]
         ids, sims = g.search(part, min(beam, g.n))
-        full = ((sims >= near) & (ids != NONE)).all(1)
+        full = ((sims >= near) & (ids != NONE)).sum(1) >= min(DENSE, sims.shape[1])
         i, j = np.nonzero((sims >= near) & (ids != NONE) & ~full[:, None])
         out.append((i + at, ids[i, j], sims[i, j]))
         for i in np.flatnonzero(full):

@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 NONE = -1
+#: So many near points around one make its neighbourhood too dense for pruned edges to reach all of it.
+DENSE = 6
 
 
 class Graph:
@@ -25,7 +27,7 @@ class Graph:
 
     def build(self, near: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Insert all points. With ``near``: (a, b, similarity) of the pairs at least that similar which the
-        insertions met; a point whose whole beam is that near is compared with every point before it."""
+        insertions met; a point that meets ``DENSE`` of them is compared with every point before it."""
         got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         at = 0
         while at < self.n:
@@ -44,7 +46,7 @@ class Graph:
                 keep = i < j
                 got.append((new[i[keep]], new[j[keep]], own[i[keep], j[keep]]))
                 if ids.shape[1]:
-                    full = (sims >= near).all(1) & (ids != NONE).all(1)
+                    full = ((sims >= near) & (ids != NONE)).sum(1) >= min(DENSE, self.beam)
                     i, j = np.nonzero((sims >= near) & (ids != NONE) & ~full[:, None])
                     got.append((new[i], ids[i, j], sims[i, j]))
                     for i in np.flatnonzero(full):

@@ -55,7 +55,7 @@ def test_neighbours_and_recall(spark):
 
 
 def test_edges(spark):
-    df = frame(spark, data(30)[:3]).limit(0)
+    df = frame(spark, data(100)).limit(0)
     assert near_pairs(df, "id", "vec", 0.9).count() == 0
     assert neighbours(df, "id", "vec", 3, "id % 1 = 0").count() == 0
     one = spark.createDataFrame([(1, [1.0] * 64), (2, [2.0] * 64)], "id long, vec array<float>")
