@@ -213,7 +213,7 @@ def _found(u: DataFrame, queries: DataFrame, k: int, dim: int, shard: int, sampl
     return cells.groupBy("shard", "part").applyInPandas(run, "q long, rep long, s double").groupBy("q", "rep").agg(F.max("s").alias("s")), classes
 
 
-def neighbours(df: DataFrame, row_id: str, vector: str, k: int, queries: str, dim: int = 64, shard: int = SHARD, sample: int = SAMPLE, margin: float = 0.06, max_points: int = 20_000, probes: int = 6, beam: int = 64) -> DataFrame:
+def neighbours(df: DataFrame, row_id: str, vector: str, k: int, queries: str, dim: int = 64, shard: int = SHARD, sample: int = SAMPLE, margin: float = 0.06, max_points: int = 20_000, probes: int = 8, beam: int = 64) -> DataFrame:
     """(id, rank, neighbour, similarity): the k most similar rows of each row that ``queries`` (SQL on id) selects."""
     scratch = Scratch(df.sparkSession)
     u = scratch.write(units(df, row_id, vector, dim).distinct())
@@ -261,7 +261,7 @@ def recall(df: DataFrame, row_id: str, vector: str, k: int, queries: str, dim: i
     scratch = Scratch(df.sparkSession)
     u = scratch.write(units(df, row_id, vector, dim).distinct())
     asks = u.where(queries)
-    o = {"shard": SHARD, "sample": SAMPLE, "margin": 0.06, "max_points": 20_000, "probes": 6, "beam": 64} | options
+    o = {"shard": SHARD, "sample": SAMPLE, "margin": 0.06, "max_points": 20_000, "probes": 8, "beam": 64} | options
     hits, classes = _found(u, asks, k, dim, o["shard"], o["sample"], o["margin"], o["max_points"], o["probes"], o["beam"], scratch)
     hits = scratch.write(hits.withColumn("r", F.expr("row_number() over (partition by q order by s desc, rep)")).where(F.col("r") <= k))
     n = asks.count()
