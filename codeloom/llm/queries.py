@@ -54,6 +54,9 @@ def p2_percentiles_by_call(spark, d):
     return percentiles.exact_percentiles(calls, ["provider", "model"], "duration_ms", PERCENTILES)
 
 
+SQL["p2_percentiles_by_call"] = _RANKED.format(keys="provider, model", source="(SELECT * FROM call_records QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY received_at DESC NULLS LAST) = 1)")
+
+
 @query
 def p2_daily_sketch(spark, d):
     """Mergeable sketches per day of call."""
@@ -157,6 +160,15 @@ def p7_found(spark, d):
     return _each(spark, d, lambda t, i, v: similar.near_pairs(t, i, v, 0.95)).select("item_kind", "id_a", "id_b").distinct()
 
 
+def _pairs_sql(kind, name, row_id, vector):
+    unit = f"SELECT {row_id} AS id, CAST({vector} AS DOUBLE[]) AS v FROM {name} WHERE len({vector}) = 64"
+    return f"""SELECT DISTINCT '{kind}' AS item_kind, a.id AS id_a, b.id AS id_b FROM (SELECT id, list_transform(v, lambda x: x / n) AS u FROM (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM ({unit})) WHERE n > 0) a
+JOIN (SELECT id, list_transform(v, lambda x: x / n) AS u FROM (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM ({unit})) WHERE n > 0) b ON a.id < b.id WHERE list_inner_product(a.u, b.u) >= 0.95"""
+
+
+SQL["p7_found"] = " UNION ALL ".join(_pairs_sql(*x) for x in VECTORS)
+
+
 @query
 def p7_neighbours(spark, d):
     """The ten most similar rows of every row whose id is divisible by 100."""
