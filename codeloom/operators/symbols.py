@@ -32,8 +32,8 @@ def search(syms: DataFrame, query: str, path: str, kind: str | None = None, fuzz
     rows = syms.withColumn("score", tier("name", query)).where(F.col("score") >= (min_score if fuzzy else max(min_score, 0.9)))
     if kind:
         rows = rows.where(F.col("kind") == kind)
-    best = rows.agg(F.max("score").alias("_best"))
-    rows = rows.join(F.broadcast(best), (F.col("_best") < 1.0) | (F.col("score") == 1.0)).drop("_best")  # one row
+    if rows.where(F.col("score") == 1.0).take(1):
+        rows = rows.where(F.col("score") == 1.0)
     rank = [F.desc("score"), F.desc(F.col("name") == query.strip()), F.desc(F.col("kind") == "class"), F.lower("name"), path, "line_start"]
     return rows.orderBy(*rank).limit(limit)
 

@@ -13,8 +13,15 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as T
 
 
-def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The row of greatest ``order`` per key (nulls of ``order`` are least)."""
+def latest(df: DataFrame, keys: list[str], order: list[str], unique: str | None = None) -> DataFrame:
+    """The row of greatest ``order`` per key (nulls of ``order`` are least).
+
+    With a ``unique`` column, also the last of ``order``, only narrow columns are aggregated and the rows come back by a
+    semi-join on it, so unused wide columns are never read.
+    """
+    if unique is not None:
+        greatest = F.max(F.struct(*[x for c in order for x in (F.col(c).isNotNull().alias(f"_{c}"), F.col(c).alias(c))]))
+        return df.join(df.groupBy(*keys).agg(greatest.alias("_w")).select(F.col("_w")[unique].alias(unique)), unique, "left_semi")
     rest = [c for c in df.columns if c not in keys]
     best = F.max_by(F.struct(*rest), F.struct(*[x for c in order for x in (F.col(c).isNotNull(), F.col(c))]))
     return df.groupBy(*keys).agg(best.alias("_r")).select(*[F.col(c) if c in keys else F.col("_r")[c].alias(c) for c in df.columns])

@@ -22,7 +22,7 @@ KEYS = ["workspace_id", "path"]
 
 def snapshot(spark, d):
     """The newest version of every pushed file."""
-    return text.latest(table(spark, d, "sync_files"), KEYS, ["revision", "sync_id"])
+    return text.latest(table(spark, d, "sync_files"), KEYS, ["revision", "sync_id"], "sync_id")
 
 
 def file_lines(spark, d):

@@ -148,3 +148,9 @@ def test_chunks(spark):
     got = transform.symbol_chunks(df, ["path"], "path", "content").orderBy("path", "start", F.desc("chunk_type")).collect()
     assert [(r.path, r.chunk_type, r.name, r.start, r.stop) for r in got] == [("a.py", "file_overview", "", 1, 7), ("a.py", "class", "A", 2, 2), ("a.py", "function", "f", 3, 4), ("a.py", "function", "g", 5, 7), ("b.txt", "file", "", 1, 2)]
     assert got[0].chunk_id == "a.py:file_overview::1:0"
+
+
+def test_latest(spark):
+    df = spark.createDataFrame([("a", 1, 1, "x"), ("a", 2, 2, "y"), ("a", 2, 3, "z"), (None, None, 4, "n"), ("b", None, 5, "q"), ("b", 0, 6, "r")], "k string, rev long, id long, t string")
+    want = [("n",), ("r",), ("z",)]
+    assert rows(text.latest(df, ["k"], ["rev", "id"]).select("t")) == want == rows(text.latest(df, ["k"], ["rev", "id"], "id").select("t"))
