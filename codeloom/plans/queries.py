@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 from codeloom.operators import hierarchy
-from codeloom.plans import analytics, operations, retrieval  # noqa: F401
+from codeloom.plans import analytics, contexts, operations, retrieval  # noqa: F401
 from codeloom.plans.base import QUERIES, SQL, query
 from codeloom.session import table
 
