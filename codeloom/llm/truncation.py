@@ -294,15 +294,17 @@ def truncated(df: DataFrame, record_id: str, text: str, source: str, min_chars:
     if not rows:
         return docs.limit(0).select(F.col("id").alias(record_id), F.col("source").alias(source), F.lit(0.0).alias("probability"), F.lit(False).alias("is_cut"), F.lit(False).alias("at_limit"))
     y = np.array([r["y"] for r in rows], dtype=float)
-    feats = [hashed(categories(r["base"], tuple(r[c] for c in STATS), 1 - r["y"], r["at_limit"]), dims) for r in rows]
+    full = [hashed(categories(r["base"], tuple(r[c] for c in STATS), 1 - r["y"], r["at_limit"]), dims) for r in rows]
+    plain = [hashed(categories(r["base"], tuple(r[c] for c in STATS), 1 - r["y"], False), dims) for r in rows]
     lim = np.array([r["at_limit"] for r in rows])
     pos, own = y == 1, y == 0
     # rows of the data may be cut themselves: the first fits leave out those at a limit, the next ones take as
-    # whole what fits on the other rows held for whole, and add what these held for cut with near certainty
+    # whole what fits on the other rows held for whole, and add what these held for cut with near certainty;
+    # only the last fit, with these labels, sees which lengths are at a limit
     whole, cut_too = own & ~lim, np.zeros(len(rows), dtype=bool)
     fold = np.arange(len(rows)) % FOLDS
 
-    def fitted(use: np.ndarray, epochs: int) -> np.ndarray:
+    def fitted(feats: list[list[int]], use: np.ndarray, epochs: int) -> np.ndarray:
         at = np.flatnonzero(use & (pos | whole | cut_too))
         weight = np.where(pos, 0.7 * cut_share / max(1, pos.sum()), 0) + np.where(cut_too, 0.3 * cut_share / max(1, cut_too.sum()), 0) + np.where(whole, (1 - cut_share) / max(1, whole.sum()), 0)
         return fit([feats[i] for i in at], (pos | cut_too)[at].astype(float), weight[at] * len(rows), dims, epochs)
@@ -311,9 +313,9 @@ def truncated(df: DataFrame, record_id: str, text: str, source: str, min_chars:
         p = np.zeros(len(rows))
         for k in range(FOLDS):
             part = np.flatnonzero(fold == k)
-            p[part] = score([feats[i] for i in part], fitted(fold != k, 120))
+            p[part] = score([plain[i] for i in part], fitted(plain, fold != k, 120))
         whole, cut_too = own & (p < 0.4), own & (p > 0.9)
-    w = fitted(np.ones(len(rows), dtype=bool), 300)
+    w = fitted(full, np.ones(len(rows), dtype=bool), 300)
 
     @F.pandas_udf("double")
     def scored(base: pd.Series, stats: pd.DataFrame, at: pd.Series) -> pd.Series:
