@@ -30,6 +30,11 @@ def _deep(e, n=3):
     return e.select("scope", F.col("src").alias("node")).distinct().orderBy(F.desc("node"), "scope").limit(n)
 
 
+def _every(e):
+    """Every class."""
+    return e.select("scope", F.col("src").alias("node")).unionByName(e.select("scope", F.col("dst").alias("node"))).distinct()
+
+
 _E = """e AS (SELECT DISTINCT workspace_id AS scope, child AS src, parent AS dst FROM inheritance_edges WHERE workspace_id IS NOT NULL AND child IS NOT NULL AND parent IS NOT NULL),
 hubs AS (SELECT scope, dst AS node FROM e GROUP BY ALL ORDER BY count(*) DESC, scope, node LIMIT 3),
 deep AS (SELECT DISTINCT scope, src AS node FROM e ORDER BY node DESC, scope LIMIT 3),
@@ -146,6 +151,66 @@ def graph_entry_points(spark, d):
 SQL["graph_entry_points"] = f"WITH RECURSIVE {_E}, {_bfs('r', 'hubs', 'dst', 'src', 20)} SELECT scope, start, node FROM r WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.scope = r.scope AND f.dst = r.node) AND EXISTS (SELECT 1 FROM e f WHERE f.scope = r.scope AND f.src = r.node)"
 
 
+# The same from every class; the SQL above stays that of the reports on three classes
+
+_HUBS = "SELECT scope, dst AS node FROM e GROUP BY ALL ORDER BY count(*) DESC, scope, node LIMIT 3"
+_DEEP = "SELECT DISTINCT scope, src AS node FROM e ORDER BY node DESC, scope LIMIT 3"
+_EVERY = "SELECT scope, src AS node FROM e UNION SELECT scope, dst FROM e"
+
+
+@query
+def graph_neighbours_all(spark, d):
+    """Direct callers and callees of every class."""
+    e = _edges(spark, d)
+    return graph.neighbours(e, _every(e))
+
+
+@query
+def graph_bfs_all(spark, d):
+    """Three hops back from every class."""
+    e = _edges(spark, d)
+    return graph.reach(e, _every(e), 3, forward=False)
+
+
+@query
+def inheritance_closure_all(spark, d):
+    """Ancestors of every class within 16 hops; a loop may lead back to the start."""
+    e = _edges(spark, d)
+    return graph.reach(e, _every(e), 16, keep_start=True)
+
+
+@query
+def graph_impact_all(spark, d):
+    """Affected, dependents, files and blast radius of every class."""
+    e = _edges(spark, d)
+    return graph.impact(e, _files(spark, d), _every(e))
+
+
+@query
+def graph_tests_all(spark, d):
+    """Test files near every class."""
+    e = _edges(spark, d)
+    return graph.related_tests(e, _files(spark, d), _every(e))
+
+
+@query
+def graph_risk_all(spark, d):
+    """Risk of changing each class."""
+    e = _edges(spark, d)
+    return graph.risk(graph.impact(e, _files(spark, d), _every(e)), graph.related_tests(e, _files(spark, d), _every(e)))
+
+
+@query
+def graph_entry_points_all(spark, d):
+    """Classes without subclasses below every class, within 20 hops."""
+    e = _edges(spark, d)
+    return graph.entry_points(e, _every(e))
+
+
+for _name in ("graph_neighbours", "graph_bfs", "inheritance_closure", "graph_impact", "graph_tests", "graph_risk", "graph_entry_points"):
+    SQL[f"{_name}_all"] = SQL[_name].replace(_HUBS, _EVERY).replace(_DEEP, _EVERY)
+
+
 @query
 def graph_stats(spark, d):
     """Edges, ends and files per workspace."""

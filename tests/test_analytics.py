@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import __spark_entry__ as entry
 from codeloom.operators import graph, history, ingest, memory, observe, project
 from pyspark.sql import functions as F
 
@@ -40,6 +41,41 @@ def test_graph_tables(spark):
     assert {(r.k, r.note) for r in graph.upsert_references(a, b, ["k"], "rev", "conf").collect()} == {("k", "new"), ("q", None)}
 
 
+def test_graph_of_every_class(spark, tmp_path):
+    """The traversals start from every class, not from a few; against a search in plain Python."""
+    pairs = [("w", f"c{i}", f"c{i // 2}") for i in range(1, 40)] + [("w", "c0", "c3"), ("v", "a", "c1"), ("v", "c1", "b")]
+    rel = [(s, a, b, f"tests/{a}.py" if i % 5 == 0 else f"src/{a}.py") for i, (s, a, b) in enumerate(pairs)]
+    spark.createDataFrame(rel, "workspace_id string, child string, parent string, path string").write.parquet(f"{tmp_path}/inheritance_edges.parquet")
+    nodes = {(s, x) for s, a, b in pairs for x in (a, b)}
+    up, down = {}, {}
+    for s, a, b in pairs:
+        up.setdefault((s, a), set()).add(b)
+        down.setdefault((s, b), set()).add(a)
+
+    def search(s, x, to, depth, keep=False):
+        level, front, n = {}, {x}, 0
+        while front and n < depth:
+            n += 1
+            front = {z for y in front for z in to.get((s, y), ()) if z not in level and (keep or z != x)}
+            level |= dict.fromkeys(front, n)
+        return level
+
+    def run(name):
+        return rows(entry.queries()[name](spark, str(tmp_path)))
+
+    assert run("graph_neighbours_all") == sorted([(s, x, d, y) for s, x in nodes for d, to in (("callee", up), ("caller", down)) for y in to.get((s, x), ())])
+    assert run("graph_bfs_all") == sorted((s, x, y, n) for s, x in nodes for y, n in search(s, x, down, 3).items())
+    assert run("inheritance_closure_all") == sorted((s, x, y, n) for s, x in nodes for y, n in search(s, x, up, 16, True).items())
+    assert run("graph_entry_points_all") == sorted((s, x, y) for s, x in nodes for y in search(s, x, down, 20) if (s, y) not in down and (s, y) in up)
+    assert run("graph_tests_all") == sorted({(s, x, p) for s, x in nodes for y in {x, *search(s, x, down, 3)} for t, a, b, p in rel if t == s and y in (a, b) and p.startswith("tests/")})
+    impact = {}
+    for s, x in nodes:
+        f, b = search(s, x, up, 2), search(s, x, down, 2)
+        impact[s, x] = (len(f), len(b), len(f | b), len({p for t, c, d, p in rel if t == s and {c, d} & {x, *f, *b}}))
+    assert run("graph_impact_all") == sorted((*k, *v) for k, v in impact.items())
+    assert {r[:6] for r in run("graph_risk_all")} == {(*k, *v) for k, v in impact.items()}
+
+
 MEMORY = "id long, category string, subcategory string, content string, importance int, created_at timestamp, tags_json string, related_files_json string, status string, verified boolean, embedding_vector array<float>, access_count long"
 
 
