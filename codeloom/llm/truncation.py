@@ -2,7 +2,7 @@
 
 Corpus statistics over all rows come first: per word, how often it occurs, within texts and at the end of a text,
 line or clause; per source, the lengths that far more texts have than their neighbours do (field limits). Then a
-bounded sample of texts, taken by hash of the id, gives the training rows: as they are (negatives, but for
+bounded sample of different texts, taken by hash of the text, gives the training rows: as they are (negatives, but for
 lengths at a limit and for rows the first fit already holds for cut) and cut at random places (positives). The
 features are categories hashed to a fixed number of weights: closing character, sign of a cut, open fences,
 quotes and brackets, kind and length of the last line, how well the last word is known and how often it ends
@@ -10,8 +10,8 @@ something, length at a limit, and their pairs with the source. Every row is scor
 
 Defined results
 - A null or blank text, or one of fewer than ``min_chars`` characters, is not cut: probability 0.
-- A null source is a source of its own. Repeated texts count in the statistics as often as they occur and get equal
-  scores. Extra columns are ignored; an empty table gives an empty result.
+- A null source is a source of its own. Repeated texts count once in the statistics and in the sample and get equal
+  scores; all parts of a text fall in one fold, so copies don't vouch for each other. Extra columns are ignored; an empty table gives an empty result.
 - Sample size, hash size and seed are parameters; statistics, limits and scores cover all rows.
 """
 
@@ -263,7 +263,7 @@ def truncated(df: DataFrame, record_id: str, text: str, source: str, min_chars:
     scratch = Scratch(spark)
     docs = df.select(F.col(record_id).alias("id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("text"))
     live = docs.where(F.length(F.trim("text")) >= min_chars).withColumn("n", F.length("text"))
-    stats = scratch.write(word_stats(live, "text"))
+    stats = scratch.write(word_stats(live.select("text").distinct(), "text"))
     limits = scratch.write(field_limits(live))
     per_source: dict[str, list[int]] = {}
     for r in limits.orderBy("source", "n").limit(5000).collect():
@@ -283,14 +283,14 @@ def truncated(df: DataFrame, record_id: str, text: str, source: str, min_chars:
         return x.join(bounded_broadcast(limits.withColumn("at_limit", F.lit(True)), 5000), ["source", "n"], "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
 
     key = F.xxhash64(F.lit(seed), "text")
-    total = live.count()
+    total = live.select("source", F.xxhash64("text")).distinct().count()
     share = min(1.0, 1.3 * sample / max(1, total))
     copies = max(2, min(8, sample // max(1, total)))
-    picked = live.withColumn("key", key).where(F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id")), F.lit(1_000_000)) < int(share * 1_000_000)).limit(int(1.5 * sample))
-    picked = scratch.write(picked)
-    own = picked.select("source", "n", "text", F.lit(0).alias("y"))
-    made = picked.select("source", F.explode(cut("text", "source", "key")).alias("text")).withColumn("n", F.length("text")).select("source", "n", "text", F.lit(1).alias("y"))
-    rows = with_words(own.unionByName(made)).select("base", *STATS, "at_limit", "y").collect()  # at most 9 x sample rows, of short lists
+    picked = live.withColumn("key", key).where(F.pmod(F.xxhash64(F.lit(seed + 1), F.col("text")), F.lit(1_000_000)) < int(share * 1_000_000))
+    picked = scratch.write(picked.select("source", "n", "text", "key").distinct().limit(int(1.5 * sample)))
+    own = picked.select("source", "n", "text", "key", F.lit(0).alias("y"))
+    made = picked.select("source", F.explode(cut("text", "source", "key")).alias("text"), "key").withColumn("n", F.length("text")).select("source", "n", "text", "key", F.lit(1).alias("y"))
+    rows = with_words(own.unionByName(made)).select("base", *STATS, "at_limit", "y", F.pmod("key", F.lit(FOLDS)).alias("fold")).collect()  # at most 9 x sample rows, of short lists
     if not rows:
         return docs.limit(0).select(F.col("id").alias(record_id), F.col("source").alias(source), F.lit(0.0).alias("probability"), F.lit(False).alias("is_cut"), F.lit(False).alias("at_limit"))
     y = np.array([r["y"] for r in rows], dtype=float)
@@ -302,7 +302,7 @@ def truncated(df: DataFrame, record_id: str, text: str, source: str, min_chars:
     # whole what fits on the other rows held for whole, and add what these held for cut with near certainty;
     # only the last fit, with these labels, sees which lengths are at a limit
     whole, cut_too = own & ~lim, np.zeros(len(rows), dtype=bool)
-    fold = np.arange(len(rows)) % FOLDS
+    fold = np.array([r["fold"] for r in rows])  # by hash of the text
 
     def fitted(feats: list[list[int]], use: np.ndarray, epochs: int) -> np.ndarray:
         at = np.flatnonzero(use & (pos | whole | cut_too))

@@ -35,3 +35,19 @@ def test_held_out_accuracy(spark):
     got = {r.doc_id: r.is_cut for r in truncated(docs.unionByName(spark.createDataFrame(made, docs.schema)), "doc_id", "text", "source").collect()}
     assert sum(got[x[0]] for x in made) >= 0.95 * len(made)
     assert sum(not got[r.doc_id] for r in whole) >= 0.97 * len(whole)
+
+
+def test_copies_do_not_vouch_for_each_other(spark):
+    """A cut text in a third of the rows is still cut."""
+    rnd = random.Random(4)
+    noun, verb, rest = ["river", "engine", "teacher", "market", "garden", "letter"], ["moves", "finds", "keeps", "leaves", "carries"], ["the old house", "a small boat", "its own way", "every stone", "the last train"]
+
+    def sentence():
+        return f"The {rnd.choice(noun)} {rnd.choice(verb)} {rnd.choice(rest)} near the {rnd.choice(noun)}."
+
+    whole = list(dict.fromkeys(" ".join(sentence() for _ in range(rnd.randrange(2, 6))) for _ in range(400)))
+    cut = sentence() + " The teacher carries the old house near the gard"
+    rows = [(i, x, "a") for i, x in enumerate(whole + [cut] * (len(whole) // 2))]
+    got = truncated(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").collect()
+    assert {r.is_cut for r in got if r.doc_id >= len(whole)} == {True}
+    assert sum(not r.is_cut for r in got if r.doc_id < len(whole)) >= 0.97 * len(whole)
