@@ -10,7 +10,8 @@ Rules for what counts
 - Formats count wherever they stand: cloud key ids, forge, chat and service tokens, signed web tokens, basic and
   bearer values, secret webhook addresses, addresses with a password, private key armour.
 - A literal under a name for a credential counts if it looks random or like a password: no white space, letters
-  and digits. In comments, so does a word after such a name.
+  and digits, of any length and script; a quoted one also if it is digits only, or has no digit but mixed case with
+  signs or the look of random letters. In comments, so does a word after such a name.
 - Placeholders, references to the environment or a vault, hashes, checksums, ids and public keys do not count.
 
 Defined results
@@ -129,15 +130,29 @@ def is_dummy(value: str) -> bool:
     return not value or DUMMY.search(value) is not None
 
 
-def looks_secret(value: str, strict: bool = False) -> bool:
+def random_letters(value: str) -> bool:
+    """A word of letters no one would write: many changes of case, or a long run without a vowel."""
+    if len(value) < 12 or not value.isalpha() or not value.isascii() or len(set(value)) < 8:
+        return False
+    changes = sum(a.islower() and b.isupper() for a, b in zip(value, value[1:]))
+    return changes >= 0.2 * len(value) or re.search(r"(?i)[bcdfghjklmnpqrstvwxz]{7}", value) is not None and value[1:] != value[1:].upper()
+
+
+def looks_secret(value: str, strict: bool = False, quoted: bool = False) -> bool:
     """Letters and digits without white space, neither placeholder, id, hash nor public key.
 
-    ``strict`` is for words of running text: they also need length or a sign within."""
-    if not 6 <= len(value) <= 1000 or any(c.isspace() for c in value) or is_dummy(value) or UUID.match(value) or HASHED.match(value):
+    ``strict`` is for words of running text: they also need length or a sign within. ``quoted`` is for literals under
+    a credential's name: they may lack digits or letters."""
+    if len(value) < 6 or any(c.isspace() for c in value) or is_dummy(value) or UUID.match(value) or HASHED.match(value):
         return False
     digits = sum(c.isdigit() for c in value)
     letters = sum(c.isalpha() for c in value)
-    if not digits or not letters or not value.isascii():
+    if quoted and not digits:
+        signs = any(not c.isalnum() and c not in "-_.:/," for c in value)  # the rest also joins the words of names
+        return signs and any(map(str.islower, value)) and any(map(str.isupper, value)) and re.search(r"[(){}<>\[\]\\]", value) is None or random_letters(value)
+    if quoted and digits == len(value):
+        return len(set(value)) > 1
+    if not digits or not letters or strict and not value.isascii() or not any(c.lower() != c.upper() for c in value):
         return False
     if strict:
         if "/" in value and not re.search(r"[A-Za-z0-9+/]{24,}", value):
@@ -263,7 +278,7 @@ def _named(text: str, at: int) -> tuple[int, int] | None:
     if gap:
         m = QUOTED.match(text, gap.end())
         if m:
-            return (m.start(2), m.end(2)) if looks_secret(m[2]) else None
+            return (m.start(2), m.end(2)) if looks_secret(m[2], quoted=True) else None
     line = text.rfind("\n", 0, start) + 1
     if DOTTED.sub("", text[line:start]).strip(" \t\"'-") in ("", "export", "set", "ENV", "ARG"):
         m = BARE.match(text, end)

@@ -78,3 +78,13 @@ def test_frames(spark):
     assert [(r.id, r.line_no, r.kind) for r in rows] == [(1, 2, "password")]
     assert [r[0] for r in df.select(masked_column("content")).collect()] == ['a\npassword = "REDACTED_PASSWORD"', None, ""]
     assert found_lines(df.limit(0), ["id"], "content").count() == 0
+
+
+@pytest.mark.parametrize("value", ["Tricky!Horse#Staple", "qWzRtYpLmKvXsD", "kxqzvbnwtrlpmeo", "48151623", "pässwört77", "aB3x" * 300])
+def test_literals_of_any_kind(value):
+    assert mask(f'password = "{value}"') == 'password = "REDACTED_PASSWORD"'
+
+
+@pytest.mark.parametrize("value", ["AuthTokenHeader", "X-Api-Key", "my-secret-name", "access_token", "000000", "密码至少6位", "tokenHolderFactory", "Config.Get(Name)", "HTTP_BASIC_STRENGTHS"])
+def test_names_and_labels_are_no_literals(value):
+    assert mask(f'password = "{value}"') == f'password = "{value}"'
