@@ -250,11 +250,11 @@ def _token(text: str, kind: str, at: int) -> tuple[int, int] | None:
             return m.start(2), m.end(2)
         return None
     start = max(0, at - 9) if kind == "service" else at
-    line = text.rfind("\n", start, at) + 1 or start
-    for m in GRAMMARS[kind].finditer(text, line, min(len(text), at + 4096)):
-        if m.start() > at:
-            return None
-        if m.end() <= at:
+    pos = text.rfind("\n", start, at) + 1 or start
+    while pos <= at:  # the token starts at or shortly before the hit, and ends where its grammar ends it
+        m = GRAMMARS[kind].match(text, pos)
+        pos = max(pos + 1, m.end()) if m else pos + 1
+        if not m or m.end() <= at:
             continue
         if kind == "basic" and not _basic(m[1]) or kind in ("bearer", "webhook") and (is_dummy(m[1]) or not looks_secret(m[1])):
             return None

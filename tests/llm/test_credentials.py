@@ -88,3 +88,9 @@ def test_literals_of_any_kind(value):
 @pytest.mark.parametrize("value", ["AuthTokenHeader", "X-Api-Key", "my-secret-name", "access_token", "000000", "密码至少6位", "tokenHolderFactory", "Config.Get(Name)", "HTTP_BASIC_STRENGTHS"])
 def test_names_and_labels_are_no_literals(value):
     assert mask(f'password = "{value}"') == f'password = "{value}"'
+
+
+def test_tokens_longer_than_any_window():
+    part = "aB3dE5gH7jK9mN1p" * 400
+    for text, shown in ((f"x = 'eyJ{part}.{part}.{part}' # end", "x = 'REDACTED_JWT' # end"), (f"h = 'Bearer {part}' # end", "h = 'Bearer REDACTED_BEARER' # end")):
+        assert mask(text) == shown
