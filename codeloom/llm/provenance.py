@@ -68,6 +68,7 @@ WORD = re.compile(r"[A-Za-z_]\w*")
 NUMBER = re.compile(r"-?\b\d[\w.]*")
 QUOTED = re.compile(r'"[^"\n]*"|\'[^\'\n]*\'')
 KEY = re.compile(r'"([^"\\\n]*)"\s*:')
+JSON_PART = re.compile(r'("(?:[^"\\\n]|\\.)*")(\s*:)?|([\[{])|([\]}])|(-?\d[\w.+-]*)|(true|false|null)')
 
 
 @lru_cache(maxsize=1)
@@ -154,14 +155,31 @@ def shapes(text: str) -> tuple[list[str], set[str]]:
     return lines, {SPACE.sub("", WORD.sub("w", NUMBER.sub("0", QUOTED.sub("S", x)))) for x in lines}
 
 
+def json_bulk(text: str) -> bool:
+    """At least 200 literals lie directly in arrays, or are the numbers of maps, and are most of all literals."""
+    stack: list[str] = []
+    in_arrays = numbers = every = 0
+    for m in JSON_PART.finditer(text):
+        if m[3]:
+            stack.append(m[3])
+        elif m[4]:
+            if stack:
+                stack.pop()
+        elif not m[2]:
+            every += 1
+            in_arrays += bool(stack) and stack[-1] == "["
+            numbers += bool(m[5]) and (not stack or stack[-1] == "{")
+    return in_arrays >= 200 and in_arrays >= 0.5 * every or numbers >= 200 and numbers >= 0.9 * every
+
+
 def is_data(text: str, path: str) -> bool:
     """Bulk literals: in code, most of the text in lines that are hardly more than literals; in JSON, many
-    records under few keys or long arrays."""
+    records under few keys, long arrays under any keys, or large maps of numbers."""
     if path.lower().endswith(".json"):
         keys = KEY.findall(text)
-        if len(keys) >= 40:
-            return len(set(keys)) <= 0.15 * len(keys)
-        return not keys and len(LITERAL.findall(text)) >= 200
+        if len(keys) >= 40 and len(set(keys)) <= 0.15 * len(keys):
+            return True
+        return not keys and len(LITERAL.findall(text)) >= 200 or json_bulk(text)
     if not CODE.search(path):
         return False
     n, share = literal_share(text)

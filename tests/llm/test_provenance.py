@@ -1,3 +1,5 @@
+import json
+
 from codeloom.llm.provenance import reason, reason_column
 
 
@@ -34,3 +36,11 @@ def test_column(spark):
     df = spark.createDataFrame([("a.py", "# @generated\n"), ("a.py", "# @generated\n"), (None, None)], "path string, content string")
     assert [r[0] for r in df.select(reason_column("path", "content")).collect()] == ["generated_notice"] * 2 + [None]
     assert df.limit(0).select(reason_column("path", "content")).count() == 0
+
+
+def test_json_arrays_under_any_keys():
+    many = list(range(1000))
+    shapes = [{"values": many}, {"type": "Polygon", "coordinates": [[[x, x / 7] for x in many]]}, {f"column{i}": many[i : i + 40] for i in range(30)}, {f"k{i}": i * 0.5 for i in many}]
+    assert [reason("a/b.json", json.dumps(x, indent=2)) for x in shapes] == ["literal_data"] * 4
+    config = {f"rule{i}": {"level": "error", f"option{i}": ["a", "b", i]} for i in range(60)}
+    assert reason("a/b.json", json.dumps(config, indent=2)) is None
