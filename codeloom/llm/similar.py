@@ -256,21 +256,28 @@ def brute_force(points: DataFrame, queries: list[tuple[int, bytes]], k: int, dim
 
 
 def recall(df: DataFrame, row_id: str, vector: str, k: int, queries: str, dim: int = 64, block: int = 20_000, **options) -> DataFrame:
-    """(n_queries, k, recall): the share of the k most similar different vectors that the search finds, over all
-    queries, against brute force over all rows in blocks of at most ``block`` queries."""
+    """(n_queries, k, recall): the share of the k most similar vectors other than its own that the search finds, over
+    all queries, against brute force over all rows in blocks of at most ``block`` queries."""
     scratch = Scratch(df.sparkSession)
     u = scratch.write(units(df, row_id, vector, dim).distinct())
     asks = u.where(queries)
     o = {"shard": SHARD, "sample": SAMPLE, "margin": 0.06, "max_points": 20_000, "probes": 8, "beam": 64} | options
     hits, classes = _found(u, asks, k, dim, o["shard"], o["sample"], o["margin"], o["max_points"], o["probes"], o["beam"], scratch)
-    hits = scratch.write(hits.withColumn("r", F.expr("row_number() over (partition by q order by s desc, rep)")).where(F.col("r") <= k))
+    own = scratch.write(asks.withColumnRenamed("id", "q").join(classes.select("v", F.col("id").alias("rep")), "v").select("q", "rep"))
+
+    def others(df: DataFrame) -> DataFrame:
+        """The best k of each query without its own vector; at least k + 1 come in."""
+        df = df.join(own, ["q", "rep"], "left_anti")
+        return df.withColumn("r", F.expr("row_number() over (partition by q order by s desc, rep)")).where(F.col("r") <= k)
+
+    hits = scratch.write(others(hits))
     n = asks.count()
     blocks = max(1, -(-n // block))
     truth = None
     for i in range(blocks):
         rows = [(r["id"], bytes(r["v"])) for r in asks.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).collect()]
-        part = brute_force(classes, rows, k, dim)
-        part = scratch.write(part.withColumn("r", F.expr("row_number() over (partition by q order by s desc, rep)")).where(F.col("r") <= k).groupBy("q").agg(F.min("s").alias("least"), F.count("*").alias("n")))
+        part = brute_force(classes, rows, k + 1, dim)
+        part = scratch.write(others(part).groupBy("q").agg(F.min("s").alias("least"), F.count("*").alias("n")))
         truth = part if truth is None else truth.unionByName(part)
     got = truth.join(hits.select("q", "s"), "q", "left").groupBy("q").agg(F.max("n").alias("n"), F.count_if(F.col("s") >= F.col("least") - 1e-6).alias("hit"))
     return got.agg(F.count("*").alias("n_queries"), F.lit(k).cast("long").alias("k"), F.round(F.sum("hit") / F.sum("n"), 4).alias("recall"))

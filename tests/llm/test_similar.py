@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from codeloom.llm import similar
 from codeloom.llm.similar import near_pairs, neighbours, recall
 from codeloom.llm.vamana import Graph
 
@@ -80,3 +81,16 @@ def test_graph_alone():
     best = np.argsort(-(u[:200] @ u.T), axis=1)[:, :10]
     top = np.take_along_axis(ids, np.argsort(-sims, 1), 1)[:, :10]
     assert np.mean([len(set(p) & set(q)) / 10 for p, q in zip(top, best)]) >= 0.9
+
+
+def test_recall_leaves_out_the_own_vector(spark, monkeypatch):
+    """A search that finds nothing but the query itself has a recall of 0."""
+    found = similar._found
+
+    def only_own(u, *args):
+        hits, classes = found(u, *args)
+        return hits.where("q = rep"), classes
+
+    monkeypatch.setattr(similar, "_found", only_own)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(7).normal(size=(200, 64)))], "id long, vec array<double>")
+    assert recall(df, "id", "vec", 5, "id % 10 = 0").collect()[0].recall == 0
