@@ -10,8 +10,9 @@ Rules for what counts
 - Formats count wherever they stand: cloud key ids, forge, chat and service tokens, signed web tokens, basic and
   bearer values, secret webhook addresses, addresses with a password, private key armour.
 - A literal under a name for a credential counts if it looks random or like a password: no white space, letters
-  and digits, of any length and script; a quoted one also if it is digits only, or has no digit but mixed case with
-  signs or the look of random letters. In comments, so does a word after such a name.
+  and digits, of any length and script; a quoted one also if it is digits only, or has no digit but is eight small
+  letters or more but no word for a state, joins three words, mixes case with signs or looks random. In comments
+  that speak of a credential, key or login, so does a word with digits and length or signs.
 - Placeholders, references to the environment or a vault, hashes, checksums, ids and public keys do not count.
 
 Defined results
@@ -46,7 +47,8 @@ TOKEN_STARTS = {
 }
 #: Parts of names of credentials, lower case.
 NAME_PARTS = ["passw", "passphrase", "passcode", "pass", "pwd", "pw", "secret", "token", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "privatekey", "private_key", "private-key", "signing", "servicekey", "service_key", "service-key", "encryptionkey", "encryption_key", "masterkey", "master_key", "sharedkey", "shared_key", "accountkey", "account_key", "storage_key", "storagekey", "deploy_key", "deploykey", "authkey", "auth_key", "credential", "authoriz", "auth"]
-COMMENT_PARTS = ["key was", "key is", "works with", "old login", "login for", "login:", "curl -u", "-u "]
+#: Further words of comments that speak of a credential or of something left behind, lower case.
+COMMENT_PARTS = ["key", "login", "cred", "curl", "user", "works", "use", "try", "todo", "fixme", "xxx", "hack", "temp", "remove", "drop", "leak", "rotate"]
 
 GRAMMARS = {
     "aws": re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
@@ -72,7 +74,7 @@ BARE = re.compile(r"(?:=|:[ \t]+)([^\s\"'`(){}\[\],;]+)[ \t]*(?:#[^\n]*)?\r?(?=\
 DOTTED = re.compile(r"[\w.-]+\.$")
 NAME = re.compile(r"[A-Za-z0-9_.$-]*")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-COMMENT_LINE = re.compile(r"^[ \t]*(?:#|//|/\*|\*|--|;|<!--)|(?<=\s)(?:#|//)\s")
+COMMENT_LINE = re.compile(r"^[ \t]*(?:#|//|/\*|\*|--|;|<!--)|(?<=\s)(?:#|//)\s", re.M)
 TERM = re.compile(r"[^\s\"'`,;()<>]+")
 
 #: Names and values that are no credentials.
@@ -85,6 +87,10 @@ DUMMY = re.compile(
     r"|process\.env|os\.environ|getenv|change[-_ ]?me|your[-_ ]|placeholder|redacted|example\b|dummy|replace[-_ ]?(?:me|this)|not-a-real|^todo\b|^fixme\b|insert[-_ ]|x{6,}|\*{4,}|^(?:none|null|true|false|undefined|nil|test|secret|password|passwd|pass|token)\d*$|^ssh-|begin public|begin certificate|:\w+\($"
 )
 UUID = re.compile(r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")
+#: Single words that settings give for a credential without being one.
+STATES = {"required", "optional", "disabled", "enabled", "unknown", "missing", "invalid", "expired", "forgotten", "incorrect", "rejected", "accepted", "rotated", "revoked", "refreshed", "encrypted", "plaintext", "anonymous", "credentials", "authorization", "username", "keychain", "keystore", "environment", "kubernetes", "unauthorized", "authenticated"}
+NAME_WORDS = {"password", "passwords", "token", "tokens", "secret", "secrets", "key", "keys", "auth", "header", "headers", "field", "label", "user", "name", "id", "type", "path", "file", "url", "input", "form", "reset", "manager", "service", "provider", "store", "config", "settings", "value", "error", "hash", "prefix"}
+VERSION = re.compile(r"(?i)^[a-z]{0,12}@?v?\d+(?:\.\d+)+(?:[-+.]?[a-z]+\.?\d*)?$")
 HASHED = re.compile(r"(?i)^(?:sha\d*|md5|blake2\w?)[:-]")
 
 
@@ -98,7 +104,7 @@ def automaton():
     for p, kind in TOKEN_STARTS.items():
         words.setdefault(p, []).append(kind)
     for p in NAME_PARTS:
-        words.setdefault(p, []).append("name")
+        words.setdefault(p, []).extend(["name", "comment"])
     for p in COMMENT_PARTS:
         words.setdefault(p, []).append("comment")
     for p, kinds in words.items():
@@ -138,6 +144,16 @@ def random_letters(value: str) -> bool:
     return changes >= 0.2 * len(value) or re.search(r"(?i)[bcdfghjklmnpqrstvwxz]{7}", value) is not None and value[1:] != value[1:].upper()
 
 
+def password_words(value: str) -> bool:
+    """A value without a digit that can only be a password under a credential's name: eight or more small letters, or
+    three or more words joined by hyphens or underscores, neither a state nor a name."""
+    low = value.lower()
+    if value.isalpha():
+        return len(value) >= 8 and value.islower() and low not in STATES and not any(low.endswith(e) for e in LAST_ENDS)
+    words = re.split(r"[-_]", low)
+    return len(words) >= 3 and len(value) >= 14 and all(w.isalpha() for w in words) and not NAME_WORDS.intersection(words) and value == low
+
+
 def looks_secret(value: str, strict: bool = False, quoted: bool = False) -> bool:
     """Letters and digits without white space, neither placeholder, id, hash nor public key.
 
@@ -149,12 +165,14 @@ def looks_secret(value: str, strict: bool = False, quoted: bool = False) -> bool
     letters = sum(c.isalpha() for c in value)
     if quoted and not digits:
         signs = any(not c.isalnum() and c not in "-_.:/," for c in value)  # the rest also joins the words of names
-        return signs and any(map(str.islower, value)) and any(map(str.isupper, value)) and re.search(r"[(){}<>\[\]\\]", value) is None or random_letters(value)
+        return signs and any(map(str.islower, value)) and any(map(str.isupper, value)) and re.search(r"[(){}<>\[\]\\]", value) is None or random_letters(value) or password_words(value)
     if quoted and digits == len(value):
         return len(set(value)) > 1
     if not digits or not letters or strict and not value.isascii() or not any(c.lower() != c.upper() for c in value):
         return False
     if strict:
+        if VERSION.match(value):
+            return False
         if "/" in value and not re.search(r"[A-Za-z0-9+/]{24,}", value):
             return False
         return len(value) >= 20 or re.search(r"[a-z0-9][!@#$%^&*+_.-][A-Za-z0-9]|\d[a-z]+\d|[a-z]x[a-z]+\d{3}", value) is not None and digits >= 2
@@ -287,14 +305,16 @@ def _named(text: str, at: int) -> tuple[int, int] | None:
     return None
 
 
-def _in_comment(text: str, at: int) -> list[tuple[int, int]]:
-    """Secret-looking words of a comment that speaks of a key or a login."""
-    line = text.rfind("\n", 0, at) + 1
+def _in_comment(text: str, at: int, since: int) -> tuple[int, list[tuple[int, int]]]:
+    """(up to where the text was read, secret-looking words of a comment that speaks of a key or a login).
+
+    Up to ``since`` the text was read already: without finding a comment, if ``at`` is still in the same line."""
+    line = text.rfind("\n", since, at) + 1
+    m = COMMENT_LINE.search(text, line or max(0, since - 2), at + 1)
+    if not m:
+        return at, []
     stop = text.find("\n", at)
     stop = len(text) if stop < 0 else stop
-    m = COMMENT_LINE.search(text[line : at + 1])
-    if not m:
-        return []
     out = []
     for t in TERM.finditer(text, at, stop):
         a, b = t.start(), t.end()
@@ -306,7 +326,7 @@ def _in_comment(text: str, at: int) -> list[tuple[int, int]]:
             word = text[a:b]
         if looks_secret(word.rstrip("."), strict=True):
             out.append((a, a + len(word.rstrip("."))))
-    return out
+    return stop, out
 
 
 def find(text: str | None) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
@@ -316,10 +336,13 @@ def find(text: str | None) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
     view = View(text)
     got: dict[tuple[int, int], str] = {}
     v = view.text
+    read = 0
     for at, kind in hits(lower(v)):
         if kind == "comment":
-            for span in _in_comment(v, at):
-                got.setdefault(span, "comment")
+            if at >= read and not v[at - 1 : at].isalpha():  # a comment line is read once, from its first such word on
+                read, spans = _in_comment(v, at, read)
+                for span in spans:
+                    got.setdefault(span, "comment")
         else:
             span = _named(v, at) if kind == "name" else _token(v, kind, at)
             if span and span[0] < span[1]:

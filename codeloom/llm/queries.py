@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from codeloom.llm import credentials, mixing, packing, parsing, percentiles, pieces, provenance, similar, truncation
-from codeloom.llm.tokens import VOCABULARY, n_tokens
+from codeloom.llm.tokens import n_tokens
 from codeloom.session import registry, table
 
 PERCENTILES = [0.5, 0.9, 0.95, 0.99]
+#: The rank file of the public tokenizer that sizes are counted with.
+VOCABULARY = os.environ.get("CODELOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 QUERIES, SQL, query = registry()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -10,11 +11,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern that splits text before the merges of a byte-level rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A text is encoded in stretches of about this many characters, cut before white space, so that one very long
-#: text costs time in proportion to its length.
+#: A longer text is encoded in stretches of about this many characters, cut only where the pattern cuts too.
 STRETCH = 50_000
 
 
@@ -28,21 +27,46 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(text: str | None, path: str = VOCABULARY) -> int:
-    """Tokens of a text; 0 for a null or empty one."""
+@lru_cache(maxsize=1)
+def splitter():
+    """The pattern for runs that have no safe cut, with white space as the tokenizer knows it."""
+    import regex
+
+    return regex.compile(PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+
+
+def safe_cut(text: str, at: int, end: int) -> int:
+    """The last position in (at, end) where white space follows another character, or ``at``: no piece of the
+    pattern goes on there, and none before it looks further, so that both sides are split as in the whole text."""
+    for m in re.finditer(r"[ \n\t]", text[at + 1 : end][::-1]):
+        k = end - 1 - m.start()
+        if not text[k - 1].isspace():
+            return k
+    return at
+
+
+def count_tokens(text: str | None, path: str) -> int:
+    """Tokens of a text; 0 for a null or empty one. The count is the tokenizer's for the whole text, however long."""
     if not text:
         return 0
     enc, n, at = encoder(path), 0, 0
     while len(text) - at > STRETCH:
-        cut = max(text.rfind(" ", at + 1, at + STRETCH), text.rfind("\n", at + 1, at + STRETCH))
-        cut = cut if cut > at else at + STRETCH
-        n += len(enc.encode_ordinary(text[at:cut]))
-        at = cut
+        cut = safe_cut(text, at, at + STRETCH)
+        if cut > at:
+            n += len(enc.encode_ordinary(text[at:cut]))
+            at = cut
+            continue
+        stop = at + STRETCH
+        for m in splitter().finditer(text, at):  # one long run: piece by piece until past it
+            n += len(enc._core_bpe.encode_single_piece(m[0].encode("utf-8", "replace")))  # noqa: SLF001
+            at = m.end()
+            if at >= stop:
+                break
     return n + len(enc.encode_ordinary(text[at:]))
 
 
-def n_tokens(text: Column, path: str = VOCABULARY) -> Column:
-    """Column of token counts (long, never null)."""
+def n_tokens(text: Column, path: str) -> Column:
+    """Column of token counts (long, never null) by the rank file at ``path``, which every worker can read."""
 
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -94,3 +94,31 @@ def test_tokens_longer_than_any_window():
     part = "aB3dE5gH7jK9mN1p" * 400
     for text, shown in ((f"x = 'eyJ{part}.{part}.{part}' # end", "x = 'REDACTED_JWT' # end"), (f"h = 'Bearer {part}' # end", "h = 'Bearer REDACTED_BEARER' # end")):
         assert mask(text) == shown
+
+
+def test_long_values_and_passwords_without_digits_are_masked_whole():
+    jwt = "eyJ" + "hbGciOiJ9" * 300 + "." + "aGVsbG8x" * 500 + "." + "c2lnbmVk" * 100
+    for text, gone in [
+        (f'auth = "{jwt}"', jwt),
+        (f'headers = {{"Authorization": "Bearer {"a1B2c3" * 1000}"}}', "a1B2c3" * 1000),
+        (f'password = "{"Xy9z" * 300}"', "Xy9z" * 300),
+        ('password = "correcthorsebatterystaple"', "correcthorsebatterystaple"),
+        ('db_password: "Hunter!Hunter!"', "Hunter!Hunter!"),
+        ('PASSWORD = "correct-horse-battery-staple"', "correct-horse-battery-staple"),
+        ("# try s3cret!pass22 when it fails\n", "s3cret!pass22"),
+    ]:
+        out = mask(text)
+        assert gone not in out and gone[-20:] not in out and out.count("REDACTED_") == 1, text
+    for text in ('password: "required"', 'token_type = "authorization"', 'password = "Forgotten"', 'secret = "user-password-field"', "# use lib v5.12.4 here", "# key of pipwort v5.12.4 | (c) the authors"):
+        assert mask(text) == text
+
+
+def test_long_lines_cost_time_in_proportion():
+    import time
+
+    took = []
+    for n in (20_000, 160_000):
+        t = time.time()
+        find("var key=use(user,token);" * n)
+        took.append(time.time() - t)
+    assert took[1] < 30 * max(took[0], 0.05)

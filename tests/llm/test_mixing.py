@@ -1,7 +1,6 @@
 import pytest
 
 from codeloom.llm.mixing import mixture, plan_budgets
-from codeloom.llm.tokens import count_tokens
 
 
 def frames(spark):
@@ -44,9 +43,3 @@ def test_edges(spark):
     assert mixture(docs.limit(0), targets, "doc_id", "source", "n_tokens")[0].count() == 0
     assert mixture(docs, targets.limit(0), "doc_id", "source", "n_tokens")[0].count() == 0
     assert plan_budgets([], None) == ({}, 0.0)
-
-
-def test_tokens_of_long_texts():
-    assert count_tokens(None) == 0 and count_tokens("") == 0
-    assert abs(count_tokens("word " * 60_000) - 60_000) < 20
-    assert count_tokens("x" * 200_000) > 0
