@@ -71,7 +71,6 @@ JOINT = re.compile(r"([\"'`])[ \t]*(?:[+.&]|\\)?[ \t]*\r?\n[ \t]*(?:[+.&][ \t]*)
 QUOTED = re.compile(r"[rbfuL]{0,2}([\"'`])((?:(?!\1)[^\\\n]|\\.)*)(?:\1|(?=\n)|$)")
 GAP = re.compile(r"\d*[\"'\]]{0,3}(?:\[\d*\])?[ \t]*(?::[ \t]*(?:str|string|String)[ \t]*=|:=|=>|[:=]|[)\]]*[ \t]*(?:\|\||\?\?|\bor\b)|,[ \t]*Value:|,(?=[ \t]*[\"']))[ \t]*\(?[ \t]*(?:\n[ \t]*)?(?:(?:[A-Za-z_][\w.]*(?:\[[^\]\n]*\])?(?:\([^()\n]*\))?)[ \t]*(?:\|\||\?\?|\bor\b|\?:)[ \t]*|(?:os\.(?:getenv|environ\.get)|getenv|System\.getProperty)\([ \t]*[\"'][^\"'\n]*[\"'][ \t]*,[ \t]*)?")
 BARE = re.compile(r"(?:=|:[ \t]+)([^\s\"'`(){}\[\],;]+)[ \t]*(?:#[^\n]*)?\r?(?=\n|\Z)")
-DOTTED = re.compile(r"[\w.-]+\.$")
 NAME = re.compile(r"[A-Za-z0-9_.$-]*")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 COMMENT_LINE = re.compile(r"^[ \t]*(?:#|//|/\*|\*|--|;|<!--)|(?<=\s)(?:#|//)\s", re.M)
@@ -282,27 +281,40 @@ def _token(text: str, kind: str, at: int) -> tuple[int, int] | None:
     return None
 
 
-def _named(text: str, at: int) -> tuple[int, int] | None:
-    """The literal given to the identifier around the hit, if that names a credential and the literal looks like one."""
+def _opens_line(text: str, at: int) -> bool:
+    """Whether nothing but an object, quotes, signs and a word such as export stands before a name in its line."""
+    if text[at - 1 : at] == ".":
+        while at > 0 and (text[at - 1].isalnum() or text[at - 1] in "_.-"):
+            at -= 1
+    for _ in range(2):
+        while at > 0 and text[at - 1] in " \t\"'-":
+            at -= 1
+        if at == 0 or text[at - 1] == "\n":
+            return True
+        at -= next((len(w) for w in ("export", "set", "ENV", "ARG") if text.endswith(w, max(0, at - len(w)), at)), 0)
+    return False
+
+
+def _named(text: str, at: int) -> tuple[int, tuple[int, int] | None]:
+    """(where the identifier around the hit ends, the literal given to it, if it names a credential and the literal
+    looks like one)."""
     start = at
     while start > 0 and text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "_-$"):
         start -= 1
-    end = NAME.match(text, at).end()
-    name = text[start:end].rstrip("-.")
+    stop = NAME.match(text, at).end()
+    name = text[start:stop].rstrip("-.")
     end = start + len(name)
     if not is_name(name):
-        return None
+        return stop, None
     gap = GAP.match(text, end)
     if gap:
         m = QUOTED.match(text, gap.end())
         if m:
-            return (m.start(2), m.end(2)) if looks_secret(m[2], quoted=True) else None
-    line = text.rfind("\n", 0, start) + 1
-    if DOTTED.sub("", text[line:start]).strip(" \t\"'-") in ("", "export", "set", "ENV", "ARG"):
-        m = BARE.match(text, end)
-        if m and looks_secret(m[1]):
-            return m.start(1), m.end(1)
-    return None
+            return stop, (m.start(2), m.end(2)) if looks_secret(m[2], quoted=True) else None
+    m = BARE.match(text, end)
+    if m and looks_secret(m[1]) and _opens_line(text, start):
+        return stop, (m.start(1), m.end(1))
+    return stop, None
 
 
 def _in_comment(text: str, at: int, since: int) -> tuple[int, list[tuple[int, int]]]:
@@ -336,7 +348,7 @@ def find(text: str | None) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
     view = View(text)
     got: dict[tuple[int, int], str] = {}
     v = view.text
-    read = 0
+    read = named = 0
     for at, kind in hits(lower(v)):
         if kind == "comment":
             if at >= read and not v[at - 1 : at].isalpha():  # a comment line is read once, from its first such word on
@@ -344,7 +356,12 @@ def find(text: str | None) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
                 for span in spans:
                     got.setdefault(span, "comment")
         else:
-            span = _named(v, at) if kind == "name" else _token(v, kind, at)
+            if kind == "name":
+                if at < named:  # the same identifier
+                    continue
+                named, span = _named(v, at)
+            else:
+                span = _token(v, kind, at)
             if span and span[0] < span[1]:
                 if kind != "name" or span not in got:
                     got[span] = "password" if kind == "name" else kind
