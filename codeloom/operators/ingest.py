@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
+from codeloom.operators.ordered import cut_sequences
+from codeloom.session import Scratch
 
 KEYS = ["workspace_id", "path"]
 
@@ -46,13 +48,10 @@ def live(state: DataFrame) -> DataFrame:
 
 
 def coalesced(log: DataFrame, max_files: int = 25, max_bytes: int = 250_000) -> DataFrame:
-    """The last change per key with the batch it falls into: deletes cancel earlier upserts, and batches of a workspace are
-    cut by number and by running size, the first item always admitted."""
+    """The last change per key with the batch it falls into: deletes cancel earlier upserts, and a batch of a workspace
+    ends where the next item would exceed its number or its bytes; the first item is always admitted."""
     x = latest_state(log)
-    by = "over (partition by workspace_id order by revision, seq, path"
-    x = x.withColumn("_n", F.expr(f"row_number() {by})")).withColumn("_b", F.expr(f"sum(coalesce(size, 0)) {by} rows between unbounded preceding and 1 preceding)"))
-    cut = F.greatest(F.floor((F.col("_n") - 1) / max_files), F.floor(F.coalesce("_b", F.lit(0)) / max_bytes))
-    return x.withColumn("batch", cut.cast("long")).drop("_n", "_b")
+    return cut_sequences(x, ["workspace_id"], ["revision", "seq", "path"], "size", max_files, max_bytes, "batch", Scratch(log.sparkSession))
 
 
 def watermarks(log: DataFrame) -> DataFrame:

@@ -57,9 +57,12 @@ def coalesce_batches(spark, d):
     return ingest.coalesced(_log(spark, d)).select(*KEYS, "op", "revision", "batch")
 
 
-SQL["coalesce_batches"] = """WITH l AS (SELECT workspace_id, path, CASE WHEN content = '' THEN 'delete' ELSE 'upsert' END AS op, revision, sync_id AS seq, size FROM sync_files QUALIFY row_number() OVER (PARTITION BY workspace_id, path ORDER BY revision DESC, sync_id DESC) = 1),
-b AS (SELECT *, row_number() OVER w AS n, coalesce(sum(coalesce(size, 0)) OVER (PARTITION BY workspace_id ORDER BY revision, seq, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM l WINDOW w AS (PARTITION BY workspace_id ORDER BY revision, seq, path))
-SELECT workspace_id, path, op, revision, CAST(greatest(floor((n - 1) / 25), floor(b / 250000)) AS BIGINT) AS batch FROM b"""
+SQL["coalesce_batches"] = """WITH RECURSIVE l AS (SELECT workspace_id, path, CASE WHEN content = '' THEN 'delete' ELSE 'upsert' END AS op, revision, sync_id AS seq, greatest(coalesce(size, 0), 0) AS size FROM sync_files QUALIFY row_number() OVER (PARTITION BY workspace_id, path ORDER BY revision DESC, sync_id DESC) = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY revision, seq, path) AS n FROM l),
+cut(workspace_id, n, items, bytes, batch) AS (SELECT workspace_id, n, 1, size, 0::BIGINT FROM n WHERE n = 1
+UNION ALL SELECT n.workspace_id, n.n, CASE WHEN items >= 25 OR bytes + n.size > 250000 THEN 1 ELSE items + 1 END, CASE WHEN items >= 25 OR bytes + n.size > 250000 THEN n.size ELSE bytes + n.size END, CASE WHEN items >= 25 OR bytes + n.size > 250000 THEN batch + 1 ELSE batch END
+FROM cut JOIN n ON n.workspace_id = cut.workspace_id AND n.n = cut.n + 1)
+SELECT n.workspace_id, n.path, n.op, n.revision, batch FROM n JOIN cut ON n.workspace_id = cut.workspace_id AND n.n = cut.n"""
 
 
 @query
