@@ -51,3 +51,11 @@ def test_prefix_sums(spark):
             assert got[g, i] == run[g]
             run[g] = (run[g][0] + v, run[g][1] + 1)
     assert prefix_sums(df.limit(0), ["g"], ["i"], {"before": "v"}, Scratch(spark)).count() == 0
+
+
+def test_cosine_of_odd_vectors(spark):
+    from codeloom.operators.vector import topk
+
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [4.0, None]), (6, [-4.0, 3.0]), (7, [6.0, 8.0])], "id long, v array<float>")
+    assert [(r["id"], r["score"]) for r in topk(df, "id", "v", [3.0, 4.0], 9).collect()] == [(1, 1.0), (7, 1.0), (6, 0.0)]
+    assert topk(df, "id", "v", [0.0, 0.0], 3).count() == 0 and topk(df.limit(0), "id", "v", [1.0, 0.0], 3).count() == 0
