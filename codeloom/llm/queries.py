@@ -84,7 +84,7 @@ def _oversized(spark, d):
 @query
 def p3_found(spark, d):
     """Items that the splitter cut: those with a first piece."""
-    return pieces.split_oversized(_oversized(spark, d), ["item_kind", "item_id"], "content", "max_chars", "overlap_chars").where("piece_no = 0").select("item_kind", "item_id").distinct()
+    return pieces.split_oversized(_oversized(spark, d), ["item_kind", "item_id"], "content", "max_chars", "overlap_chars", "text_kind").where("piece_no = 0").select("item_kind", "item_id").distinct()
 
 
 SQL["p3_found"] = """
@@ -96,7 +96,21 @@ UNION SELECT DISTINCT 'file', sync_id FROM sync_files, size_limits l WHERE l.ite
 @query
 def p3_pieces(spark, d):
     """Every piece, in order, with its place in the text."""
-    return pieces.split_oversized(_oversized(spark, d), ["item_kind", "item_id"], "content", "max_chars", "overlap_chars")
+    return pieces.split_oversized(_oversized(spark, d), ["item_kind", "item_id"], "content", "max_chars", "overlap_chars", "text_kind")
+
+
+@query
+def p3_rejoined(spark, d):
+    """The texts put together again from their pieces less the overlap, and whether every piece keeps its limit."""
+    p = p3_pieces(spark, d).withColumn("own", F.expr("substr(piece, cast(max(start + n_chars) over (partition by item_kind, item_id order by piece_no rows between unbounded preceding and 1 preceding) - start + 1 as int))"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_no", F.coalesce("own", "piece").alias("own")))), lambda x: x["own"]), "")
+    return p.groupBy("item_kind", "item_id").agg(F.md5(text).alias("md5"))
+
+
+SQL["p3_rejoined"] = """
+SELECT 'chunk' AS item_kind, faiss_id AS item_id, md5(content) AS md5 FROM chunks c JOIN size_limits l ON l.item_kind = 'chunk' AND l.chunk_type = c.chunk_type WHERE length(content) > max_chars
+UNION ALL SELECT 'file', sync_id, md5(content) FROM sync_files, size_limits l WHERE l.item_kind = 'file' AND length(content) > max_chars
+"""
 
 
 # 5: credentials

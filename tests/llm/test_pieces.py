@@ -31,7 +31,7 @@ def test_pieces(spark):
             assert text[p.start - 1 : p.start - 1 + p.n_chars] == p.piece
             if p.piece_no:
                 shared = at - (p.start - 1)
-                assert shared == min(ov or 0, lim - 1) or i in (5, 11)
+                assert shared == min(ov or 0, lim - 1, at)
             rebuilt += p.piece[at - (p.start - 1) :]
             at = p.start - 1 + p.n_chars
         assert rebuilt == text
@@ -50,13 +50,31 @@ def test_very_long_text(spark):
 
 
 def test_items(spark):
-    chunks = spark.createDataFrame([(1, "function", "x" * 30), (2, None, "x" * 30), (3, "class", None)], "faiss_id long, chunk_type string, content string")
-    files = spark.createDataFrame([(1, "y" * 30)], "sync_id long, content string")
+    chunks = spark.createDataFrame([(1, "function", "a.py", "x" * 30), (2, None, None, "x" * 30), (3, "class", None, None)], "faiss_id long, chunk_type string, file_path string, content string")
+    files = spark.createDataFrame([(1, "b/c.JSON", "y" * 30)], "sync_id long, path string, content string")
     limits = spark.createDataFrame([("chunk", "function", 10, 2), ("chunk", "function", 20, 2), ("file", None, 25, 3)], "item_kind string, chunk_type string, max_chars int, overlap_chars int")
-    assert sorted((r.item_kind, r.item_id, r.max_chars) for r in items(chunks, files, limits).collect()) == [("chunk", 1, 10), ("file", 1, 25)]
+    assert sorted((r.item_kind, r.item_id, r.max_chars, r.text_kind) for r in items(chunks, files, limits).collect()) == [("chunk", 1, 10, "member"), ("file", 1, 25, "data")]
     assert items(chunks.limit(0), files.limit(0), limits).count() == 0
 
 
-@pytest.mark.parametrize("kind", ["code", "prose"])
-def test_empty(spark, kind):
-    assert split_oversized(spark.createDataFrame([], SCHEMA), ["id"], "content", "lim", "ov", kind).count() == 0
+def pieces(spark, text, lim, ov=0, kind="code"):
+    df = spark.createDataFrame([(1, text, lim, ov, kind)], "id long, content string, lim int, ov int, kind string")
+    return [r.piece for r in split_oversized(df, ["id"], "content", "lim", "ov", "kind").orderBy("piece_no").collect()]
+
+
+@pytest.mark.parametrize("kind", ["code", "member", "data", "prose", "other", None])
+def test_boundaries_anywhere_come_before_characters(spark, kind):
+    assert pieces(spark, "short line\n" + "x" * 80, 90, 0, kind) == ["short line\n", "x" * 80]
+
+
+def test_blank_lines_with_spaces_and_kinds(spark):
+    block = "a = 1\nb = 2\nc = 3\n"
+    assert pieces(spark, block + "   \t \n" + block, 30) == [block + "   \t \n", block]
+    prose = "One two three four. Five six seven, eight nine ten. Eleven."
+    assert pieces(spark, prose, 40, 0, "prose") == ["One two three four. ", "Five six seven, eight nine ten. Eleven."]
+    method = "class A:\n    x = [1,\n        2]\n    def f(self):\n        return 1\n"
+    assert pieces(spark, method, 50, 0, "member")[1].startswith("    def f") or pieces(spark, method, 50, 0, "member")[1].startswith("        return")
+
+
+def test_empty(spark):
+    assert split_oversized(spark.createDataFrame([], SCHEMA), ["id"], "content", "lim", "ov").count() == 0
