@@ -4,7 +4,7 @@ from itertools import combinations
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codeloom.llm.packing import allocation, containers, pack
+from codeloom.llm.packing import allocation, containers, pack, reduce_dominated
 
 
 def best(sizes, cap):
@@ -55,6 +55,23 @@ def test_patterns_hold_all_and_are_near_the_best(sizes):
         assert s[0][0] == 0 and s[-1][1] == counts[w] and all(x[1] == y[0] for x, y in zip(s, s[1:]))
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.integers(6, 24), st.lists(st.integers(1, 24), max_size=7))
+def test_dominance_costs_nothing(cap, sizes):
+    sizes = [w for w in sizes if w <= cap]
+    fixed, left = reduce_dominated(dict(Counter(sizes)), cap)
+    rest = [w for w, n in left.items() for _ in range(n)]
+    assert sum(n for _, n in fixed) + best(rest, cap) == best(sizes, cap)
+
+
+def test_dominance_goes_beyond_the_largest_item():
+    # 9 and 4 leave room for two small ones in many ways; 16 pairs with 4 only, 12 with 8 fills
+    fixed, _ = reduce_dominated({16: 2, 12: 1, 8: 1, 9: 2, 5: 2, 4: 3}, 20)
+    assert ((12, 8), 1) in fixed and ((16, 4), 2) in fixed
+    fixed, left = reduce_dominated({10: 1, 6: 1, 3: 1}, 20)
+    assert fixed == [((10, 6, 3), 1)] and not left
+
+
 def test_large_instance_is_tight():
     counts = {w: 1000 * (1 + w % 7) for w in range(3, 500)}
     patterns, fixed = pack(counts, 512)
@@ -66,7 +83,7 @@ def test_frames(spark):
     rows = [(i, 1 + i * 7 % 90, 0) for i in range(500)] + [(500, 1000, 0), (501, 0, 0), (502, None, 0), (503, 100, 0)]
     df = spark.createDataFrame(rows, "doc_id long, n_tokens int, w int")
     kinds = spark.createDataFrame([("s", 100), ("s", 100), ("m", 300), (None, 5), ("z", 0)], "container_kind string, capacity_tokens int")
-    items, report = containers(df, kinds, "doc_id", "n_tokens", buckets=4)
+    items, report = containers(df, kinds, "doc_id", "n_tokens")
     got = items.collect()
     for kind, cap in (("s", 100), ("m", 300)):
         mine = [r for r in got if r.container_kind == kind]
@@ -83,3 +100,10 @@ def test_frames(spark):
     assert {r.container_kind for r in got} == {"s", "m"}
     assert containers(df.limit(0), kinds, "doc_id", "n_tokens")[0].count() == 0
     assert containers(df, kinds.limit(0), "doc_id", "n_tokens")[0].count() == 0
+    two = spark.createDataFrame([("s", 100), ("s", 300)], "container_kind string, capacity_tokens int")
+    items, report = containers(df, two, "doc_id", "n_tokens")
+    assert {r.capacity_tokens for r in report.collect()} == {100, 300}
+    fill = Counter()
+    for r in items.collect():
+        fill[r.capacity_tokens, r.container_id] += r.n_tokens
+    assert all(v <= cap for (cap, _), v in fill.items()) and sum(fill.values()) == 2 * sum(n or 0 for _, n, _ in rows)
