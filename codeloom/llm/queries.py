@@ -178,6 +178,12 @@ def p7_found(spark, d):
     return _each(spark, d, lambda t, i, v: similar.near_pairs(t, i, v, 0.95)).select("item_kind", "id_a", "id_b").distinct()
 
 
+@query
+def p7_links(spark, d):
+    """Every row with its class of copies and the number of rows at least 0.95 similar, without spelling out pairs."""
+    return _each(spark, d, lambda t, i, v: similar.links(t, i, v, 0.95))
+
+
 def _pairs_sql(kind, name, row_id, vector):
     unit = f"SELECT {row_id} AS id, CAST({vector} AS DOUBLE[]) AS v FROM {name} WHERE len({vector}) = 64"
     return f"""SELECT DISTINCT '{kind}' AS item_kind, a.id AS id_a, b.id AS id_b FROM (SELECT id, list_transform(v, lambda x: x / n) AS u FROM (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM ({unit})) WHERE n > 0) a

@@ -3,9 +3,10 @@
 Vectors become unit vectors; exact copies are one point with its members. Centres come from spherical k-means on a
 bounded sample; every point goes to the shard of its nearest centre and of those nearly as near (``margin``). Each
 shard's graph (see ``vamana``) is built in one task; a shard with more than ``max_points`` points is split by hash of
-the id, and its points then also search the other splits. ``near_pairs`` takes the pairs that insertions and searches
-meet above a threshold; a point that meets several is compared with all points of the shard, so there is no cap on
-partners. ``neighbours`` searches the ``probes`` nearest shards of each query and merges.
+the id, and its points then also search the other splits. ``near_pairs`` takes the points within the threshold that a
+beam search from every point meets, the beam widening as long as such points fill it, so there is no cap on partners.
+``links`` gives classes of copies and numbers of partners without spelling out pairs. ``neighbours`` searches the
+``probes`` nearest shards of each query and merges.
 
 Loss of accuracy. ``recall`` measures it against brute force over all rows; see the README for figures.
 
@@ -22,33 +23,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.vamana import DENSE, NONE, Graph, centroids
+from codeloom.llm.vamana import NONE, Graph, centroids
 from codeloom.session import Scratch, bounded_broadcast
 
 SAMPLE = 20_000
 SHARD = 4_000
 DEGREE, BEAM, ALPHA = 24, 32, 1.1
+#: Members of a class of copies that meet in one task.
+BLOCK = 1_000
 
 
 def units(df: DataFrame, row_id: str, vector: str, dim: int) -> DataFrame:
     """(id, v): unit vectors as bytes of float32, of the rows that have one."""
 
-    @F.pandas_udf("binary")
-    def unit(s: pd.Series) -> pd.Series:
-        out = []
-        for x in s:
-            a = None
-            if x is not None and len(x) == dim:
-                try:
-                    a = np.asarray(x, dtype=np.float64)
-                except (TypeError, ValueError):
-                    a = None
-            n = np.sqrt(a @ a) if a is not None else 0.0
-            out.append((a / n).astype(np.float32).tobytes() if n > 0 and np.isfinite(n) else None)
-        return pd.Series(out, dtype="object")
+    @F.arrow_udf("binary")
+    def unit(v: pa.Array) -> pa.Array:
+        fits = pc.fill_null(pc.equal(pc.list_value_length(v), dim), False)
+        x = v.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        size = np.sqrt(np.einsum("ij,ij->i", x, x))
+        ok = (size > 0) & np.isfinite(size)
+        raw = (x / np.where(ok, size, 1)[:, None]).astype(np.float32).tobytes()
+        out: list[bytes | None] = [None] * len(v)
+        for i, (at, good) in enumerate(zip(np.flatnonzero(fits.to_numpy(zero_copy_only=False)), ok)):
+            if good:
+                out[at] = raw[4 * dim * i : 4 * dim * (i + 1)]
+        return pa.array(out, pa.binary())
 
     return df.select(F.col(row_id).cast("long").alias("id"), F.col(vector).alias("x")).where("id is not null").select("id", unit("x").alias("v")).where("v is not null")
 
@@ -121,63 +125,89 @@ def _cells(kept: DataFrame, asking: DataFrame | None, parts: DataFrame) -> DataF
     return ix.unionByName(q)
 
 
-def _near(g: Graph, q: np.ndarray, beam: int, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, point, similarity) above a threshold; several near points lead to a comparison with all."""
-    out = []
-    for at in range(0, len(q), g.batch):
-        part = q[at : at + g.batch]
-        ids, sims = g.search(part, min(beam, g.n))
-        full = ((sims >= near) & (ids != NONE)).sum(1) >= min(DENSE, sims.shape[1])
-        i, j = np.nonzero((sims >= near) & (ids != NONE) & ~full[:, None])
-        out.append((i + at, ids[i, j], sims[i, j]))
-        for i in np.flatnonzero(full):
-            s = g.v @ part[i]
-            j = np.flatnonzero(s >= near)
-            out.append((np.full(len(j), i + at), j, s[j]))
-    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
-
-
-def near_pairs(df: DataFrame, row_id: str, vector: str, near: float, dim: int = 64, shard: int = SHARD, sample: int = SAMPLE, margin: float = 0.06, max_points: int = 20_000) -> DataFrame:
-    """(id_a, id_b, similarity) with id_a < id_b of all pairs found at least ``near`` similar."""
-    scratch = Scratch(df.sparkSession)
+def _graphs(cells: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn`` (ids, vectors and roles of a cell to frames) over every cell, cell by cell."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, parts = None, []
+        for pdf in batches:
+            keys = pdf["shard"].to_numpy() * np.int64(1 << 31) + pdf["part"].to_numpy()
+            for i, j in _runs(keys):
+                if keys[i] != now:
+                    if parts:
+                        yield from fn(pd.concat(parts))
+                    now, parts = keys[i], []
+                parts.append(pdf.iloc[i:j][["id", "v", "role"]])
+        if parts:
+            yield from fn(pd.concat(parts))
+
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(n, "shard", "part").sortWithinPartitions("shard", "part").mapInPandas(run, schema)
+
+
+def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
+    yield from zip(at, [*at[1:], len(keys)])
+
+
+def class_pairs(df: DataFrame, row_id: str, vector: str, near: float, scratch: Scratch, dim: int = 64, shard: int = SHARD, sample: int = SAMPLE, margin: float = 0.06, max_points: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """((a, b, s): pairs a < b of classes of copies at least ``near`` similar; (rep, id, n): the members of each class,
+    which is named by its least id, and their number)."""
     u = scratch.write(units(df, row_id, vector, dim).distinct())
     classes = scratch.write(u.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     n = classes.count()
-    empty = "id_a long, id_b long, similarity double"
+    members = u.join(classes.select("v", F.col("id").alias("rep"), "n").where("n > 1"), "v").select("rep", "id", "n")
+    members = scratch.write(members.unionByName(classes.where("n = 1").select(F.col("id").alias("rep"), "id", "n")))
     if not n:
-        return df.sparkSession.createDataFrame([], empty)
+        return df.sparkSession.createDataFrame([], "a long, b long, s double"), members
     shards = fit_shards(classes.select("id", "v"), n, dim, shard, sample, margin)
     kept = _placed(classes.select("id", "v"), shards, dim)
-    parts = scratch.write(_split(kept, max_points))
-    cells = _cells(kept, None, parts)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        role = pdf["role"].to_numpy()
-        ids = pdf["id"].to_numpy()
-        x = matrix(pdf["v"], dim)
-        own, asks = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        by = np.argsort(ids[own], kind="stable")
-        own = own[by]
-        a = b = s = np.zeros(0)
+    cells = _cells(kept, None, scratch.write(_split(kept, max_points)))
+
+    def found(cell: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        cell = cell.sort_values(["role", "id"])
+        ids, x = cell["id"].to_numpy(), matrix(cell["v"], dim)
+        own = ids[: int((cell["role"] == 0).sum())]
         if len(own):
-            g = Graph(x[own], DEGREE, BEAM, ALPHA)
-            i, j, s = g.build(near)
-            a, b = ids[own[i]], ids[own[j]]
-            if len(asks):
-                i, j, t = _near(g, x[asks], BEAM, near)
-                a, b, s = np.r_[a, ids[asks[i]]], np.r_[b, ids[own[j]]], np.r_[s, t]
-        return pd.DataFrame({"a": np.minimum(a, b).astype("int64"), "b": np.maximum(a, b).astype("int64"), "s": np.asarray(s, dtype="float64")})
-
-    pairs = cells.groupBy("shard", "part").applyInPandas(run, "a long, b long, s double").groupBy("a", "b").agg(F.max("s").alias("s"))
-    many = classes.where("n > 1").select("v", F.col("id").alias("rep")).join(u, "v").select("rep", "id")
-    many = scratch.write(many)
-    left = pairs.join(many.withColumnsRenamed({"rep": "a", "id": "ia"}), "a", "left").withColumn("ia", F.coalesce("ia", "a"))
-    both = left.join(many.withColumnsRenamed({"rep": "b", "id": "ib"}), "b", "left").withColumn("ib", F.coalesce("ib", "b"))
-    same = many.withColumnRenamed("id", "ia").join(many.withColumnRenamed("id", "ib"), "rep").where("ia < ib").select("ia", "ib", F.lit(1.0).alias("s"))
-    out = both.select("ia", "ib", "s").unionByName(same).where("ia <> ib")
+            start = np.where(np.arange(len(ids)) < len(own), np.arange(len(ids)), NONE)
+            for i, j, s in Graph(x[: len(own)], DEGREE, BEAM, ALPHA).build().within(x, near, BEAM, start):
+                a, b = ids[i], own[j]
+                ok = a != b
+                yield pd.DataFrame({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok], "s": s[ok].astype("float64")})
+
+    return _graphs(cells, found, "a long, b long, s double").groupBy("a", "b").agg(F.max("s").alias("s")), members
+
+
+def near_pairs(df: DataFrame, row_id: str, vector: str, near: float, **options) -> DataFrame:
+    """(id_a, id_b, similarity) with id_a < id_b of all rows found at least ``near`` similar, copies included: the pairs of
+    classes spelled out. Large classes meet in blocks of their members, so that none lies in one task."""
+    pairs, members = class_pairs(df, row_id, vector, near, Scratch(df.sparkSession), **options)
+    many = members.where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = many.select("rep", "blocks").distinct()
+    every = F.explode(F.expr("sequence(0, blocks - 1)"))
+    for c in ("a", "b"):
+        pairs = pairs.join(sizes.withColumnRenamed("rep", c), c, "left").withColumn("block", F.explode(F.expr("sequence(0, coalesce(blocks, 1) - 1)"))).drop("blocks")
+        pairs = pairs.join(many.select(F.col("rep").alias(c), F.col("id").alias(f"i{c}"), "block"), [c, "block"], "left").withColumn(f"i{c}", F.coalesce(f"i{c}", c)).drop("block")
+    one = many.select("rep", F.col("id").alias("ia"), F.col("block").alias("p"), every.alias("q"))
+    two = many.select("rep", F.col("id").alias("ib"), every.alias("p"), F.col("block").alias("q"))
+    same = one.join(two, ["rep", "p", "q"]).where("ia < ib").select("ia", "ib", F.lit(1.0).alias("s"))
+    out = pairs.select("ia", "ib", "s").unionByName(same).where("ia <> ib")
     return out.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), F.round("s", 6).alias("similarity"))
 
 
+def links(df: DataFrame, row_id: str, vector: str, near: float, **options) -> DataFrame:
+    """(id, class_id, class_size, n_links): every row that has a vector with its class of copies and the number of other
+    rows found at least ``near`` similar, without spelling out the pairs."""
+    scratch = Scratch(df.sparkSession)
+    pairs, members = class_pairs(df, row_id, vector, near, scratch, **options)
+    pairs = scratch.write(pairs)
+    size = members.select("rep", "n").distinct()
+    both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    far = both.join(size.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("n").alias("far"))
+    count = size.join(far, "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    return members.join(count, "rep").select("id", F.col("rep").alias("class_id"), F.col("n").alias("class_size"), "n_links")
+
+
 def _found(u: DataFrame, queries: DataFrame, k: int, dim: int, shard: int, sample: int, margin: float, max_points: int, probes: int, beam: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """((q, rep, s): the best k points of every query and shard part; (id, v, n): the points)."""
     classes = scratch.write(u.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
@@ -189,28 +219,22 @@ def _found(u: DataFrame, queries: DataFrame, k: int, dim: int, shard: int, sampl
     parts = scratch.write(_split(kept, max_points))
     cells = _cells(kept, _placed(queries.select("id", "v"), shards, dim, probes), parts)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        role = pdf["role"].to_numpy()
-        ids = pdf["id"].to_numpy()
-        own, asks = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        out = {"q": np.zeros(0, "int64"), "rep": np.zeros(0, "int64"), "s": np.zeros(0)}
-        if len(own) and len(asks):
-            x = matrix(pdf["v"], dim)
-            own = own[np.argsort(ids[own], kind="stable")]
-            g = Graph(x[own], DEGREE, BEAM, ALPHA)
-            g.build()
-            rows = []
-            for at in range(0, len(asks), g.batch):
-                part = asks[at : at + g.batch]
-                i, s = g.search(x[part], min(max(beam, 2 * k), g.n))
-                top = np.argsort(-np.where(i == NONE, -3, s), axis=1, kind="stable")[:, : k + 1]
-                i, s = np.take_along_axis(i, top, 1), np.take_along_axis(s, top, 1)
-                r, c = np.nonzero(i != NONE)
-                rows.append((ids[part[r]], ids[own[i[r, c]]], s[r, c].astype("float64")))
-            out = {name: np.concatenate([x[m] for x in rows]) for m, name in enumerate(("q", "rep", "s"))}
-        return pd.DataFrame(out)
-
-    return cells.groupBy("shard", "part").applyInPandas(run, "q long, rep long, s double").groupBy("q", "rep").agg(F.max("s").alias("s")), classes
+    def found(cell: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        cell = cell.sort_values(["role", "id"])
+        ids, x = cell["id"].to_numpy(), matrix(cell["v"], dim)
+        m = int((cell["role"] == 0).sum())
+        if not 0 < m < len(ids):
+            return
+        g = Graph(x[:m], DEGREE, BEAM, ALPHA).build()
+        for at in range(m, len(ids), g.batch):
+            part = slice(at, at + g.batch)
+            i, s = g.search(x[part], min(max(beam, 2 * k), g.n))
+            top = np.argsort(-np.where(i == NONE, -3, s), axis=1, kind="stable")[:, : k + 1]
+            i, s = np.take_along_axis(i, top, 1), np.take_along_axis(s, top, 1)
+            r, c = np.nonzero(i != NONE)
+            yield pd.DataFrame({"q": ids[part][r], "rep": ids[i[r, c]], "s": s[r, c].astype("float64")})
+
+    return _graphs(cells, found, "q long, rep long, s double").groupBy("q", "rep").agg(F.max("s").alias("s")), classes
 
 
 def neighbours(df: DataFrame, row_id: str, vector: str, k: int, queries: str, dim: int = 64, shard: int = SHARD, sample: int = SAMPLE, margin: float = 0.06, max_points: int = 20_000, probes: int = 8, beam: int = 64) -> DataFrame:

@@ -3,16 +3,16 @@
 Points are inserted in batches. A greedy search with a beam over the graph so far proposes neighbours for every point
 of a batch; relaxed distance pruning (keep a candidate unless a kept one is ``alpha`` times nearer to it than the
 point is) keeps diverse edges; reverse edges are added and pruned when a node has too many. Searching is the same
-greedy search. All points of a batch advance together, so that each step is a few array operations.
+greedy search; for all points within a similarity the beam widens as long as they fill it. All points of a batch advance together, so that each step is a few array operations.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 NONE = -1
-#: So many near points around one make its neighbourhood too dense for pruned edges to reach all of it.
-DENSE = 6
 
 
 class Graph:
@@ -25,15 +25,13 @@ class Graph:
         self.order = np.random.default_rng(seed).permutation(self.n).astype(np.int32)
         self.entry = np.zeros(0, dtype=np.int32)
 
-    def build(self, near: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Insert all points. With ``near``: (a, b, similarity) of the pairs at least that similar which the
-        insertions met; a point that meets ``DENSE`` of them is compared with every point before it."""
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def build(self) -> Graph:
+        """Insert all points, batch by batch."""
         at = 0
         while at < self.n:
             size = min(self.batch, max(64, at), self.n - at)
             new = self.order[at : at + size]
-            own = self.v[new] @ self.v[new].T
+            own = self.v[new] @ self.v[new].T  # the points of a batch cannot find one another in the graph yet
             np.fill_diagonal(own, -2)
             if at == 0:
                 mid = self.v[new].mean(0)
@@ -41,18 +39,6 @@ class Graph:
                 ids, sims = np.empty((size, 0), dtype=np.int32), np.empty((size, 0), dtype=np.float32)
             else:
                 ids, sims = self.search(self.v[new], self.beam)
-            if near is not None:
-                i, j = np.nonzero(own >= near)
-                keep = i < j
-                got.append((new[i[keep]], new[j[keep]], own[i[keep], j[keep]]))
-                if ids.shape[1]:
-                    full = ((sims >= near) & (ids != NONE)).sum(1) >= min(DENSE, self.beam)
-                    i, j = np.nonzero((sims >= near) & (ids != NONE) & ~full[:, None])
-                    got.append((new[i], ids[i, j], sims[i, j]))
-                    for i in np.flatnonzero(full):
-                        s = self.v[self.order[:at]] @ self.v[new[i]]
-                        j = np.flatnonzero(s >= near)
-                        got.append((np.full(len(j), new[i]), self.order[j], s[j]))
             k = min(size - 1, max(4, self.degree // 2)) if at else min(size - 1, 2 * self.degree)
             if k > 0:
                 best = np.argpartition(-own, k - 1, axis=1)[:, :k]
@@ -65,11 +51,56 @@ class Graph:
                 self.count[new] = (kept != NONE).sum(1)
                 self._reverse(new, kept)
             at += size
-        if not got:
-            empty = np.zeros(0, dtype=np.int32)
-            return empty, empty, empty.astype(np.float32)
-        a, b, s = (np.concatenate([g[i] for g in got]) for i in range(3))
-        return a, b, s
+        self._adopt()
+        return self
+
+    def _adopt(self) -> None:
+        """Give every node that no path from the entry reaches an edge from the nearest node that a search for it meets
+        and that has room, so that dense neighbourhoods, whose edges pruning thins out, stay reachable in whole."""
+        seen = np.zeros(self.n, dtype=bool)
+        front = self.entry
+        while len(front):
+            seen[front] = True
+            front = np.unique(self.edges[front])
+            front = front[front != NONE]
+            front = front[~seen[front]]
+        lost = np.flatnonzero(~seen)
+        for at in range(0, len(lost), self.batch):
+            part = lost[at : at + self.batch]
+            width = min(self.beam, self.n)
+            while len(part):
+                ids, sims = self.search(self.v[part], width)
+                best = np.argsort(-sims, axis=1, kind="stable")
+                left = []
+                for r, x in enumerate(part):
+                    near = ids[r, best[r]]
+                    near = near[near != NONE]
+                    near = near[self.count[near] < self.most]
+                    if len(near) or width == self.n:
+                        to = near[0] if len(near) else self.entry[0]
+                        self.edges[to, min(self.count[to], self.most - 1)] = x
+                        self.count[to] = min(self.count[to] + 1, self.most)
+                    else:
+                        left.append(x)
+                part, width = np.array(left, dtype=np.int64), min(2 * width, self.n)
+
+    def within(self, q: np.ndarray, near: float, beam: int, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, point, similarity) of the points at least ``near`` similar that beam searches meet, by parts; ``start`` is the
+        node of a query that is a point of the graph itself, else NONE. A query
+        whose near points fill over a third of its beam is searched again with a beam twice as wide, until they do not."""
+        todo, width = np.arange(len(q)), min(beam, self.n)
+        while len(todo):
+            again = []
+            step = max(8, self.batch * beam // max(beam, width))
+            for at in range(0, len(todo), step):
+                part = todo[at : at + step]
+                ids, sims = self.search(q[part], width, max(3, width // 16), start[part])
+                hit = (sims >= near) & (ids != NONE)
+                full = (3 * hit.sum(1) > width) & (width < self.n)
+                i, j = np.nonzero(hit & ~full[:, None])
+                yield part[i], ids[i, j], sims[i, j]
+                again.append(part[full])
+            todo, width = np.concatenate(again), min(2 * width, self.n)
 
     def _prune(self, ids: np.ndarray, sims: np.ndarray, degree: int) -> np.ndarray:
         """Of candidates per row (NONE for no candidate) the ``degree`` that relaxed pruning keeps, nearest first."""
@@ -133,8 +164,9 @@ class Graph:
             self.edges[q[:, None], np.arange(kept2.shape[1])] = kept2
             self.count[q] = (kept2 != NONE).sum(1)
 
-    def search(self, q: np.ndarray, beam: int, wide: int = 3) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, similarities) of the beams of all queries, unordered; NONE where a beam is not full."""
+    def search(self, q: np.ndarray, beam: int, wide: int = 3, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, similarities) of the beams of all queries, unordered; NONE where a beam is not full. ``start`` gives each
+        query a node of its own to begin at, NONE for none, beside the common entry."""
         b = len(q)
         ids = np.full((b, beam), NONE, dtype=np.int32)
         sims = np.full((b, beam), -2, dtype=np.float32)
@@ -143,6 +175,10 @@ class Graph:
         e = len(self.entry)
         ids[:, :e], sims[:, :e], open_[:, :e] = self.entry, q @ self.v[self.entry].T, True
         seen[:, self.entry] = True
+        if start is not None and beam > e:
+            r = np.flatnonzero((start != NONE) & ~np.isin(start, self.entry))
+            ids[r, e], sims[r, e], open_[r, e] = start[r], np.einsum("nd,nd->n", self.v[start[r]], q[r]), True
+            seen[r, start[r]] = True
         live = np.arange(b)
         w = min(wide, beam)
         while len(live):

@@ -63,18 +63,30 @@ def test_edges(spark):
     assert [tuple(r) for r in neighbours(one, "id", "vec", 3, "id > 0").orderBy("id").collect()] == [(1, 1, 2, 1.0), (2, 1, 1, 1.0)]
 
 
-def test_copies_without_a_cap(spark):
-    rows = [(i, [1.0, *([0.0] * 63)]) for i in range(300)] + [(1000 + i, np.eye(64)[i % 64].tolist()) for i in range(64)]
+def test_copies_without_a_cap(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 50)
+    rows = [(i, [1.0, *([0.0] * 63)]) for i in range(300)] + [(1000 + i, np.eye(64)[i % 64].tolist()) for i in range(64)] + [(5000 + i, [1.0, 0.1, *([0.0] * 62)]) for i in range(120)]
     df = spark.createDataFrame(rows, "id long, vec array<float>")
-    assert near_pairs(df, "id", "vec", 0.95).count() == 301 * 300 // 2
+    pairs = near_pairs(df, "id", "vec", 0.95)
+    assert pairs.count() == pairs.select("id_a", "id_b").distinct().count() == 421 * 420 // 2
+    got = {r.id: (r.class_id, r.class_size, r.n_links) for r in similar.links(df, "id", "vec", 0.95).collect()}
+    assert len(got) == len(rows) and got[7] == (0, 301, 420) and got[5001] == (5000, 120, 420) and got[1001] == (1001, 1, 0)
+
+
+def test_dense_ball_without_a_cap():
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.normal(size=(1, 64)) + rng.normal(size=(1500, 64)) * 0.02, rng.normal(size=(1500, 64))].astype(np.float32)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {(min(a, b), max(a, b)) for i, j, _ in Graph(u).build().within(u, 0.95, 32, np.arange(3000)) for a, b in zip(i.tolist(), j.tolist()) if a != b}
+    want = truth(x, 0.95)
+    assert len(want) > 1_000_000 and len(got & want) >= 0.99 * len(want)
 
 
 def test_graph_alone():
     x = data(3000, 2)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    g = Graph(u)
-    a, b, _ = g.build(0.95)
-    got = {(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist())}
+    g = Graph(u).build()
+    got = {(min(a, b), max(a, b)) for i, j, _ in g.within(u, 0.95, 32, np.arange(3000)) for a, b in zip(i.tolist(), j.tolist())}
     want = truth(x, 0.95)
     assert len(got & want) >= 0.98 * len(want)
     ids, sims = g.search(u[:200], 64)
