@@ -1,17 +1,20 @@
 """Detect texts that lost their end: hashed logistic regression trained on artificial cuts of intact texts.
 
-Corpus statistics over all rows come first: per word, how often it occurs, within texts and at the end of a text,
-line or clause; per source, the lengths that far more texts have than their neighbours do (field limits). Then a
-bounded sample of different texts, taken by hash of the text, gives the training rows: as they are (negatives, but for
-lengths at a limit and for rows the first fit already holds for cut) and cut at random places (positives). The
-features are categories hashed to a fixed number of weights: closing character, sign of a cut, open fences,
-quotes and brackets, kind and length of the last line, how well the last word is known and how often it ends
-something, length at a limit, and their pairs with the source. Every row is scored with the fitted weights.
+Every different text of a source is read once. That pass gives corpus statistics over all texts: per word, how often it
+occurs, within texts and at the end of a text, line or clause; per form of a closing sentence or line (its first and
+last word and its length), how many texts close with it; per source, the lengths that far more texts have than their
+neighbours do (field limits). It also gives each text's categories: closing character, sign of a cut, open fences, quotes
+and brackets, kind and length of the last line, how well the last word and the closing form are known and how often
+they end something, length at a limit, and their pairs with the source, hashed to a fixed number of weights. A bounded
+sample of texts, taken by hash of the text, gives the training rows: as they are (negatives) and cut at random places
+or at limits (positives). Some of the sample are cut themselves: a first fit on two halves finds the rows that the fit
+on the other half holds for cut, and the last fit leaves these out; no row of the data is ever taken as a positive.
+Every text is scored with the fitted weights.
 
 Defined results
 - A null or blank text, or one of fewer than ``min_chars`` characters, is not cut: probability 0.
-- A null source is a source of its own. Repeated texts count once in the statistics and in the sample and get equal
-  scores; all parts of a text fall in one fold, so copies don't vouch for each other. Extra columns are ignored; an empty table gives an empty result.
+- A null source is a source of its own. Repeated texts count once per source in the statistics and in the sample and get
+  equal scores; all parts of a text fall in one half. Extra columns are ignored; an empty table gives an empty result.
 - Sample size, hash size and seed are parameters; statistics, limits and scores cover all rows.
 """
 
@@ -20,46 +23,67 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import Scratch, bounded_broadcast
+from codeloom.session import Scratch
 
 DIMS = 1 << 14
-SAMPLE = 12_000
-#: Rounds of relabelling rows of the data, and parts that are scored by fits on the others.
-ROUNDS, FOLDS = 3, 3
-
-SIGN = re.compile(r"\s*(?:…|\.\.\.|\[(?:\.\.\.|…|more|cut|snip|truncated)\]|\((?:\+\d+ (?:chars|characters|more)|more|truncated|cut)\)|<(?:snip|truncated|cut)>|\[\+\d+[^\]]*\]|�+)\s*$", re.I)
-#: Closing words after which three dots end a sentence and are no sign of a cut.
-IDIOM = re.compile(r"(?:and so on|and so forth|and more|etc|usw|und so weiter|et cetera|etcétera|y así sucesivamente|et ainsi de suite|等等)\s*(?:\.\.\.|…)\s*$", re.I)
-WORD_END = re.compile(r"[^\W_][\w'’-]*$")
-CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
+#: Different texts in the training sample at most, cuts made of each, and the share of weight that cuts have.
+SAMPLE, COPIES, CUT_SHARE = 8_000, 6, 0.4
+#: Texts a batch of the corpus pass may count words of before it hands them on.
+WORDS_HELD = 200_000
+
+BRACKETED = re.compile(r"\[(?:\.\.\.|…|more|cut|snip|truncated|\+\d+[^\]]*)\]|\((?:\+\d+ (?:chars|characters|more)|more|truncated|cut)\)|<(?:snip|truncated|cut)>", re.I)
+WORD = re.compile(r"[^\W_][\w'’-]*")
+LINE_ENDS = re.compile(r"[^\W_][\w'’-]*(?=[ `)*_\"']*\n)")
+CLAUSE_ENDS = re.compile(r"[^\W_][\w'’-]*(?=[.!?,;:)。！？，；：]|[ `)*_\"']*\n)")
+STOP = re.compile(r"[.!?。！？](?:\s|$)|[。！？]")
+CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 SENTENCE_END = ".!?。！？"
+CLAUSE_END = ".!?,;:)。！？，；："
 CLOSERS = ")]}\"'`»”’）」』>*_"
-SIGNATURE = re.compile(r"^(?:--|—|–)\s*\S|^(?:regards|cheers|thanks|best)\b|^the [\w-]+ desk$|^reviewed-by:|^signed-off-by:|^co-authored", re.I)
+SEGMENT = re.compile(r".*[.!?。！？，；：、](?=\s|[^\x00-\x7f])\s*", re.S)
 BULLET = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s")
 LINK = re.compile(r"(?:https?://|www\.)\S+$")
+COUNTS = ["p_inner", "p_ends", "s_inner", "s_ends", "d_ends"]
 
 
-def sign_of(text: str) -> re.Match | None:
-    """The sign of a cut at the end of a text."""
-    return None if IDIOM.search(text) else SIGN.search(text)
+def split_sign(text: str) -> tuple[str, str]:
+    """(the text without a sign of a cut at its end, the sign)."""
+    t = text.rstrip()
+    if t.endswith(("…", "...", "�")):
+        body = t.rstrip(t[-1])
+        return body.rstrip(), {"…": "…", ".": "...", "�": "�"}[t[-1]]
+    if t.endswith((")", "]", ">")):
+        at = t.rfind({")": "(", "]": "[", ">": "<"}[t[-1]])
+        if at >= 0 and BRACKETED.fullmatch(t, at):
+            return t[:at].rstrip(), re.sub(r"\d+", "0", t[at:].lower())
+    return text, ""
 
 
-def last_word(text: str) -> tuple[str, str]:
-    """(the last word of a text without its sign of a cut, the sign)."""
-    m = sign_of(text)
-    sign = m[0].strip().lower() if m else ""
-    body = text[: m.start()] if m else text
+def word_before(body: str) -> str:
+    """The last word of a text, or its last character if that is no part of a word; of unspaced script, the last two."""
     if CJK.match(body[-1:]):
-        return body[-2:], sign
-    w = WORD_END.search(body)
-    return (w[0].lower()[-40:] if w else body.strip()[-1:]), sign
+        return body[-2:]
+    at = len(body)
+    while at > 0 and (body[at - 1].isalnum() or body[at - 1] in "_'’-"):
+        at -= 1
+    m = WORD.search(body, at)
+    return m[0].lower() if m else body.strip()[-1:]
+
+
+def closing_form(body: str, sign: str) -> str:
+    """First and last word and number of words of the last sentence, or of the last line if that is shorter."""
+    line = body[body.rfind("\n") + 1 :].strip()
+    rest = line[SEGMENT.match(line).end() :] if SEGMENT.match(line) else line
+    words = (rest or line).lower().split()
+    return f"{words[0]}|{words[-1]}|{min(len(words), 8)}|{sign}" if words else sign
 
 
 def end_class(c: str) -> str:
@@ -84,8 +108,6 @@ def line_kind(line: str, fenced: bool) -> str:
     if fenced:
         return "code"
     s = line.strip()
-    if SIGNATURE.search(s):
-        return "signature"
     if s.startswith("#"):
         return "heading"
     if s.startswith("```"):
@@ -94,34 +116,29 @@ def line_kind(line: str, fenced: bool) -> str:
         return "link"
     if BULLET.match(line):
         return "bullet"
-    if re.match(r"^[\w-]+: ", s):
+    if re.match(r"[\w-]+: ", s):
         return "labelled"
     return "text"
 
 
-def surface(text: str, source: str) -> list[str]:
-    """Categories of a text that need no statistics."""
-    _, sign = last_word(text)
-    m = sign_of(text)
-    body = text[: m.start()] if m else text
-    tail = body[-1:]
-    cls = end_class(tail)
+def described(text: str, source: str, dims: int) -> tuple[str, int, list[str], list[int]]:
+    """(last word, hash of the closing form, the parts that are crossed with statistics, hashed categories without)."""
+    body, sign = split_sign(text)
+    end = end_class(body[-1:])
     fenced = body.count("```") % 2 == 1
-    line = body.rsplit("\n", 1)[-1]
+    line = body[body.rfind("\n") + 1 :]
     kind = line_kind(line, fenced)
     para = body[body.rfind("\n\n") + 1 :] if not fenced else line
     ticks = "ticks" if not fenced and para.replace("```", "").count("`") % 2 else ""
     braces = "open" if para.count("(") > para.count(")") or para.count("[") > para.count("]") or para.count("（") > para.count("）") else ""
     quotes = "quotes" if para.count('"') % 2 else ""
     words = len(line.split())
-    length = "w" + str(min(words, 12) if words < 8 else 8 + min(words // 8, 4))
-    whole = "sentences" if re.search(r"[.!?。！？](?:\s|$)", line) else "phrase"
-    signed = re.sub(r"\d+", "0", sign) or "no"
-    out = ["src=" + source, "end=" + cls, "sign=" + signed, "fence=" + str(fenced), "ticks=" + ticks, "open=" + braces, "quotes=" + quotes, "kind=" + kind, "len=" + length, "whole=" + whole]
-    out += [f"src={source}|end={cls}", f"src={source}|kind={kind}|end={cls}", f"kind={kind}|end={cls}|{whole}", f"fence={fenced}|end={cls}", f"src={source}|{whole}|{length}", f"sign={signed}|end={cls}", f"src={source}|fence={fenced}", f"multi={body.count(chr(10)) > 0}|src={source}|end={cls}|{whole}"]
-    if kind == "signature":
-        out.append("sig=" + re.sub(r"\w+ (team|desk|bot)$", r"w \1", line.strip().lower())[:30])
-    return out
+    length = str(words if words < 8 else 8 + min(words // 8, 4))
+    whole = "sentences" if STOP.search(line) else "phrase"
+    lines = "lines" if "\n" in body else "line"
+    cats = [f"src={source}", f"end={end}", f"sign={sign}", f"fence={fenced}", f"ticks={ticks}", f"open={braces}", f"quotes={quotes}", f"kind={kind}", f"len={length}", f"whole={whole}", "bias"]
+    cats += [f"{source}|{end}", f"{source}|{kind}|{end}", f"{kind}|{end}|{whole}", f"{fenced}|{end}", f"{source}|{whole}|{length}", f"{sign}|{end}", f"{source}|{fenced}", f"{lines}|{source}|{end}|{whole}", f"{lines}|{length}|{kind}|{end}"]
+    return word_before(body), zlib.crc32(closing_form(body, sign).encode()), [source, end, sign, kind, whole], hashed(cats, dims)
 
 
 def levels(inner: float, ends: float) -> tuple[str, str]:
@@ -132,18 +149,16 @@ def levels(inner: float, ends: float) -> tuple[str, str]:
     return known, str(-1 if p < 0 else 0 if p < 0.003 else 1 if p < 0.02 else 2 if p < 0.06 else 3 if p < 0.2 else 4 if p < 0.6 else 5)
 
 
-def categories(base: list[str], stats: tuple[float, float, float, float, float], own: int, at_limit: bool) -> list[str]:
-    """All categories of a text: ``stats`` are the last word's counts (see ``word_stats``), of which ``own`` is the
-    text's own end."""
+def crossed(keys: list[str], stats: tuple[float, ...], forms: float, at_limit: bool) -> list[str]:
+    """Categories with statistics: the last word's counts (COUNTS) and how many other texts close in the same form."""
     p_inner, p_ends, s_inner, s_ends, d_ends = stats
-    src, end, sign, kind, whole = base[0], base[1], base[2], base[7], base[9]
-    phrase = whole.endswith("phrase")
-    known, level = levels(p_inner, p_ends) if phrase else levels(s_inner, s_ends)
-    known, level = ("pk" if phrase else "sk") + known, ("pp" if phrase else "sp") + level
+    src, end, sign, kind, whole = keys
+    known, level = levels(p_inner, p_ends) if whole == "phrase" else levels(s_inner, s_ends)
     any_known, _ = levels(p_inner + s_inner, p_ends + s_ends)
-    _, closes = levels(p_inner + p_ends, max(0.0, d_ends - own))
-    lim = "lim" + str(int(at_limit))
-    return base + [known, level, lim, "any" + any_known, f"{known}|{level}", f"{known}|{level}|{end}", f"{level}|{src}", f"{known}|{end}", f"{level}|{kind}|{end}", f"{lim}|{end}", f"{lim}|{level}", f"{known}|{level}|{kind}|{end}", f"any{any_known}|{end}", f"{closes}|{phrase}|{kind}|{end}", "bias"]
+    _, closes = levels(p_inner + p_ends, max(0.0, d_ends))
+    known, lim, w = whole[0] + known, "lim" + str(int(at_limit)), whole[0]
+    form = "form" + str(0 if forms < 1 else 1 if forms < 3 else 2 if forms < 10 else 3)
+    return [f"k={known}", f"{w}l={level}", lim, "any" + any_known, f"{known}|{level}", f"{known}|{level}|{end}", f"{w}{level}|{src}", f"{known}|{end}", f"{w}{level}|{kind}|{end}", f"{lim}|{end}", f"{lim}|{w}{level}", f"{known}|{level}|{kind}|{end}", f"any{any_known}|{end}", f"c{closes}|{w}|{kind}|{end}", form, f"{form}|{end}", f"{form}|{sign}|{end}", f"{form}|{w}{level}"]
 
 
 def hashed(cats: list[str], dims: int) -> list[int]:
@@ -151,14 +166,18 @@ def hashed(cats: list[str], dims: int) -> list[int]:
 
 
 def fit(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, dims: int, epochs: int = 300, l2: float = 2e-4) -> np.ndarray:
-    """Weights of a logistic regression over sets of active features (full-batch Adam)."""
+    """Weights of a logistic regression over sets of active features (full-batch Adam over distinct sets)."""
+    ids: dict[tuple, int] = {}
+    to = np.array([ids.setdefault(tuple(r), len(ids)) for r in rows])
+    rows = [list(r) for r in ids]
+    n, pos = np.bincount(to, weight, len(rows)), np.bincount(to, weight * y, len(rows))
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     ix = np.concatenate([np.asarray(r) for r in rows])
     w, m, v = np.zeros(dims), np.zeros(dims), np.zeros(dims)
     total = weight.sum()
     for t in range(1, epochs + 1):
         z = np.bincount(at, w[ix], len(rows))
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / total
+        g = (n / (1 + np.exp(-np.clip(z, -30, 30))) - pos) / total
         grad = np.bincount(ix, g[at], dims) + l2 * w / 10
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
@@ -170,159 +189,213 @@ def score(rows: list[list[int]], w: np.ndarray) -> np.ndarray:
     return np.array([1 / (1 + np.exp(-np.clip(w[r].sum(), -30, 30))) for r in rows]) if rows else np.zeros(0)
 
 
-def _cuts(text: str, seed: int, n: int, limits: list[int]) -> list[str]:
-    """Beginnings of a text that do not end a sentence or line, some with a sign of the cut."""
+def cuts(text: str, seed: int, n: int, limit: int | None) -> list[str]:
+    """Beginnings of a text that do not end a sentence or line, some with a sign of the cut, some at ``limit``."""
     rnd = random.Random(seed)
     out = []
     for _ in range(n):
         if len(text) < 16:
             break
-        inside = [x for x in limits if 12 < x < len(text)]
-        k = rnd.choice(inside) if inside and rnd.random() < 0.3 else rnd.randrange(12, len(text) - 1)
-        part = text[:k]
-        nxt = text[k]
+        k = limit if limit and 12 < limit < len(text) and rnd.random() < 0.3 else rnd.randrange(12, len(text) - 1)
+        part, nxt = text[:k], text[k]
         if part[-1] in SENTENCE_END or nxt == "\n" or part[-1] == "\n" or (part[-1] in CLOSERS and nxt in " \n") or part.endswith("```"):
             continue
-        if SIGNATURE.search(part.rsplit("\n", 1)[-1]) and not part[-1].isalpha():
-            continue
         r = rnd.random()
         out.append(part + ("..." if r < 0.06 else "…" if r < 0.12 else " [...]" if r < 0.15 else " [more]" if r < 0.18 else f" (+{rnd.randrange(5, 999)} chars)" if r < 0.21 else ""))
     return out
 
 
-def word_stats(texts: DataFrame, text: str) -> DataFrame:
-    """word and its counts: in lines without sentence punctuation, inside (p_inner) and at the end of a line that is
-    not the text's last (p_ends); in other lines, inside (s_inner) and before punctuation or the line's end
-    (s_ends); at the end of a text (d_ends). Lines of code are left out."""
-    names = ["p_inner", "p_ends", "s_inner", "s_ends", "d_ends"]
+class Words:
+    """Counts of words: in lines without sentence punctuation, inside (p_inner) and at the end of a line that is not the
+    text's last (p_ends); in other lines, inside (s_inner) and before punctuation or the line's end (s_ends); at the end
+    of a text (d_ends). Lines of code are left out. Unspaced script counts by pairs of characters."""
+
+    def __init__(self) -> None:
+        self.n = [Counter() for _ in COUNTS]
+
+    def add(self, text: str) -> None:
+        low = text.lower()
+        plain: list[str] = []
+        clauses: list[str] = []
+        fenced = False
+        lines = low.split("\n")
+        for i, line in enumerate(lines):
+            if line.lstrip().startswith("```"):
+                fenced = not fenced
+            elif not fenced:
+                last = i == len(lines) - 1
+                kind = 2 if STOP.search(line) else 0
+                if last or CJK.search(line):
+                    self._line(line, kind, last)
+                else:
+                    (clauses if kind else plain).append(line)
+        for base, part, ends in ((0, plain, LINE_ENDS), (2, clauses, CLAUSE_ENDS)):
+            if part:
+                joined = "\n".join(part) + "\n"
+                closing = Counter(ends.findall(joined))
+                self.n[base].update(WORD.findall(joined))
+                self.n[base].subtract(closing)
+                self.n[base + 1].update(closing)
+
+    def _line(self, line: str, base: int, last: bool) -> None:
+        for m in WORD.finditer(line):
+            w, e = m[0], m.end()
+            if CJK.search(w):
+                for j in range(len(w) - 1):
+                    self.n[base][w[j : j + 2]] += 1
+                w = w[-2:]
+            if not line[e:].strip(" `)*_\"'"):
+                self.n[4 if last else base + 1][w] += 1
+            else:
+                self.n[base + 1 if base and line[e] in CLAUSE_END else base][w] += 1
+
+    def frame(self) -> pd.DataFrame:
+        f = pd.DataFrame({c: pd.Series(n, dtype="float64") for c, n in zip(COUNTS, self.n)}).fillna(0)
+        f = f[(f != 0).any(axis=1)]
+        f.insert(0, "word", f.index.astype(str))
+        self.__init__()
+        return f.reset_index(drop=True)
+
+
+READ = "kind int, word string, " + ", ".join(f"{c} double" for c in COUNTS) + ", key long, source string, n int, form long, parts array<string>, cats array<int>"
+
+
+def read(texts: DataFrame, dims: int) -> DataFrame:
+    """One pass over (source, text, key, n): rows of kind 0 with counts of words, and of kind 1 with a text's categories."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        names = ["word", "form", "parts", "cats"]
+        for pdf in batches:
+            got = pd.DataFrame([described(t, s, dims) for t, s in zip(pdf["text"], pdf["source"])], columns=names)
+            for t, once in zip(pdf["text"], pdf["once"]):
+                if once:
+                    words.add(t)
+            yield _rows(pdf[["key", "source", "n"]].reset_index(drop=True).join(got).assign(kind=1))
+            if max(map(len, words.n)) > WORDS_HELD:
+                yield _rows(words.frame().assign(kind=0))
+        yield _rows(words.frame().assign(kind=0))
+
+    return texts.select("source", "text", "key", "n", "once").mapInPandas(run, READ)
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pat = re.compile(r"[^\W_][\w'’-]*")
-        stop = re.compile(r"[.!?。！？](?:\s|$)|[。！？]")
-        counts: dict[str, list[int]] = {}
 
-        def add(word: str, k: int) -> None:
-            c = counts.get(word)
-            if c is None:
-                c = counts[word] = [0] * 5
-            c[k] += 1
+def _rows(f: pd.DataFrame) -> pd.DataFrame:
+    names = [x.strip().split(" ")[0] for x in READ.split(", ")]
+    absent = {c: pd.Series([None] * len(f), dtype="object", index=f.index) for c in ("word", "source", "parts", "cats") if c not in f}
+    f = f.assign(**absent).reindex(columns=names)
+    for c in ("key", "form", "n", "kind"):
+        f[c] = f[c].astype("Int64")
+    return f
 
-        def out() -> pd.DataFrame:
-            f = pd.DataFrame(counts.values(), columns=names)
-            f.insert(0, "word", list(counts))
-            return f
 
-        for pdf in batches:
-            for t in pdf["text"]:
-                fenced = False
-                lines = t.split("\n")
-                for i, line in enumerate(lines):
-                    if line.lstrip().startswith("```"):
-                        fenced = not fenced
-                        continue
-                    if fenced:
-                        continue
-                    base = 2 if stop.search(line) else 0
-                    n = len(line)
-                    for m in pat.finditer(line):
-                        w, e = m[0], m.end()
-                        nxt = line[e : e + 1]
-                        if CJK.search(w):
-                            for j in range(len(w) - 1):
-                                add(w[j : j + 2], base)
-                            w = w[-2:]
-                        w = w.lower()[-40:]
-                        if e == n or not line[e:].strip(" `)*_\"'"):
-                            add(w, base + 1 if i < len(lines) - 1 else 4)
-                        else:
-                            add(w, base + 1 if base and nxt in ".!?,;:)。！？，；：" else base)
-            if len(counts) > 200_000:
-                yield out()
-                counts.clear()
-        if counts:
-            yield out()
-
-    part = texts.select(F.col(text).alias("text")).mapInPandas(counted, "word string, " + ", ".join(f"{c} long" for c in names))
-    return part.groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
-
-
-STATS = ["p_inner", "p_ends", "s_inner", "s_ends", "d_ends"]
-
-
-def field_limits(docs: DataFrame, least: int = 4, ratio: float = 6.0, near: int = 12) -> DataFrame:
+def described_column(text: Column, source: Column, dims: int) -> Column:
+    """word, form, parts and cats of a text as a struct."""
+
+    @F.pandas_udf("struct<word:string,form:long,parts:array<string>,cats:array<int>>")
+    def one(t: pd.Series, s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([described(x, y, dims) for x, y in zip(t, s)], columns=["word", "form", "parts", "cats"])
+
+    return one(text, source)
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, on: list[str], scratch: Scratch, total: int, share: int = 10_000) -> DataFrame:
+    """``rows`` left joined with ``facts`` (unique ``on``). Keys that a ``share``-th of the rows have, at most ``share``
+    of them, meet their facts by broadcast, so that no task gets all rows of a common key."""
+    hot = scratch.write(rows.groupBy(*on).agg(F.count("*").alias("_c")).where(F.col("_c") * share >= total).select(*on))
+    hot = F.broadcast(hot)
+    common = F.broadcast(hot.join(facts, on, "left"))
+    return rows.join(common, on).unionByName(rows.join(hot, on, "left_anti").join(facts, on, "left"))
+
+
+def field_limits(texts: DataFrame, least: int = 4, ratio: float = 6.0, near: int = 12) -> DataFrame:
     """(source, n): lengths that at least ``least`` different texts of a source have and far more than their neighbours."""
-    h = docs.groupBy("source", "n", F.xxhash64("text")).agg(F.lit(1)).groupBy("source", "n").agg(F.count("*").alias("c"))
+    h = texts.groupBy("source", "n").agg(F.count("*").alias("c"))
     span = f"sum(c) over (partition by source order by n range between {near} preceding and {near} following)"
     h = h.withColumn("around", (F.expr(span) - F.col("c")) / (2 * near))
     return h.where((F.col("c") >= least) & (F.col("c") >= ratio * F.greatest(F.col("around"), F.lit(0.25)))).select("source", "n")
 
 
-def truncated(df: DataFrame, record_id: str, text: str, source: str, min_chars: int = 12, sample: int = SAMPLE, dims: int = DIMS, seed: int = 11, cut_share: float = 0.4) -> DataFrame:
+def train(rows: list, dims: int, cut_share: float = CUT_SHARE, rounds: int = 3, doubt: float = 0.3) -> np.ndarray:
+    """Weights from training rows: y (1 for artificial cuts), half, at_limit, parts, cats, forms and COUNTS."""
+    own = 1 - np.array([r["y"] for r in rows])
+
+    def features(limits: bool) -> list[list[int]]:
+        out = []
+        for r, o in zip(rows, own):
+            stats = (*[r[c] for c in COUNTS[:4]], r["d_ends"] - o)
+            out.append(sorted({*r["cats"], *hashed(crossed(r["parts"], stats, r["forms"] - o, limits and r["at_limit"]), dims)}))
+        return out
+
+    plain, full = features(False), features(True)
+    half = np.array([r["half"] for r in rows])
+
+    def fitted(feats: list[list[int]], use: np.ndarray, epochs: int) -> np.ndarray:
+        at = np.flatnonzero(use)
+        y = 1 - own[at]
+        weight = np.where(y == 1, cut_share / max(1, y.sum()), (1 - cut_share) / max(1, (1 - y).sum())) * len(y)
+        return fit([feats[i] for i in at], y.astype(float), weight, dims, epochs)
+
+    # rows of the data may be cut themselves: negatives that the other half's fit doubts are left out; it does not see
+    # which lengths are at a limit, since all rows there are left out at first
+    out = np.array([r["at_limit"] for r in rows]) & (own == 1)
+    for _ in range(rounds):
+        nxt = np.zeros(len(rows), dtype=bool)
+        for h in (0, 1):
+            at = np.flatnonzero((half == h) & (own == 1))
+            if len(at) and ((half != h) & ~out).any():
+                nxt[at] = score([plain[i] for i in at], fitted(plain, (half != h) & ~out, 120)) > doubt
+        out = nxt
+    return fitted(full, ~out, 300)
+
+
+def truncated(df: DataFrame, record_id: str, text: str, source: str, min_chars: int = 12, sample: int = SAMPLE, dims: int = DIMS, seed: int = 11, copies: int = COPIES) -> DataFrame:
     """record_id, source, probability, is_cut, at_limit of every row."""
     spark = df.sparkSession
     scratch = Scratch(spark)
     docs = df.select(F.col(record_id).alias("id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("text"))
-    live = docs.where(F.length(F.trim("text")) >= min_chars).withColumn("n", F.length("text"))
-    stats = scratch.write(word_stats(live.select("text").distinct(), "text"))
-    limits = scratch.write(field_limits(live))
-    per_source: dict[str, list[int]] = {}
-    for r in limits.orderBy("source", "n").limit(5000).collect():
-        per_source.setdefault(r["source"], []).append(r["n"])
-
-    @F.pandas_udf("struct<word:string,base:array<string>>")
-    def described(t: pd.Series, s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"word": [last_word(x)[0] for x in t], "base": [surface(x, y) for x, y in zip(t, s)]})
+    live = docs.where(F.length(F.trim("text")) >= min_chars).withColumn("n", F.length("text")).withColumn("key", F.xxhash64(F.lit(seed), "text"))
+    # each different text of a source once; one of the sources of a text counts its words
+    different = live.groupBy("key", "text", "n").agg(F.sort_array(F.collect_set("source")).alias("s")).select("key", "text", "n", F.posexplode("s").alias("i", "source")).withColumn("once", F.col("i") == 0)
+    passed = scratch.write(read(different, dims))
+    texts = passed.where("kind = 1").select("key", "source", "n", "word", "form", "parts", "cats")
+    total = texts.count()
+    if not total:
+        return docs.select(F.col("id").alias(record_id), F.when(F.col("source") != "", F.col("source")).alias(source), F.lit(0.0).alias("probability"), F.lit(False).alias("is_cut"), F.lit(False).alias("at_limit"))
+    words = scratch.write(passed.where("kind = 0").groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]))
+    limits = scratch.write(field_limits(texts))
+    forms = texts.groupBy("form").agg(F.countDistinct("key").alias("forms"))
+
+    def with_facts(x: DataFrame, n: int) -> DataFrame:
+        x = looked_up(x, words, ["word"], scratch, n)
+        x = looked_up(x, forms, ["form"], scratch, n)
+        x = looked_up(x, limits.withColumn("at_limit", F.lit(True)), ["source", "n"], scratch, n)
+        return x.na.fill(0, [*COUNTS, "forms"]).na.fill(False, ["at_limit"])
+
+    scored_rows = scratch.write(with_facts(texts, total).select("key", "source", "n", "parts", "cats", "forms", *COUNTS, "at_limit"))
 
     @F.pandas_udf("array<string>")
-    def cut(t: pd.Series, s: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([_cuts(x, int(z), copies, per_source.get(y, [])) for x, y, z in zip(t, s, k)])
-
-    def with_words(x: DataFrame) -> DataFrame:
-        x = x.withColumn("d", described("text", "source")).select(*[c for c in x.columns if c != "text"], F.col("d.word").alias("word"), F.col("d.base").alias("base"))
-        x = x.join(stats, "word", "left").na.fill(0, STATS)
-        return x.join(bounded_broadcast(limits.withColumn("at_limit", F.lit(True)), 5000), ["source", "n"], "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
-
-    key = F.xxhash64(F.lit(seed), "text")
-    total = live.select("source", F.xxhash64("text")).distinct().count()
-    share = min(1.0, 1.3 * sample / max(1, total))
-    copies = max(2, min(8, sample // max(1, total)))
-    picked = live.withColumn("key", key).where(F.pmod(F.xxhash64(F.lit(seed + 1), F.col("text")), F.lit(1_000_000)) < int(share * 1_000_000))
-    picked = scratch.write(picked.select("source", "n", "text", "key").distinct().limit(int(1.5 * sample)))
-    own = picked.select("source", "n", "text", "key", F.lit(0).alias("y"))
-    made = picked.select("source", F.explode(cut("text", "source", "key")).alias("text"), "key").withColumn("n", F.length("text")).select("source", "n", "text", "key", F.lit(1).alias("y"))
-    rows = with_words(own.unionByName(made)).select("base", *STATS, "at_limit", "y", F.pmod("key", F.lit(FOLDS)).alias("fold")).collect()  # at most 9 x sample rows, of short lists
-    if not rows:
-        return docs.limit(0).select(F.col("id").alias(record_id), F.col("source").alias(source), F.lit(0.0).alias("probability"), F.lit(False).alias("is_cut"), F.lit(False).alias("at_limit"))
-    y = np.array([r["y"] for r in rows], dtype=float)
-    full = [hashed(categories(r["base"], tuple(r[c] for c in STATS), 1 - r["y"], r["at_limit"]), dims) for r in rows]
-    plain = [hashed(categories(r["base"], tuple(r[c] for c in STATS), 1 - r["y"], False), dims) for r in rows]
-    lim = np.array([r["at_limit"] for r in rows])
-    pos, own = y == 1, y == 0
-    # rows of the data may be cut themselves: the first fits leave out those at a limit, the next ones take as
-    # whole what fits on the other rows held for whole, and add what these held for cut with near certainty;
-    # only the last fit, with these labels, sees which lengths are at a limit
-    whole, cut_too = own & ~lim, np.zeros(len(rows), dtype=bool)
-    fold = np.array([r["fold"] for r in rows])  # by hash of the text
-
-    def fitted(feats: list[list[int]], use: np.ndarray, epochs: int) -> np.ndarray:
-        at = np.flatnonzero(use & (pos | whole | cut_too))
-        weight = np.where(pos, 0.7 * cut_share / max(1, pos.sum()), 0) + np.where(cut_too, 0.3 * cut_share / max(1, cut_too.sum()), 0) + np.where(whole, (1 - cut_share) / max(1, whole.sum()), 0)
-        return fit([feats[i] for i in at], (pos | cut_too)[at].astype(float), weight[at] * len(rows), dims, epochs)
-
-    for _ in range(ROUNDS):
-        p = np.zeros(len(rows))
-        for k in range(FOLDS):
-            part = np.flatnonzero(fold == k)
-            p[part] = score([plain[i] for i in part], fitted(plain, fold != k, 120))
-        whole, cut_too = own & (p < 0.4), own & (p > 0.9)
-    w = fitted(full, np.ones(len(rows), dtype=bool), 300)
+    def cut(t: pd.Series, k: pd.Series, limit: pd.Series) -> pd.Series:
+        return pd.Series([cuts(x, int(z), copies, None if pd.isna(m) else int(m)) for x, z, m in zip(t, k, limit)])
+
+    # at most ``sample`` different texts, taken by hash, and what the pass found of them
+    rate = min(1.0, 0.97 * sample / total)
+    chosen = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("key")), F.lit(1_000_000)) < int(rate * 1_000_000)
+    half = F.pmod("key", F.lit(2)).cast("int").alias("half")
+    facts = ["parts", "cats", "forms", *COUNTS, "at_limit"]
+    picked = scratch.write(live.where(chosen).select("source", "text", "n", "key").distinct().orderBy("key", "source").limit(sample))
+    own = scored_rows.join(F.broadcast(picked.select("source", "n", "key")), ["source", "n", "key"]).select(*facts, F.lit(0).alias("y"), half)
+    inside = picked.select("source", "n", "key").join(limits.withColumnRenamed("n", "limit"), "source").where(F.col("limit") < F.col("n")).groupBy("source", "n", "key").agg(F.min_by("limit", F.xxhash64("limit", "key")).alias("limit"))
+    made = picked.join(inside, ["source", "n", "key"], "left").select("source", "key", F.explode(cut("text", "key", "limit")).alias("text")).withColumn("n", F.length("text"))
+    made = scratch.write(made.withColumn("d", described_column(F.col("text"), F.col("source"), dims)).select("source", "key", "n", "d.*"))
+    made = with_facts(made, sample).select(*facts, F.lit(1).alias("y"), half)
+    w = train(own.unionByName(made).collect(), dims)  # at most sample * (1 + copies) rows of short lists
 
     @F.pandas_udf("double")
-    def scored(base: pd.Series, stats: pd.DataFrame, at: pd.Series) -> pd.Series:
-        rows = zip(base, stats.itertuples(index=False, name=None), at)
-        return pd.Series(score([hashed(categories(list(b), c, 1, bool(a)), dims) for b, c, a in rows], w), dtype="float64")
+    def scored(parts: pd.Series, cats: pd.Series, forms: pd.Series, stats: pd.DataFrame, at: pd.Series) -> pd.Series:
+        rows = zip(parts, cats, forms, stats.itertuples(index=False, name=None), at)
+        return pd.Series(score([sorted({*c.tolist(), *hashed(crossed(list(p), (*s[:4], s[4] - 1), f - 1, bool(a)), dims)}) for p, c, f, s, a in rows], w), dtype="float64")
 
-    out = with_words(live).select("id", "source", F.round(scored("base", F.struct(*STATS), "at_limit"), 6).alias("probability"), "at_limit")
-    short = docs.where(F.col("text").isNull() | (F.length(F.trim("text")) < min_chars)).select("id", "source", F.lit(0.0).alias("probability"), F.lit(False).alias("at_limit"))
-    both = out.unionByName(short)
+    scores = scratch.write(scored_rows.select("key", "source", "n", F.round(scored("parts", "cats", "forms", F.struct(*COUNTS), "at_limit"), 6).alias("probability"), "at_limit"))
+    all_rows = docs.withColumn("n", F.length("text")).withColumn("key", F.xxhash64(F.lit(seed), "text")).select("id", "source", "n", "key")
+    both = looked_up(all_rows, scores, ["key", "source", "n"], scratch, total).na.fill(0.0, ["probability"]).na.fill(False, ["at_limit"])
     return both.select(F.col("id").alias(record_id), F.when(F.col("source") != "", F.col("source")).alias(source), "probability", (F.col("probability") >= 0.5).alias("is_cut"), "at_limit")

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from codeloom.llm.truncation import field_limits, truncated
+from codeloom.llm.truncation import Words, field_limits, split_sign, truncated, word_before
 
 DOCS = "/root/testdata/sf0.01/documents.parquet"
 
@@ -17,7 +17,27 @@ def test_edges(spark):
 def test_limits(spark):
     rows = [("a", 100 if i % 3 == 0 else 50 + i, f"t{i}") for i in range(60)] + [("b", 33, "same")] * 50
     df = spark.createDataFrame(rows, "source string, n int, text string")
-    assert [(r.source, r.n) for r in field_limits(df).collect()] == [("a", 100)]
+    assert [(r.source, r.n) for r in field_limits(df.distinct()).collect()] == [("a", 100)]
+
+
+def test_signs_and_words():
+    assert split_sign("and so it goes ...") == ("and so it goes", "...") and split_sign("a b (+123 chars)") == ("a b", "(+0 chars)")
+    assert split_sign("see f(x)") == ("see f(x)", "") and split_sign("done.") == ("done.", "") and split_sign("x" * 100_000 + " [more] ")[1] == "[more]"
+    assert word_before("the " + "q" * 500) == "q" * 500 and word_before("一个代理") == "代理" and word_before("x = (") == "("
+    w = Words()
+    w.add("Plain line\nOne two. Three four\n```\ncode here\n```\nlast words")
+    f = w.frame().set_index("word")
+    assert f.loc["line"].p_ends == 1 and f.loc["two"].s_ends == 1 and f.loc["three"].s_inner == 1 and f.loc["four"].s_ends == 1 and f.loc["words"].d_ends == 1 and "code" not in f.index
+
+
+def test_closing_forms_tell_idioms_and_signatures(spark):
+    rnd = random.Random(5)
+    def body():
+        return " ".join(f"The {rnd.choice('abcdefgh')}{rnd.randrange(99)} item goes to place {rnd.randrange(999)}." for _ in range(3))
+    rows = [(i, body() + (" And so on..." if i % 5 == 0 else f"\nThe {rnd.choice(['red', 'blue', 'green', 'grey'])}{rnd.randrange(9)} desk" if i % 5 == 1 else "")) for i in range(400)]
+    cut = [(1000 + i, body()[: -rnd.randrange(6, 60)] + ("..." if i % 2 else "")) for i in range(16)]
+    got = {r.doc_id: r.is_cut for r in truncated(spark.createDataFrame(rows + cut, "doc_id long, text string").selectExpr("*", "'a' as source"), "doc_id", "text", "source").collect()}
+    assert sum(got[i] for i, _ in rows) <= 8 and sum(got[i] for i, _ in cut) >= 14
 
 
 @pytest.mark.skipif(not os.path.exists(DOCS), reason="test tables are not here")
