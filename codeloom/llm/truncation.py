@@ -165,24 +165,23 @@ def hashed(cats: list[str], dims: int) -> list[int]:
     return sorted({zlib.crc32(c.encode()) % dims for c in cats})
 
 
-def fit(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, dims: int, epochs: int = 300, l2: float = 2e-4) -> np.ndarray:
-    """Weights of a logistic regression over sets of active features (full-batch Adam over distinct sets)."""
-    ids: dict[tuple, int] = {}
-    to = np.array([ids.setdefault(tuple(r), len(ids)) for r in rows])
-    rows = [list(r) for r in ids]
-    n, pos = np.bincount(to, weight, len(rows)), np.bincount(to, weight * y, len(rows))
+def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, dims: int, epochs: int = 300, l2: float = 2e-4) -> np.ndarray:
+    """Weights of a logistic regression over sets of active features (full-batch Adam)."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    ix = np.concatenate([np.asarray(r) for r in rows])
-    w, m, v = np.zeros(dims), np.zeros(dims), np.zeros(dims)
-    total = weight.sum()
+    used, ix = np.unique(np.concatenate(rows), return_inverse=True)  # only these weights ever move
+    k = len(used)
+    w, m, v = np.zeros(k), np.zeros(k), np.zeros(k)
+    n = weight / weight.sum()
     for t in range(1, epochs + 1):
         z = np.bincount(at, w[ix], len(rows))
-        g = (n / (1 + np.exp(-np.clip(z, -30, 30))) - pos) / total
-        grad = np.bincount(ix, g[at], dims) + l2 * w / 10
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * n
+        grad = np.bincount(ix, g[at], k) + l2 * w / 10
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
+    out = np.zeros(dims)
+    out[used] = w
+    return out
 
 
 def score(rows: list[list[int]], w: np.ndarray) -> np.ndarray:
@@ -315,33 +314,41 @@ def field_limits(texts: DataFrame, least: int = 4, ratio: float = 6.0, near: int
     return h.where((F.col("c") >= least) & (F.col("c") >= ratio * F.greatest(F.col("around"), F.lit(0.25)))).select("source", "n")
 
 
-def train(rows: list, dims: int, cut_share: float = CUT_SHARE, rounds: int = 3, doubt: float = 0.3) -> np.ndarray:
-    """Weights from training rows: y (1 for artificial cuts), half, at_limit, parts, cats, forms and COUNTS."""
-    own = 1 - np.array([r["y"] for r in rows])
+FACTS = ["parts", "cats", "forms", *COUNTS, "at_limit"]
+
+
+def features(own: bool, limits: bool, dims: int) -> Column:
+    """All hashed categories of a row of FACTS; ``own`` texts are in the statistics themselves and are taken out of them,
+    ``limits`` shows whether the length is at a limit."""
+
+    @F.pandas_udf("array<int>")
+    def made(parts: pd.Series, cats: pd.Series, forms: pd.Series, stats: pd.DataFrame, at: pd.Series) -> pd.Series:
+        o = int(own)
+        rows = zip(parts, cats, forms, stats.itertuples(index=False, name=None), at)
+        return pd.Series([sorted({*c.tolist(), *hashed(crossed(list(p), (*s[:4], s[4] - o), f - o, limits and bool(a)), dims)}) for p, c, f, s, a in rows], dtype="object")
 
-    def features(limits: bool) -> list[list[int]]:
-        out = []
-        for r, o in zip(rows, own):
-            stats = (*[r[c] for c in COUNTS[:4]], r["d_ends"] - o)
-            out.append(sorted({*r["cats"], *hashed(crossed(r["parts"], stats, r["forms"] - o, limits and r["at_limit"]), dims)}))
-        return out
+    return made("parts", "cats", "forms", F.struct(*COUNTS), "at_limit")
 
-    plain, full = features(False), features(True)
-    half = np.array([r["half"] for r in rows])
 
-    def fitted(feats: list[list[int]], use: np.ndarray, epochs: int) -> np.ndarray:
+def train(rows: pd.DataFrame, dims: int, cut_share: float = CUT_SHARE, rounds: int = 3, doubt: float = 0.3) -> np.ndarray:
+    """Weights from training rows: y (1 for artificial cuts), half, at_limit, plain and full (features without and with
+    limits), and c, how many rows are the same."""
+    y, half, c = rows["y"].to_numpy(), rows["half"].to_numpy(), rows["c"].to_numpy().astype(float)
+    plain, full = rows["plain"].tolist(), rows["full"].tolist()
+
+    def fitted(feats: list, use: np.ndarray, epochs: int) -> np.ndarray:
         at = np.flatnonzero(use)
-        y = 1 - own[at]
-        weight = np.where(y == 1, cut_share / max(1, y.sum()), (1 - cut_share) / max(1, (1 - y).sum())) * len(y)
-        return fit([feats[i] for i in at], y.astype(float), weight, dims, epochs)
+        cut, n = y[at] == 1, c[at]
+        weight = n * np.where(cut, cut_share / max(1, n[cut].sum()), (1 - cut_share) / max(1, n[~cut].sum())) * len(y)
+        return fit([feats[i] for i in at], cut.astype(float), weight, dims, epochs)
 
     # rows of the data may be cut themselves: negatives that the other half's fit doubts are left out; it does not see
     # which lengths are at a limit, since all rows there are left out at first
-    out = np.array([r["at_limit"] for r in rows]) & (own == 1)
+    out = rows["at_limit"].to_numpy() & (y == 0)
     for _ in range(rounds):
         nxt = np.zeros(len(rows), dtype=bool)
         for h in (0, 1):
-            at = np.flatnonzero((half == h) & (own == 1))
+            at = np.flatnonzero((half == h) & (y == 0))
             if len(at) and ((half != h) & ~out).any():
                 nxt[at] = score([plain[i] for i in at], fitted(plain, (half != h) & ~out, 120)) > doubt
         out = nxt
@@ -381,21 +388,24 @@ def truncated(df: DataFrame, record_id: str, text: str, source: str, min_chars:
     rate = min(1.0, 0.97 * sample / total)
     chosen = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("key")), F.lit(1_000_000)) < int(rate * 1_000_000)
     half = F.pmod("key", F.lit(2)).cast("int").alias("half")
-    facts = ["parts", "cats", "forms", *COUNTS, "at_limit"]
+
+    def rows(x: DataFrame, y: int) -> DataFrame:
+        x = x.select("at_limit", F.lit(y).alias("y"), half, features(not y, False, dims).alias("plain"), features(not y, True, dims).alias("full"))
+        return x.groupBy(*x.columns).agg(F.count("*").alias("c"))
+
     picked = scratch.write(live.where(chosen).select("source", "text", "n", "key").distinct().orderBy("key", "source").limit(sample))
-    own = scored_rows.join(F.broadcast(picked.select("source", "n", "key")), ["source", "n", "key"]).select(*facts, F.lit(0).alias("y"), half)
+    own = rows(scored_rows.join(F.broadcast(picked.select("source", "n", "key")), ["source", "n", "key"]), 0)
     inside = picked.select("source", "n", "key").join(limits.withColumnRenamed("n", "limit"), "source").where(F.col("limit") < F.col("n")).groupBy("source", "n", "key").agg(F.min_by("limit", F.xxhash64("limit", "key")).alias("limit"))
     made = picked.join(inside, ["source", "n", "key"], "left").select("source", "key", F.explode(cut("text", "key", "limit")).alias("text")).withColumn("n", F.length("text"))
     made = scratch.write(made.withColumn("d", described_column(F.col("text"), F.col("source"), dims)).select("source", "key", "n", "d.*"))
-    made = with_facts(made, sample).select(*facts, F.lit(1).alias("y"), half)
-    w = train(own.unionByName(made).collect(), dims)  # at most sample * (1 + copies) rows of short lists
+    made = rows(with_facts(made, sample), 1)
+    w = train(own.unionByName(made).toPandas(), dims)  # at most sample * (1 + copies) rows of short lists
 
     @F.pandas_udf("double")
-    def scored(parts: pd.Series, cats: pd.Series, forms: pd.Series, stats: pd.DataFrame, at: pd.Series) -> pd.Series:
-        rows = zip(parts, cats, forms, stats.itertuples(index=False, name=None), at)
-        return pd.Series(score([sorted({*c.tolist(), *hashed(crossed(list(p), (*s[:4], s[4] - 1), f - 1, bool(a)), dims)}) for p, c, f, s, a in rows], w), dtype="float64")
+    def scored(x: pd.Series) -> pd.Series:
+        return pd.Series(score(x.tolist(), w), dtype="float64")
 
-    scores = scratch.write(scored_rows.select("key", "source", "n", F.round(scored("parts", "cats", "forms", F.struct(*COUNTS), "at_limit"), 6).alias("probability"), "at_limit"))
+    scores = scratch.write(scored_rows.select("key", "source", "n", F.round(scored(features(True, True, dims)), 6).alias("probability"), "at_limit"))
     all_rows = docs.withColumn("n", F.length("text")).withColumn("key", F.xxhash64(F.lit(seed), "text")).select("id", "source", "n", "key")
     both = looked_up(all_rows, scores, ["key", "source", "n"], scratch, total).na.fill(0.0, ["probability"]).na.fill(False, ["at_limit"])
     return both.select(F.col("id").alias(record_id), F.when(F.col("source") != "", F.col("source")).alias(source), "probability", (F.col("probability") >= 0.5).alias("is_cut"), "at_limit")
