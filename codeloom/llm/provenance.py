@@ -10,9 +10,9 @@ columns.
 Defined results
 - ``reason`` is null for hand-written files; else the first of: lock_file, vendored_path, third_party_notice,
   generated_notice, bundle, minified, literal_data, numbered_members.
-- Null or blank contents and saved web pages have no reason, whatever their path. A null path only loses the
-  path rules.
-- A holder named in ``own`` never makes a file third-party; a directory of packages does even without a notice,
+- Null or blank contents and saved web pages have no reason, whatever their path: an empty file is no one's copy. A null
+  path only loses the path rules.
+- Every file below a directory of packages counts as copied, directly below it too. A holder named in ``own`` never makes a file third-party; a directory of packages does even without a notice,
   unless a comment names an own holder and none names another.
 - Rows are judged one by one; repeated rows get the same reason. Extra columns are untouched by the column form.
 """
@@ -26,8 +26,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-OWN = ("Orrin Works",)
-
 #: Parts of notices for the automaton, lower case.
 GENERATED_PARTS = ["code generated", "generated by", "@generated", "auto-generated", "autogenerated", "auto generated", "automatically generated", "automatically produced", "automatically created", "machine generated", "machine-generated", "generated from", "generated file", "file is generated", "file was generated", "was created by", "was produced by", "is produced by", "generated automatically", "generated with"]
 THIRD_PARTY_PARTS = ["copyright", "spdx-filecopyrighttext", "(c)", "copied from", "vendored from", "imported from", "taken from", "adapted from", "/*!", "@license"]
@@ -222,7 +220,7 @@ def is_minified(text: str, path: str) -> bool:
     return space < 0.06 * n and longest >= 120
 
 
-def reason(path: str | None, content: str | None, own: tuple[str, ...] = OWN) -> str | None:
+def reason(path: str | None, content: str | None, own: tuple[str, ...] = ()) -> str | None:
     """Why a file is not hand-written source, or None."""
     if not content or not content.strip() or WEB_PAGE.match(content):
         return None
@@ -231,7 +229,7 @@ def reason(path: str | None, content: str | None, own: tuple[str, ...] = OWN) ->
     if LOCK_NAME.match(parts[-1]) or ('"lockfileVersion"' in content and '"integrity"' in content):
         return "lock_file"
     found = notices(content, own)
-    if any(x in PACKAGE_DIRS for x in parts[:-2]) and ("own" not in found or "third_party" in found):
+    if any(x in PACKAGE_DIRS for x in parts[:-1]) and ("own" not in found or "third_party" in found):
         return "vendored_path"
     if "third_party" in found:
         return "third_party_notice"
@@ -248,7 +246,7 @@ def reason(path: str | None, content: str | None, own: tuple[str, ...] = OWN) ->
     return None
 
 
-def reason_column(path: str | Column, content: str | Column, own: tuple[str, ...] = OWN) -> Column:
+def reason_column(path: str | Column, content: str | Column, own: tuple[str, ...] = ()) -> Column:
     """``reason`` as a column of Arrow batches."""
 
     @F.pandas_udf("string")

@@ -11,11 +11,14 @@ def test_cases():
     assert reason("a/b.py", "# This file was created by toolx 3.1. Any change will be lost on the next run.\n" + body) == "generated_notice"
     assert reason("a/b.py", 'BANNER = "Code generated by toolx. DO NOT EDIT."\n' + body) is None
     assert reason("a/b.py", "# parts of the report are generated at run time; see peer\n# do not edit the order by hand\n" + body) is None
-    assert reason("a/b.py", "# Copyright 2024 Orrin Works. All rights reserved.\n" + body) is None
+    assert reason("a/b.py", "# Copyright 2024 Orrin Works. All rights reserved.\n" + body, ("Orrin Works",)) is None
+    assert reason("a/b.py", "# Copyright 2024 Orrin Works. All rights reserved.\n" + body) == "third_party_notice"
     assert reason("a/b.py", "# Copyright 2024 foo authors. All rights reserved.\n" + body) == "third_party_notice"
     assert reason("a/b.py", "# Copied from foo 2.1.0, upstream file b\n" + body) == "third_party_notice"
     assert reason("a/b.py", "# not copied from anywhere\n" + body) is None
     assert reason("a/vendor/foo/b.py", body) == "vendored_path"
+    assert {reason(p, body) for p in ("vendor/jquery.js", "node_modules/x.js", "third_party/zlib.c", "a/vendor/lib.go")} == {"vendored_path"}
+    assert reason("vendor", body) is None and reason("a/vendor.py", body) is None
     assert reason("a/vendor_portal/foo/b.py", body) is None
     assert reason("a/package-lock.json", "{}") == "lock_file"
     assert reason("a/x.js", "function a(b,c){return b?c.d(e):!1};" * 40) == "minified"
