@@ -113,7 +113,7 @@ def is_test_path(path: str | Column) -> Column:
 def is_test_like(path: str | Column) -> Column:
     p = F.lower(F.translate(_col(path), "\\", "/"))
     name = basename(p)
-    return F.concat(F.lit("/"), p, F.lit("/")).rlike("/tests?/") | name.startswith("test_") | name.isin("test.py", "tests.py") | _any([name.endswith(s) for s in TEST_LIKE_SUFFIXES])
+    return F.concat(F.lit("/"), p, F.lit("/")).rlike("/tests?/") | p.contains("src/test") | name.startswith("test_") | name.isin("test.py", "tests.py") | _any([name.endswith(s) for s in TEST_LIKE_SUFFIXES])
 
 
 #: Parts of paths of copied or built files.
@@ -206,3 +206,11 @@ def unit_vector(v: str | Column) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def sampled_digest(text: str | Column, head: int = 512 * 1024, tail: int = 64 * 1024) -> Column:
+    """sha256 over the bytes of a text, of a larger one over its first and last bytes: a cheap sign that it may have
+    changed, never that it has not. Null for a null text."""
+    b = F.encode(_col(text), "UTF-8")
+    long = F.concat(F.substring(b, 1, head), F.substring(b, -tail, tail))
+    return F.sha2(F.when(F.octet_length(b) > head + tail, long).otherwise(b), 256)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
@@ -21,21 +21,16 @@ def edges(df: DataFrame, scope: str, src: str, dst: str) -> DataFrame:
     return df.select(F.col(scope).alias("scope"), F.col(src).alias("src"), F.col(dst).alias("dst")).dropna().distinct()
 
 
-def reach(e: DataFrame, starts: DataFrame, depth: int, forward: bool = True, keep_start: bool = False) -> DataFrame:
-    """(scope, start, node, level) within ``depth`` hops, at the least level. ``forward`` follows src to dst.
-
-    The start itself is left out, unless ``keep_start`` and a loop leads back to it.
-    """
-    a, b = ("src", "dst") if forward else ("dst", "src")
-    step = e.select("scope", F.col(a).alias("node"), F.col(b).alias("next")).where("node <> next" if not keep_start else "true").distinct()
-    scratch = Scratch(e.sparkSession)
-    front = starts.select("scope", F.col("node").alias("start"), "node").distinct()
-    seen = scratch.write(front.withColumn("level", F.lit(0).cast("long")))
+def _frontier(step: DataFrame, starts: DataFrame, depth: int, keep_start: bool) -> DataFrame:
+    """(scope, way, start, node, level) along (scope, way, node, next) from (scope, way, start, node), at the least level."""
+    scratch = Scratch(step.sparkSession)
+    key = ["scope", "way", "node"]
+    seen = scratch.write(starts.distinct().withColumn("level", F.lit(0).cast("long")))
     front, levels = seen, [seen]
     known = seen.where("level > 0") if keep_start else seen
     for n in range(1, depth + 1):
-        nxt = front.select("scope", "start", "node").join(step, ["scope", "node"]).select("scope", "start", F.col("next").alias("node")).distinct()
-        new = scratch.write(nxt.join(known.select("scope", "start", "node"), ["scope", "start", "node"], "left_anti").withColumn("level", F.lit(n).cast("long")))
+        nxt = front.select("start", *key).join(step, key).select("scope", "way", "start", F.col("next").alias("node")).distinct()
+        new = scratch.write(nxt.join(known.select("start", *key), ["start", *key], "left_anti").withColumn("level", F.lit(n).cast("long")))
         if not new.take(1):
             break
         front = new
@@ -44,6 +39,28 @@ def reach(e: DataFrame, starts: DataFrame, depth: int, forward: bool = True, kee
     return reduce(DataFrame.unionByName, levels).where("level > 0")
 
 
+def _steps(e: DataFrame, forward: bool, keep_start: bool) -> DataFrame:
+    a, b = ("src", "dst") if forward else ("dst", "src")
+    step = e.select("scope", F.lit("ahead" if forward else "back").alias("way"), F.col(a).alias("node"), F.col(b).alias("next"))
+    return step.where("node <> next" if not keep_start else "true").distinct()
+
+
+def reach(e: DataFrame, starts: DataFrame, depth: int, forward: bool = True, keep_start: bool = False) -> DataFrame:
+    """(scope, start, node, level) within ``depth`` hops, at the least level. ``forward`` follows src to dst.
+
+    The start itself is left out, unless ``keep_start`` and a loop leads back to it.
+    """
+    front = starts.select("scope", F.lit("ahead" if forward else "back").alias("way"), F.col("node").alias("start"), "node")
+    return _frontier(_steps(e, forward, keep_start), front, depth, keep_start).drop("way")
+
+
+def hops(e: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """(scope, way, start, node, level): what both ways ('ahead' from src to dst, 'back') reach, in one traversal."""
+    ways = F.explode(F.array(F.lit("ahead"), F.lit("back"))).alias("way")
+    front = starts.select("scope", ways, F.col("node").alias("start"), "node")
+    return _frontier(_steps(e, True, False).unionByName(_steps(e, False, False)), front, depth, False)
+
+
 def neighbours(e: DataFrame, starts: DataFrame) -> DataFrame:
     """(scope, node, direction, other): direct callers and callees."""
     s = starts.select("scope", "node").distinct()
@@ -68,15 +85,16 @@ def dead(e: DataFrame) -> DataFrame:
     return roots(e).where(~named & ~low.startswith("test_"))
 
 
-def impact(e: DataFrame, files: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
+def impact(e: DataFrame, files: DataFrame, starts: DataFrame, depth: int = 2, found: DataFrame | None = None) -> DataFrame:
     """One row per start: affected (reached forward), dependents (reached backward), files (of edges that touch any of
     these or the start) and blast radius (affected and dependents together).
 
     ``files``: (scope, src, dst, path). The touch of either end is two semi joins, not one join on a disjunction.
+    ``found``: hops of at least this depth, if they are there already.
     """
-    scratch = Scratch(e.sparkSession)
-    ahead = scratch.write(reach(e, starts, depth).select("scope", "start", "node"))
-    back = scratch.write(reach(e, starts, depth, forward=False).select("scope", "start", "node"))
+    found = (hops(e, starts, depth) if found is None else found).where(F.col("level") <= depth)
+    ahead = found.where("way = 'ahead'").select("scope", "start", "node")
+    back = found.where("way = 'back'").select("scope", "start", "node")
     own = starts.select("scope", F.col("node").alias("start"), "node").distinct()
     every = ahead.unionByName(back).unionByName(own).distinct()
     touched = every.join(files.select("scope", F.col("src").alias("node"), "path"), ["scope", "node"]).unionByName(every.join(files.select("scope", F.col("dst").alias("node"), "path"), ["scope", "node"]))
@@ -96,14 +114,38 @@ def entry_points(e: DataFrame, starts: DataFrame, depth: int = 20) -> DataFrame:
     return reach(e, starts, depth, forward=False).join(roots(e), ["scope", "node"], "left_semi").select("scope", "start", "node")
 
 
-def related_tests(e: DataFrame, files: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
+def related_tests(e: DataFrame, files: DataFrame, starts: DataFrame, depth: int = 3, found: DataFrame | None = None) -> DataFrame:
     """(scope, start, path): test files that call the start or one of its callers within ``depth`` hops."""
-    near = reach(e, starts, depth, forward=False).select("scope", "start", "node").unionByName(starts.select("scope", F.col("node").alias("start"), "node")).distinct()
+    back = reach(e, starts, depth, forward=False) if found is None else found.where((F.col("way") == "back") & (F.col("level") <= depth))
+    near = back.select("scope", "start", "node").unionByName(starts.select("scope", F.col("node").alias("start"), "node")).distinct()
     t = files.where(T.is_test_path("path"))
     out = near.join(t.select("scope", F.col("src").alias("node"), "path"), ["scope", "node"]).unionByName(near.join(t.select("scope", F.col("dst").alias("node"), "path"), ["scope", "node"]))
     return out.select("scope", "start", "path").distinct()
 
 
+def name_key(name: Column) -> Column:
+    """A name without case, underscores and hyphens."""
+    return F.lower(F.translate(name, "_-", ""))
+
+
+def tests_by_name(nodes: DataFrame, files: DataFrame, scope: str, path: str) -> DataFrame:
+    """(scope, node, path): test files named after a node, but for the mark of a test; an equi-join on the bare name."""
+    stem = F.regexp_replace(T.basename(F.col(path)), r"\.[^.]*(?:\.[^.]*)?$", "")
+    key = F.regexp_replace(name_key(stem), r"^tests?|(?:tests?|spec)$", "")
+    t = files.where(T.is_test_path(path)).select(F.col(scope).alias("scope"), F.col(path).alias("path"), key.alias("_k")).where("_k <> ''")
+    return nodes.select("scope", "node", name_key(F.col("node")).alias("_k")).join(t, ["scope", "_k"]).select("scope", "node", "path").distinct()
+
+
+def code_graph(rows: DataFrame, scope: str, src: str, dst: str, path: str, depth: int = 3) -> DataFrame:
+    """(scope, from_dir, to_dir, edges, names): edges between directories, cut at a depth, of an edge's own file and the file
+    where its other end is declared, the first by name; ends declared nowhere lead to a null directory."""
+    d = lambda c: F.array_join(F.slice(F.split(c, "/"), 1, F.least(F.lit(depth), F.size(F.split(c, "/")) - 1)), "/")
+    e = rows.select(F.col(scope).alias("scope"), F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(path).alias("path")).dropna().distinct()
+    home = e.groupBy("scope", F.col("src").alias("dst")).agg(F.min("path").alias("home"))
+    x = e.join(home, ["scope", "dst"], "left").select("scope", d(F.col("path")).alias("from_dir"), F.when(F.col("home").isNotNull(), d(F.col("home"))).alias("to_dir"), "dst")
+    return x.groupBy("scope", "from_dir", "to_dir").agg(F.count("*").alias("edges"), F.countDistinct("dst").alias("names"))
+
+
 def risk(impact_rows: DataFrame, tests: DataFrame) -> DataFrame:
     """Impact rows with n_tests, risk_score (0..7) and risk: more callers, files and fewer tests are riskier."""
     n = tests.groupBy("scope", "start").agg(F.countDistinct("path").alias("n_tests"))

@@ -49,9 +49,27 @@ def live(state: DataFrame) -> DataFrame:
 
 def coalesced(log: DataFrame, max_files: int = 25, max_bytes: int = 250_000) -> DataFrame:
     """The last change per key with the batch it falls into: deletes cancel earlier upserts, and a batch of a workspace
-    ends where the next item would exceed its number or its bytes; the first item is always admitted."""
-    x = latest_state(log)
-    return cut_sequences(x, ["workspace_id"], ["revision", "seq", "path"], "size", max_files, max_bytes, "batch", Scratch(log.sparkSession))
+    ends where the next item would exceed its number or its bytes; the first item is always admitted. Deletes take
+    no bytes."""
+    x = latest_state(log).withColumn("_room", F.when(F.col("op") != "delete", F.coalesce("size", F.lit(0))))
+    return cut_sequences(x, ["workspace_id"], ["revision", "seq", "path"], "_room", max_files, max_bytes, "batch", Scratch(log.sparkSession)).drop("_room")
+
+
+def debounced(events: DataFrame, keys: list[str], at: str, seq: str, op: str, gap_ms: int = 800) -> DataFrame:
+    """keys.., burst (from 0), begun, ended, events, op: events of a key closer than ``gap_ms`` to the one before are one
+    burst, which counts with its last operation. Times in milliseconds; a null time is before all others."""
+    over = "over (partition by " + ", ".join(f"`{k}`" for k in keys) + f" order by `{at}`, `{seq}`)"
+    x = events.withColumn("_lag", F.expr(f"lag(`{at}`) {over}")).withColumn("_new", F.when(F.col("_lag").isNull() | (F.col(at) - F.col("_lag") > gap_ms), 1).otherwise(0))
+    x = x.withColumn("burst", (F.expr(f"sum(_new) {over}") - 1).cast("long"))
+    return x.groupBy(*keys, "burst").agg(F.min(at).alias("begun"), F.max(at).alias("ended"), F.count("*").alias("events"), F.max_by(op, F.struct(at, seq)).alias("op"))
+
+
+def queue_state(log: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """keys.., revision, accepted_revision, failures, state: of a log of events 'add', 'ack' and 'fail' with revisions, what
+    is accepted at its newest revision, to be tried again after failures, or still pending; in any order of arrival."""
+    of = lambda e: F.when(F.col("event") == e, F.col("revision"))
+    x = log.groupBy(*keys).agg(F.max(of("add")).alias("revision"), F.max(of("ack")).alias("accepted_revision"), F.count_if(F.col("event") == "fail").alias("failures"))
+    return x.withColumn("state", F.when(F.col("accepted_revision") >= F.col("revision"), "accepted").when(F.col("failures") > 0, "retry").otherwise("pending"))
 
 
 def watermarks(log: DataFrame) -> DataFrame:

@@ -138,3 +138,29 @@ def severity(code: str | Column) -> Column:
     """Severity of a lint code: E9 and F errors, E and W warnings, else info."""
     c = F.col(code) if isinstance(code, str) else code
     return F.when(c.startswith("E9") | c.startswith("F"), "error").when(c.startswith("E") | c.startswith("W"), "warning").otherwise("info")
+
+
+def newest(df: DataFrame, keys: list[str], order: list[str], keep: int, buckets: int = 64) -> DataFrame:
+    """The ``keep`` newest rows of each key with ``dropped``, how many older ones fell out. Ranks are taken per bucket
+    first, so a hot key never lies in one task."""
+    part = ", ".join(f"`{k}`" for k in keys)
+    by = ", ".join(f"`{c}` desc nulls last" for c in order)
+    total = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    x = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets))).withColumn("_r", F.expr(f"row_number() over (partition by {part}, _b order by {by})")).where(F.col("_r") <= keep)
+    x = x.withColumn("_r", F.expr(f"row_number() over (partition by {part} order by {by})")).where(F.col("_r") <= keep).drop("_r", "_b")
+    t = total.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n")
+    on = None
+    for i, k in enumerate(keys):
+        same = F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        on = same if on is None else on & same
+    return x.join(t, on).select(*df.columns, F.greatest(F.col("_n") - keep, F.lit(0)).cast("long").alias("dropped"))
+
+
+def first_provider(providers: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """keys.., provider, hits: of providers in their order the first that has any row for the keys, and how many."""
+    both = None
+    for n, (name, df) in enumerate(providers.items()):
+        part = df.groupBy(*keys).agg(F.count("*").alias("hits")).withColumn("_p", F.struct(F.lit(n).alias("n"), F.lit(name).alias("name")))
+        both = part if both is None else both.unionByName(part)
+    best = both.groupBy(*keys).agg(F.min_by(F.struct("_p", "hits"), "_p.n").alias("b"))
+    return best.select(*keys, F.col("b._p.name").alias("provider"), F.col("b.hits").alias("hits"))

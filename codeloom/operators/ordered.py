@@ -52,17 +52,17 @@ class Run:
 
     def take(self, size: float, max_items: int, max_size: float) -> int:
         """Add a row; the number of its run."""
-        if not self.items or self.items >= max_items or self.total + size > max_size:
+        if not self.items or self.items >= max_items or size >= 0 and self.total + size > max_size:
             self.items, self.total, self.begun = 0, 0.0, self.begun + 1
         self.items += 1
-        self.total += size
+        self.total += max(size, 0.0)
         return self.begun - 1
 
 
 def cut_sequences(df: DataFrame, groups: list[str], order: list[str], size: str, max_items: int, max_size: float, out: str, scratch: Scratch, partitions: int | None = None) -> DataFrame:
     """``df`` with the number (from 0) of each row's run within its group: in order, a run takes rows until the next
-    would be one too many or exceed ``max_size`` in sum; a larger single row is a run of its own. Null and negative
-    sizes count as 0, null groups as one group.
+    would be one too many or exceed ``max_size`` in sum; a larger single row is a run of its own. Negative
+    sizes count as 0, a null size joins whatever run is open, null groups are one group.
 
     Rows are streamed range by range. A run that is open where a range begins holds some number of the last
     ``max_items`` rows before it, so for groups that span ranges each range states what becomes of every such number;
@@ -71,7 +71,7 @@ def cut_sequences(df: DataFrame, groups: list[str], order: list[str], size: str,
     spark, names = df.sparkSession, df.columns
     keys = [f"_g{i}" for i in range(len(groups))]
     clean = df.withColumns({k: F.concat(F.lit("="), F.col(g).cast("string")) for k, g in zip(keys, groups)}).na.fill("", keys)
-    clean = clean.withColumn("_s", F.greatest(F.coalesce(F.col(size).cast("double"), F.lit(0.0)), F.lit(0.0)))
+    clean = clean.withColumn("_s", F.coalesce(F.greatest(F.col(size).cast("double"), F.lit(0.0) + F.col(size) * 0), F.lit(-1.0)))
     rows = in_order(clean, [*keys, *order], scratch, partitions)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [PART, *keys]
@@ -108,7 +108,7 @@ def cut_sequences(df: DataFrame, groups: list[str], order: list[str], size: str,
                             yield told()
                         now = (tuple(key), part)
                         b = before[now]
-                        runs = [Run(k, sum(b[len(b) - k :]), 0) for k in range(len(b) + 1)]
+                        runs = [Run(k, sum(x for x in b[len(b) - k :] if x > 0), 0) for k in range(len(b) + 1)]
                         at = list(range(len(runs)))
                     cut = False
                     for r in runs:

@@ -14,10 +14,46 @@ from pyspark.sql import functions as F
 DECLARATION = r"^(\s*)(?:(?:public|private|protected|static|final|abstract|sealed|case|open|override|implicit|lazy)\s+)*(class|trait|object|interface|enum|def|async\s+def|function|func)\s+([A-Za-z_][A-Za-z0-9_]*)\b"
 
 
-def symbols(ls: DataFrame, keys: list[str]) -> DataFrame:
-    """keys.., name, kind, line_start, signature."""
-    kind = F.regexp_replace(F.regexp_extract("line", DECLARATION, 2), r"\s+", " ")
-    return ls.withColumn("name", F.regexp_extract("line", DECLARATION, 3)).where("name <> ''").select(*keys, "name", kind.alias("kind"), F.col("line_no").alias("line_start"), F.substring(F.trim("line"), 1, 200).alias("signature"))
+#: Further declarations by suffix of the path: (suffixes, pattern, kind or number of its group, group of the name).
+FORMS = [
+    (["go"], r"^func\s+(?:\([^)]*\)\s*)([A-Za-z_]\w*)", "method", 1),
+    (["go"], r"^type\s+([A-Za-z_]\w*)\s+(struct|interface)\b", 2, 1),
+    (["rs"], r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|unsafe|const|default)\s+)*(fn|struct|enum|trait|union|mod)\s+([A-Za-z_]\w*)", 1, 2),
+    (["rs"], r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?([A-Za-z_]\w*)", "impl", 1),
+    (["java", "kt", "scala", "cs"], r"^\s*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*record\s+([A-Za-z_]\w*)", "record", 1),
+    (["java", "cs"], r"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|override|virtual|async)\s+)*(?:<[^>]+>\s+)?(?:void|int|long|double|float|boolean|bool|char|byte|short|string|[A-Z]\w*(?:<[^()]*>)?)(?:\[\])*\s+([A-Za-z_]\w*)\s*\([^;={}]*(?:\)\s*(?:throws\s+[\w., ]+)?\s*[{;]?\s*|,\s*)$", "method", 1),
+    (["js", "jsx", "cjs", "mjs", "ts", "tsx"], r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+|async\s+|declare\s+)*(class|interface|enum|function)\s*\*?\s+([A-Za-z_$][\w$]*)", 1, 2),
+    (["js", "jsx", "cjs", "mjs", "ts", "tsx"], r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s+)?(?:function\b|\([^)]*\)\s*(?::\s*[\w<>\[\] |.]+)?\s*=>|[A-Za-z_$][\w$]*\s*=>)", "function", 1),
+    (["js", "jsx", "cjs", "mjs", "ts", "tsx"], r"^\s+(?:(?:public|private|protected|static|readonly|async|get|set|override)\s+)*([A-Za-z_$][\w$]*)\s*\([^;={}]*\)\s*(?::\s*[\w<>\[\] |.]+)?\s*\{\s*$", "method", 1),
+    (["c", "h", "cc", "cpp", "hpp", "cxx"], r"^\s*(?:typedef\s+)?(struct|union|enum|class|namespace)\s+([A-Za-z_]\w*)\s*(?:final\s*)?(?::[^;]*)?\{?\s*$", 1, 2),
+    (["c", "h", "cc", "cpp", "hpp", "cxx"], r"^(?:[A-Za-z_][\w:<>]*[\s*&]+)+([A-Za-z_][\w:]*)\s*\([^;={}]*\)\s*(?:const\s*)?\{?\s*$", "function", 1),
+]
+#: Words that begin statements and declare nothing.
+STATEMENTS = ["if", "for", "while", "switch", "catch", "return", "else", "do", "try", "function", "with", "new", "throw", "typeof", "await", "super", "constructor", "sizeof", "defined"]
+
+
+def _declared() -> Column:
+    """(name, kind) of the first declaration form that a line with ``_suffix`` has; the general one comes first."""
+    general = F.regexp_extract("line", DECLARATION, 3)
+    found = [F.when(general != "", F.struct(general.alias("name"), F.regexp_replace(F.regexp_extract("line", DECLARATION, 2), r"\s+", " ").alias("kind")))]
+    for suffixes, pattern, what, at in FORMS:
+        kind = F.regexp_extract("line", pattern, what) if isinstance(what, int) else F.lit(what)
+        got = F.regexp_extract("line", pattern, at)
+        found.append(F.when(F.col("_suffix").isin(suffixes) & (got != "") & ~got.isin(STATEMENTS), F.struct(got.alias("name"), kind.alias("kind"))))
+    return F.coalesce(*found)
+
+
+#: What every form has, so that most lines are read once.
+MAY_DECLARE = r"\b(?:class|trait|object|interface|enum|def|function|func|fn|struct|union|mod|impl|record|type|namespace)\b|[({]\s*$|\)|=>|,\s*$"
+
+
+def symbols(ls: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
+    """keys.., name, kind, line_start, signature, by the general form and those of the path's language."""
+    suffix = F.lower(F.substring_index(path, ".", -1)) if path in ls.columns else F.lit("")
+    out = ls.where(F.col("line").rlike(MAY_DECLARE)).withColumn("_suffix", suffix)
+    # the generator reads each form once, where a filter on the result would read it again
+    out = out.select(*keys, "line_no", "line", F.explode(F.filter(F.array(_declared()), lambda x: x.isNotNull())).alias("_d"))
+    return out.select(*keys, F.col("_d.name").alias("name"), F.col("_d.kind").alias("kind"), F.col("line_no").alias("line_start"), F.substring(F.trim("line"), 1, 200).alias("signature"))
 
 
 def tier(name: str | Column, query: str) -> Column:
@@ -32,10 +68,9 @@ def search(syms: DataFrame, query: str, path: str, kind: str | None = None, fuzz
     rows = syms.withColumn("score", tier("name", query)).where(F.col("score") >= (min_score if fuzzy else max(min_score, 0.9)))
     if kind:
         rows = rows.where(F.col("kind") == kind)
-    if rows.where(F.col("score") == 1.0).take(1):
-        rows = rows.where(F.col("score") == 1.0)
     rank = [F.desc("score"), F.desc(F.col("name") == query.strip()), F.desc(F.col("kind") == "class"), F.lower("name"), path, "line_start"]
-    return rows.orderBy(*rank).limit(limit)
+    top = rows.orderBy(*rank).limit(limit)  # exact names come first, so one at the top tells whether there is any
+    return top.withColumn("_best", F.expr("max(score) over ()")).where((F.col("_best") < 1.0) | (F.col("score") == 1.0)).drop("_best").orderBy(*rank)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -107,6 +142,7 @@ INHERITANCE = [
     (r"^\s*class\s+([A-Za-z_]\w*)\s*\(([^)]*)\)\s*:", "inherits"),
     (r"^\s*(?:export\s+|default\s+|public\s+|final\s+|abstract\s+|static\s+)*(?:class|interface)\s+([A-Za-z_$][\w$]*)(?:<[^>]*>)?\s+extends\s+([\w$.<>, ]+?)(?:\s+implements\b.*)?\s*\{?\s*$", "extends"),
     (r"^\s*(?:export\s+|default\s+|public\s+|final\s+|abstract\s+|static\s+)*class\s+([A-Za-z_$][\w$]*)(?:<[^>]*>)?(?:\s+extends\s+[\w$.<>]+)?\s+implements\s+([\w$.<>, ]+?)\s*\{?\s*$", "implements"),
+    (r"^\s*(?:class|struct)\s+([A-Za-z_]\w*)(?:\s+final)?\s*:\s*((?:public|private|protected|virtual)\s[^{;]*)", "inherits"),
     (r"^\s*impl(?:<[^>]*>)?\s+([A-Za-z_]\w*)(?:<[^>]*>)?\s+for\s+([A-Za-z_]\w*)", "impl"),
 ]
 
@@ -119,14 +155,23 @@ def inheritance(ls: DataFrame, keys: list[str]) -> DataFrame:
         child, parents = (b, a) if kind == "impl" else (a, b)
         x = ls.withColumn("child", child).where("child <> ''").select(*keys, "child", F.explode(F.split(parents, ",")).alias("_p"), F.col("line_no").alias("line"))
         named = F.regexp_extract("_p", r"^\s*metaclass\s*=\s*(\S+)", 1)
-        parent = F.when(named != "", named).otherwise(F.regexp_replace(F.trim("_p"), r"<.*$", ""))
+        parent = F.when(named != "", named).otherwise(F.regexp_replace(F.regexp_replace(F.trim("_p"), r"<.*$", ""), r"^(?:(?:public|private|protected|virtual)\s+)+", ""))
         x = x.select(*keys, "child", parent.alias("parent"), F.when(named != "", "metaclass").otherwise(kind).alias("edge_type"), "line").where("parent <> '' and not parent like '%=%'")
         out = x if out is None else out.unionByName(x)
     return out.distinct()
 
 
+#: Import lines, as patterns of the module in group 1; the first that fits holds.
+IMPORTS = [
+    r"""^\s*import\s+(?:[\w{}*,\s$]+\s+from\s+)?["']([^"']+)["']""",
+    r"^\s*from\s+([\w.]+)\s+import\b",
+    r"^\s*import\s+(?:static\s+)?([\w.]+)",
+    r"""\brequire\(\s*["']([^"']+)["']\s*\)""",
+    r"""^\s*#include\s*[<"]([^>"]+)[>"]""",
+]
+
+
 def imports(ls: DataFrame, keys: list[str]) -> DataFrame:
     """keys.., imported, line for python, java, script and go import lines and C includes."""
-    pats = [r"^\s*import\s+(?:static\s+)?([\w.]+)", r"^\s*from\s+([\w.]+)\s+import\b", r"""^\s*import\s+(?:[\w{}*,\s$]+\s+from\s+)?["']([^"']+)["']""", r"""\brequire\(\s*["']([^"']+)["']\s*\)""", r"""^\s*#include\s*[<"]([^>"]+)[>"]"""]
-    found = F.coalesce(*[F.when(F.col("line").rlike(p), F.regexp_extract("line", p, 1)) for p in (pats[2], pats[1], pats[0], pats[3], pats[4])])
-    return ls.withColumn("imported", found).where("imported is not null").select(*keys, "imported", F.col("line_no").alias("line"))
+    found = F.coalesce(*[F.when(F.col("line").rlike(p), F.regexp_extract("line", p, 1)) for p in IMPORTS])
+    return ls.where(F.col("line").rlike(r"\b(?:import|require|include)\b")).withColumn("imported", found).where("imported is not null").select(*keys, "imported", F.col("line_no").alias("line"))

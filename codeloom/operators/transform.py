@@ -190,12 +190,14 @@ def symbol_chunks(files: DataFrame, keys: list[str], path: str, text: str, whole
     syms = symbols.symbols(ls, keys).withColumn("stop", F.expr(f"lead(line_start) over (partition by {part} order by line_start) - 1"))
     all_lines = F.split(F.col(text), "\n", -1)
     body = files.select(*keys, all_lines.alias("_ls"), F.col(text).alias("_t"))
-    x = syms.join(body, keys).withColumn("stop", F.coalesce("stop", F.size("_ls").cast("long")))
-    x = x.withColumn("content", F.array_join(F.slice("_ls", F.col("line_start").cast("int"), (F.col("stop") - F.col("line_start") + 1).cast("int")), "\n"))
-    kind = F.when(F.col("kind").isin("class", "trait", "object", "interface", "enum"), "class").otherwise("function")
-    own = x.select(*keys, kind.alias("chunk_type"), "name", F.col("line_start").alias("start"), "stop", "content")
-    names = syms.groupBy(*keys).agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("line_start", "name"))), lambda s: s["name"]), 1, 30).alias("_names"))
-    o = body.join(names, keys, "left").withColumn("_has", F.col("_names").isNotNull())
+    # a file meets all its symbols once, and only their stretches leave it
+    told = syms.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_start", "name", "kind", "stop"))).alias("_syms"))
+    o = body.join(told, keys, "left").withColumn("_has", F.col("_syms").isNotNull())
+    o = o.withColumn("_names", F.slice(F.transform("_syms", lambda s: s["name"]), 1, 30))
+    at = o.select(*keys, "_ls", F.explode("_syms").alias("s")).withColumn("stop", F.coalesce("s.stop", F.size("_ls").cast("long")))
+    kind = F.when(F.col("s.kind").isin("class", "trait", "object", "interface", "enum", "struct", "union", "impl", "record", "mod", "namespace"), "class").otherwise("function")
+    stretch = F.array_join(F.slice("_ls", F.col("s.line_start").cast("int"), (F.col("stop") - F.col("s.line_start") + 1).cast("int")), "\n")
+    own = at.select(*keys, kind.alias("chunk_type"), "s.name", F.col("s.line_start").alias("start"), "stop", stretch.alias("content"))
     head = F.array_join(F.slice("_ls", 1, 20), "\n")
     over = F.concat(F.lit("# "), F.col(path), F.lit("\n"), head, F.lit("\n# "), F.array_join(F.coalesce("_names", F.array().cast("array<string>")), ", "))
     rest = o.select(*keys, F.when(F.col("_has"), "file_overview").otherwise("file").alias("chunk_type"), F.lit("").alias("name"), F.lit(1).cast("long").alias("start"), F.size("_ls").cast("long").alias("stop"), F.when(F.col("_has"), over).otherwise(F.substring("_t", 1, whole)).alias("content"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.operators import graph, history, memory
-from codeloom.plans.base import SQL, query
+from codeloom.plans.base import SNAP, SQL, query, snapshot
 from codeloom.session import table
 
 # Graph: a class depends on its parents
@@ -129,11 +129,37 @@ def graph_tests(spark, d):
 SQL["graph_tests"] = f"WITH RECURSIVE {_E}, {_TESTS} SELECT scope, start, path FROM tests"
 
 
+@query
+def graph_tests_by_name(spark, d):
+    """Test files of the snapshot named after a class."""
+    return graph.tests_by_name(_every(_edges(spark, d)), snapshot(spark, d), "workspace_id", "path")
+
+
+SQL["graph_tests_by_name"] = rf"""WITH {SNAP}, {_E}, n AS (SELECT scope, src AS node FROM e UNION SELECT scope, dst FROM e),
+t AS (SELECT workspace_id AS scope, path, regexp_replace(lower(replace(replace(regexp_replace(string_split(path, '/')[-1], '\.[^.]*(\.[^.]*)?$', ''), '_', ''), '-', '')), '^tests?|(tests?|spec)$', '', 'g') AS k FROM snap
+WHERE regexp_matches('/' || lower(path) || '/', '/tests?/') OR regexp_matches(lower(string_split(path, '/')[-1]), '^test_|(_tests?\.py|tests?\.java|tests?\.scala|spec\.scala)$'))
+SELECT DISTINCT n.scope, node, path FROM n JOIN t ON t.scope = n.scope AND t.k = lower(replace(replace(node, '_', ''), '-', '')) AND t.k <> ''"""
+
+
+@query
+def code_graph(spark, d):
+    """Edges between directories, three levels deep."""
+    return graph.code_graph(table(spark, d, "inheritance_edges"), "workspace_id", "child", "parent", "path")
+
+
+_DIR = "array_to_string(string_split({0}, '/')[1:least(3, len(string_split({0}, '/')) - 1)], '/')"
+SQL["code_graph"] = f"""WITH e AS (SELECT DISTINCT workspace_id AS scope, child AS src, parent AS dst, path FROM inheritance_edges WHERE workspace_id IS NOT NULL AND child IS NOT NULL AND parent IS NOT NULL AND path IS NOT NULL),
+h AS (SELECT scope, src AS dst, min(path) AS home FROM e GROUP BY ALL), x AS (SELECT e.scope, {_DIR.format('path')} AS from_dir, CASE WHEN home IS NOT NULL THEN {_DIR.format('home')} END AS to_dir, e.dst FROM e LEFT JOIN h ON h.scope = e.scope AND h.dst = e.dst)
+SELECT scope, from_dir, to_dir, count(*) AS edges, count(DISTINCT dst) AS names FROM x GROUP BY ALL"""
+
+
 @query
 def graph_risk(spark, d):
     """Risk of changing each hub."""
     e = _edges(spark, d)
-    return graph.risk(graph.impact(e, _files(spark, d), _hubs(e)), graph.related_tests(e, _files(spark, d), _hubs(e)))
+    starts, files = _hubs(e), _files(spark, d)
+    found = graph.hops(e, starts, 3)
+    return graph.risk(graph.impact(e, files, starts, found=found), graph.related_tests(e, files, starts, found=found))
 
 
 SQL["graph_risk"] = f"""WITH RECURSIVE {_IMPACT}, {_TESTS}, x AS (SELECT imp.*, (SELECT count(DISTINCT path) FROM tests t WHERE t.scope = imp.scope AND t.start = imp.start) AS n_tests FROM imp),
@@ -197,7 +223,9 @@ def graph_tests_all(spark, d):
 def graph_risk_all(spark, d):
     """Risk of changing each class."""
     e = _edges(spark, d)
-    return graph.risk(graph.impact(e, _files(spark, d), _every(e)), graph.related_tests(e, _files(spark, d), _every(e)))
+    starts, files = _every(e), _files(spark, d)
+    found = graph.hops(e, starts, 3)
+    return graph.risk(graph.impact(e, files, starts, found=found), graph.related_tests(e, files, starts, found=found))
 
 
 @query

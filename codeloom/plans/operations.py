@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from codeloom.functions import planner
 from codeloom.functions import text as T
 from codeloom.operators import ingest, observe, project, transform
-from codeloom.plans.base import KEYS, LINES, SNAP, SQL, file_lines, query, snapshot
+from codeloom.plans.base import DOC_LINES, KEYS, LINES, SNAP, SQL, doc_lines, file_lines, query, snapshot
+from codeloom.plans.retrieval import _TEST_LIKE
 from codeloom.session import table
 
 # Ingestion
@@ -41,6 +42,12 @@ def _log(spark, d):
     return f.select(*KEYS, op.alias("op"), "hash", "revision", F.col("sync_id").alias("seq"), "size")
 
 
+def _timed(spark, d):
+    f = table(spark, d, "sync_files")
+    op = F.when(F.col("content") == "", "delete").otherwise("upsert")
+    return f.select(*KEYS, op.alias("op"), F.col("sync_id").alias("seq"), F.unix_millis("received_at").alias("at"))
+
+
 @query
 def latest_per_key(spark, d):
     """State after applying one half of the pushes onto the other; empty contents are deletes."""
@@ -57,10 +64,10 @@ def coalesce_batches(spark, d):
     return ingest.coalesced(_log(spark, d)).select(*KEYS, "op", "revision", "batch")
 
 
-SQL["coalesce_batches"] = """WITH RECURSIVE l AS (SELECT workspace_id, path, CASE WHEN content = '' THEN 'delete' ELSE 'upsert' END AS op, revision, sync_id AS seq, greatest(coalesce(size, 0), 0) AS size FROM sync_files QUALIFY row_number() OVER (PARTITION BY workspace_id, path ORDER BY revision DESC, sync_id DESC) = 1),
+SQL["coalesce_batches"] = """WITH RECURSIVE l AS (SELECT workspace_id, path, CASE WHEN content = '' THEN 'delete' ELSE 'upsert' END AS op, revision, sync_id AS seq, CASE WHEN content = '' THEN NULL ELSE greatest(coalesce(size, 0), 0) END AS size FROM sync_files QUALIFY row_number() OVER (PARTITION BY workspace_id, path ORDER BY revision DESC, sync_id DESC) = 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY revision, seq, path) AS n FROM l),
-cut(workspace_id, n, items, bytes, batch) AS (SELECT workspace_id, n, 1, size, 0::BIGINT FROM n WHERE n = 1
-UNION ALL SELECT n.workspace_id, n.n, CASE WHEN items >= 25 OR bytes + n.size > 250000 THEN 1 ELSE items + 1 END, CASE WHEN items >= 25 OR bytes + n.size > 250000 THEN n.size ELSE bytes + n.size END, CASE WHEN items >= 25 OR bytes + n.size > 250000 THEN batch + 1 ELSE batch END
+cut(workspace_id, n, items, bytes, batch) AS (SELECT workspace_id, n, 1, coalesce(size, 0), 0::BIGINT FROM n WHERE n = 1
+UNION ALL SELECT n.workspace_id, n.n, CASE WHEN items >= 25 OR bytes + n.size > 250000 THEN 1 ELSE items + 1 END, CASE WHEN items >= 25 OR bytes + n.size > 250000 THEN coalesce(n.size, 0) ELSE bytes + coalesce(n.size, 0) END, CASE WHEN items >= 25 OR bytes + n.size > 250000 THEN batch + 1 ELSE batch END
 FROM cut JOIN n ON n.workspace_id = cut.workspace_id AND n.n = cut.n + 1)
 SELECT n.workspace_id, n.path, n.op, n.revision, batch FROM n JOIN cut ON n.workspace_id = cut.workspace_id AND n.n = cut.n"""
 
@@ -250,6 +257,13 @@ def rate_limit(spark, d):
     return r.groupBy("user_id", "allowed").agg(F.count("*").alias("n"))
 
 
+SQL["rate_limit"] = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+s(user_id, n, had, last) AS (SELECT user_id, n, 3.0::DOUBLE, t FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.n, least(3.0::DOUBLE, CASE WHEN s.had >= 1 THEN s.had - 1 ELSE s.had END + greatest(0.0::DOUBLE, e.t - s.last) * 0.02::DOUBLE / 60.0::DOUBLE), greatest(e.t, s.last) FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1),
+r AS (SELECT user_id, had >= 1 AS allowed FROM s UNION ALL SELECT user_id, false FROM events WHERE user_id IS NULL OR ts IS NULL)
+SELECT user_id, allowed, count(*) AS n FROM r GROUP BY ALL"""
+
+
 @query
 def idempotency(spark, d):
     """Redelivered calls as replays and conflicts within a day."""
@@ -257,6 +271,12 @@ def idempotency(spark, d):
     return observe.idempotent(c, "call_id", "payload", "at", "row").groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+SQL["idempotency"] = """WITH RECURSIVE e AS (SELECT call_id, (provider, model, total_tokens) AS p, epoch_us(received_at) / 1e6 AS t, row_number() OVER (PARTITION BY call_id ORDER BY received_at, call_id || '/' || received_at) AS n FROM call_records WHERE call_id IS NOT NULL AND received_at IS NOT NULL),
+s(call_id, n, p, t, outcome) AS (SELECT call_id, n, p, t, 'new' FROM e WHERE n = 1
+UNION ALL SELECT e.call_id, e.n, CASE WHEN e.t - s.t > 86400 THEN e.p ELSE s.p END, CASE WHEN e.t - s.t > 86400 THEN e.t ELSE s.t END, CASE WHEN e.t - s.t > 86400 THEN 'new' WHEN e.p IS NOT DISTINCT FROM s.p THEN 'replay' ELSE 'conflict' END FROM s JOIN e ON e.call_id = s.call_id AND e.n = s.n + 1)
+SELECT outcome, count(*) AS n FROM (SELECT outcome FROM s UNION ALL SELECT 'new' FROM call_records WHERE call_id IS NULL OR received_at IS NULL) GROUP BY 1"""
+
+
 @query
 def lint_severity(spark, d):
     """Severities of codes."""
@@ -358,46 +378,127 @@ SQL["vector_roundtrip"] = "SELECT faiss_id, 1.0::DOUBLE AS norm FROM chunks WHER
 
 @query
 def mode_detect(spark, d):
-    """Search modes of texts' first lines."""
-    q = table(spark, d, "documents").select("doc_id", F.split("text", "\n")[0].alias("q"))
-    return q.select("doc_id", planner.mode_column(F.col("q")).alias("mode"))
+    """Modes, intents and first providers of all lines of every document, as if each were a query."""
+    q = doc_lines(spark, d).withColumn("mode", planner.mode_column(F.col("line")))
+    q = q.withColumn("intent", planner.intent_column(F.col("line"), F.col("mode"))).withColumn("plan", planner.plan_column(F.col("intent")))
+    return q.groupBy("doc_id", "mode", "intent", F.col("plan.providers")[0].alias("provider")).agg(F.count("*").alias("n"))
+
+
+def _mode_sql():
+    esc = lambda p: p.replace("'", "''")
+    words = ", ".join(f"'{w}'" for w in planner.STOPWORDS + planner.LITERALS)
+    path = lambda c: f"regexp_matches({c}, '{planner.PATH}') AND regexp_matches({c}, '[/\\\\]')"
+    return rf"""WITH {DOC_LINES}, q AS (SELECT doc_id, line, regexp_replace(line, '^\s+|\s+$', '', 'g') AS q FROM lines),
+b AS (SELECT *, CASE WHEN length(q) >= 2 AND regexp_matches(q, '(?s)^(".*"|''.*'')$') THEN regexp_replace(substr(q, 2, length(q) - 2), '^\s+|\s+$', '', 'g') ELSE q END AS b FROM q),
+m AS (SELECT doc_id, line, CASE WHEN regexp_matches(q, '{esc(planner.QUOTED)}') THEN 'text' WHEN b = '' THEN 'semantic'
+WHEN regexp_matches(b, '{planner.DECLARATION}') OR (instr(b, ' ') = 0 AND (length(b) <= 2 OR lower(b) IN ({words}) OR regexp_matches(b, '[-:/]'))) OR regexp_matches(b, '{planner.CONSTANT}') OR regexp_matches(b, '{esc(planner.SIGNS)}') OR ({path('b')}) THEN 'text'
+WHEN regexp_matches(b, '{planner.IDENTIFIER}') AND length(b) <= 60 THEN 'symbol' WHEN len(regexp_split_to_array(b, '\s+')) <= 3 AND length(b) <= 40 THEN 'hybrid' ELSE 'semantic' END AS mode FROM b),
+i AS (SELECT *, CASE WHEN mode = 'semantic' AND {path('line')} THEN 'file_path' WHEN mode = 'text' THEN 'exact_text' WHEN mode = 'symbol' THEN 'exact_symbol' ELSE mode END AS intent FROM m)
+SELECT doc_id, mode, intent, CASE intent WHEN 'semantic' THEN 'semantic_vector' WHEN 'exact_text' THEN 'exact_line_fts' WHEN 'file_path' THEN 'exact_line_fts' ELSE 'local_exact_index' END AS provider, count(*) AS n FROM i GROUP BY ALL"""
+
+
+SQL["mode_detect"] = _mode_sql()
 
 
 @query
 def comment_strip(spark, d):
-    """Sizes of files without their comments."""
+    """Files without their comments."""
     x = snapshot(spark, d).select(*KEYS, "content", T.language("path").alias("language"))
-    return x.select(*KEYS, F.length(transform.stripped(F.col("content"), F.col("language"))).cast("long").alias("n"))
+    return x.select(*KEYS, F.md5(transform.stripped(F.col("content"), F.col("language"))).alias("md5"))
 
 
 @query
 def body_fold(spark, d):
-    """X11: sizes of files with folded bodies."""
+    """X11: files with folded bodies."""
     x = snapshot(spark, d).select(*KEYS, "content", T.language("path").alias("language"))
-    return x.select(*KEYS, F.length(transform.folded(F.col("content"), F.col("language"))).cast("long").alias("n"))
+    return x.select(*KEYS, F.md5(transform.folded(F.col("content"), F.col("language"))).alias("md5"))
 
 
 @query
 def budget_prune(spark, d):
     """Files of every workspace within 20000 tokens, newest first."""
     x = snapshot(spark, d).select(*KEYS, "content", "revision", T.language("path").alias("language"))
-    return transform.pruned(x, "workspace_id", "path", "revision", "content", "language", 20_000).drop("content")
+    return transform.pruned(x, "workspace_id", "path", "revision", "content", "language", 20_000).withColumn("md5", F.md5("content")).drop("content")
 
 
 @query
 def symbol_chunking(spark, d):
     """Chunks of every file of the snapshot."""
     c = transform.symbol_chunks(snapshot(spark, d).select(*KEYS, "content"), KEYS, "path", "content")
-    return c.select(*KEYS, "chunk_type", "name", "start", "stop", F.length("content").cast("long").alias("n"), "chunk_id")
+    return c.select(*KEYS, "chunk_type", "name", "start", "stop", F.md5("content").alias("md5"), "chunk_id")
 
 
 @query
 def text_references(spark, d):
-    """Lines outside tests that name the symbol of the first chunk, as a fallback for references."""
-    named = table(spark, d, "chunks").select("faiss_id", F.get_json_object("metadata", "$.symbol_name").alias("name")).where("name is not null")
-    top = named.orderBy("faiss_id").first()
-    x = file_lines(spark, d).where(~T.is_test_like("path") & F.col("line").rlike(rf"\b{top['name'] if top else 'x'}\b"))
-    return x.select(*KEYS, "line_no")
+    """Of every symbol of the chunks, how many lines outside tests name it, and in how many files."""
+    named = table(spark, d, "chunks").select(F.get_json_object("metadata", "$.symbol_name").alias("name")).where("name rlike '^[A-Za-z_][A-Za-z0-9_]*$'").distinct()
+    x = file_lines(spark, d).where(~T.is_test_like("path"))
+    words = F.array_distinct(F.regexp_extract_all("line", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), 0))
+    per_file = x.select(*KEYS, F.explode(words).alias("name")).groupBy(*KEYS, "name").agg(F.count("*").alias("lines"))
+    found = per_file.groupBy("name").agg(F.sum("lines").alias("lines"), F.count("*").alias("files"))
+    return named.join(found, "name", "left").na.fill(0, ["lines", "files"])
+
+
+SQL["text_references"] = rf"""WITH {LINES}, n AS (SELECT DISTINCT json_extract_string(metadata, '$.symbol_name') AS name FROM chunks WHERE regexp_matches(json_extract_string(metadata, '$.symbol_name'), '^[A-Za-z_][A-Za-z0-9_]*$')),
+l AS (SELECT workspace_id, path, unnest(list_distinct(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]*'))) AS name FROM lines WHERE NOT ({_TEST_LIKE})),
+f AS (SELECT name, count(*) AS lines, count(DISTINCT workspace_id || chr(0) || path) AS files FROM l GROUP BY name)
+SELECT n.name, coalesce(lines, 0) AS lines, coalesce(files, 0) AS files FROM n LEFT JOIN f ON f.name = n.name"""
+
+
+@query
+def sampled_digests(spark, d):
+    """Sampled digests of every pushed content."""
+    return table(spark, d, "sync_files").select("sync_id", T.sampled_digest("content", 4096, 512).alias("digest"))
+
+
+SQL["sampled_digests"] = "SELECT sync_id, CASE WHEN strlen(content) > 4608 THEN sha256(unhex(substr(hex(encode(content)), 1, 8192)) || unhex(right(hex(encode(content)), 1024))) ELSE sha256(content) END AS digest FROM sync_files"
+
+
+@query
+def event_debounce(spark, d):
+    """Bursts of pushes to a file, closed by a pause of a minute, with the last operation of each."""
+    return ingest.debounced(_timed(spark, d), KEYS, "at", "seq", "op", 60_000)
+
+
+SQL["event_debounce"] = """WITH l AS (SELECT workspace_id, path, epoch_ms(received_at) AS t, sync_id AS seq, CASE WHEN content = '' THEN 'delete' ELSE 'upsert' END AS op FROM sync_files),
+p AS (SELECT *, lag(t) OVER (PARTITION BY workspace_id, path ORDER BY t, seq) AS before FROM l),
+b AS (SELECT *, sum(CASE WHEN t - before <= 60000 THEN 0 ELSE 1 END) OVER (PARTITION BY workspace_id, path ORDER BY t, seq) AS burst FROM p)
+SELECT workspace_id, path, CAST(burst - 1 AS BIGINT) AS burst, min(t) AS begun, max(t) AS ended, count(*) AS events, arg_max(op, (t, seq)) AS op FROM b GROUP BY ALL"""
+
+
+@query
+def queue_state(spark, d):
+    """Pending, accepted and failed files after acknowledgements; every third revision is taken to fail once."""
+    log = _log(spark, d).withColumn("event", F.when(F.col("revision") % 3 == 0, "fail").otherwise("ack"))
+    return ingest.queue_state(log.select(*KEYS, "seq", F.lit("add").alias("event"), "revision").unionByName(log.where("seq % 2 = 0").select(*KEYS, (F.col("seq") + 1_000_000_000).alias("seq"), "event", "revision")), KEYS).na.fill(-1, ["accepted_revision"])
+
+
+SQL["queue_state"] = """WITH l AS (SELECT workspace_id, path, sync_id AS seq, 'add' AS event, revision FROM sync_files UNION ALL SELECT workspace_id, path, sync_id + 1000000000, CASE WHEN revision % 3 = 0 THEN 'fail' ELSE 'ack' END, revision FROM sync_files WHERE sync_id % 2 = 0),
+g AS (SELECT workspace_id, path, max(revision) FILTER (event = 'add') AS added, max(revision) FILTER (event = 'ack') AS accepted, count(*) FILTER (event = 'fail') AS failures FROM l GROUP BY ALL)
+SELECT workspace_id, path, added AS revision, coalesce(accepted, -1) AS accepted_revision, failures, CASE WHEN accepted >= added THEN 'accepted' WHEN failures > 0 THEN 'retry' ELSE 'pending' END AS state FROM g"""
+
+
+@query
+def log_buffer(spark, d):
+    """Of each provider's calls the newest 500, and how many older ones fell out."""
+    c = table(spark, d, "call_records").select("provider", "call_id", "called_at", "received_at")
+    return observe.newest(c, ["provider"], ["called_at", "call_id", "received_at"], 500).groupBy("provider").agg(F.count("*").alias("kept"), F.max("dropped").alias("dropped"), F.min("call_id").alias("least_id"))
+
+
+SQL["log_buffer"] = """WITH r AS (SELECT provider, call_id, row_number() OVER (PARTITION BY provider ORDER BY called_at DESC NULLS LAST, call_id DESC NULLS LAST, received_at DESC NULLS LAST) AS r, count(*) OVER (PARTITION BY provider) AS n FROM call_records)
+SELECT provider, count(*) AS kept, max(greatest(n - 500, 0)) AS dropped, min(call_id) AS least_id FROM r WHERE r <= 500 GROUP BY provider"""
+
+
+@query
+def provider_chain(spark, d):
+    """R2: per workspace the first source of answers on a word that has any: symbols of chunks, then lines of files, then
+    documents."""
+    c = table(spark, d, "chunks").where(T.contains_ci(F.get_json_object("metadata", "$.symbol_name"), "cursor")).select("workspace_id", F.col("faiss_id").alias("hit"))
+    f = snapshot(spark, d).where(T.contains_ci("content", "cursor")).select("workspace_id", F.col("sync_id").alias("hit"))
+    t = table(spark, d, "documents").where(T.contains_ci("text", "cursor")).select("workspace_id", F.col("doc_id").alias("hit"))
+    return observe.first_provider({"symbols": c, "text": f, "documents": t}, ["workspace_id"])
 
 
-SQL["text_references"] = f"WITH {LINES}, top AS (SELECT json_extract_string(metadata, '$.symbol_name') AS parent FROM chunks WHERE json_extract_string(metadata, '$.symbol_name') IS NOT NULL ORDER BY faiss_id LIMIT 1) SELECT workspace_id, path, line_no FROM lines, top WHERE regexp_matches(line, '\\b' || parent || '\\b') AND NOT (regexp_matches('/' || lower(path) || '/', '/tests?/') OR regexp_matches(lower(string_split(path, '/')[-1]), '^test_|^tests?\\.py$|(_tests?\\.py|tests?\\.java|tests?\\.scala|\\.(spec|test)\\.[jt]s)$'))"
+SQL["provider_chain"] = f"""WITH {SNAP}, a AS (SELECT workspace_id, 0 AS p, 'symbols' AS provider FROM chunks WHERE instr(lower(json_extract_string(metadata, '$.symbol_name')), 'cursor') > 0
+UNION ALL SELECT workspace_id, 1, 'text' FROM snap WHERE instr(lower(content), 'cursor') > 0 UNION ALL SELECT workspace_id, 2, 'documents' FROM documents WHERE instr(lower(text), 'cursor') > 0)
+SELECT workspace_id, provider, count(*) AS hits FROM (SELECT * FROM a QUALIFY p = min(p) OVER (PARTITION BY workspace_id)) GROUP BY workspace_id, provider"""

@@ -115,11 +115,12 @@ def path_predicates(spark, d):
     )
 
 
-SQL["path_predicates"] = """SELECT DISTINCT workspace_id, path, size,
+_TEST_LIKE = "regexp_matches('/' || lower(path) || '/', '/tests?/') OR instr(lower(path), 'src/test') > 0 OR regexp_matches(lower(string_split(path, '/')[-1]), '^test_|^tests?\\.py$|(_tests?\\.py|tests?\\.java|tests?\\.scala|\\.(spec|test)\\.[jt]s)$')"
+SQL["path_predicates"] = f"""SELECT DISTINCT workspace_id, path, size,
 regexp_matches(string_split(path, '/')[-1], '^.*_p.*\\.py$') OR regexp_matches(path, '^src/.*\\.go$') AS glob_a,
 regexp_matches(path, '^src/.*$') OR regexp_matches(string_split(path, '/')[-1], '^.*\\.ts$') AS glob_b,
 regexp_matches('/' || lower(path) || '/', '/tests?/') OR regexp_matches(lower(string_split(path, '/')[-1]), '^test_|(_tests?\\.py|tests?\\.java|tests?\\.scala|spec\\.scala)$') AS is_test,
-regexp_matches('/' || lower(path) || '/', '/tests?/') OR regexp_matches(lower(string_split(path, '/')[-1]), '^test_|^tests?\\.py$|(_tests?\\.py|tests?\\.java|tests?\\.scala|\\.(spec|test)\\.[jt]s)$') AS is_test_like,
+{_TEST_LIKE} AS is_test_like,
 regexp_matches(lower(path), '/static/|/vendors?/|/node_modules/|/dist/|/build/|jquery') AS is_built, path AS key,
 CASE regexp_extract(lower(string_split(path, '/')[-1]), '^.+\\.([^.]+)$', 1) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'cjs' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'java' THEN 'java' WHEN 'go' THEN 'go' WHEN 'c' THEN 'cpp' WHEN 'h' THEN 'cpp' WHEN 'json' THEN 'json' WHEN 'yaml' THEN 'yaml' WHEN 'yml' THEN 'yaml' WHEN 'toml' THEN 'toml' WHEN 'sh' THEN 'shell' ELSE 'text' END AS language,
 CASE WHEN size < 1024 THEN CAST(size AS VARCHAR) || ' B' WHEN size < 1048576 THEN printf('%.1f', size / 1024.0) || ' KB' ELSE printf('%.1f', size / 1048576.0) || ' MB' END AS shown FROM files"""
@@ -137,7 +138,20 @@ SQL["content_filter"] = "SELECT faiss_id, instr(substr(content, 1, 4096), chr(0)
 # Symbols
 
 _SYMBOL = r"^(\s*)(?:(?:public|private|protected|static|final|abstract|sealed|case|open|override|implicit|lazy)\s+)*(class|trait|object|interface|enum|def|async\s+def|function|func)\s+([A-Za-z_][A-Za-z0-9_]*)\b"
-SYMBOLS = LINES + f""", symbols AS (SELECT workspace_id, path, regexp_extract(line, '{_SYMBOL}', 3) AS name, regexp_replace(regexp_extract(line, '{_SYMBOL}', 2), '\\s+', ' ', 'g') AS kind, line_no AS line_start, substr(trim(line, ' ' || chr(9) || chr(13)), 1, 200) AS signature FROM lines WHERE regexp_matches(line, '{_SYMBOL}'))"""
+def _forms_sql():
+    """The first form of a line as a CASE of structs, from the same patterns."""
+    kind = f"regexp_replace(regexp_extract(line, '{_SYMBOL}', 2), '\\s+', ' ', 'g')"
+    out = [f"CASE WHEN regexp_extract(line, '{_SYMBOL}', 3) <> '' THEN {{'name': regexp_extract(line, '{_SYMBOL}', 3), 'kind': {kind}}} END"]
+    words = ", ".join(f"'{w}'" for w in symbols.STATEMENTS)
+    for suffixes, pattern, what, at in symbols.FORMS:
+        name = f"regexp_extract(line, '{pattern}', {at})"
+        kind = f"regexp_extract(line, '{pattern}', {what})" if isinstance(what, int) else f"'{what}'"
+        out.append(f"CASE WHEN suffix IN ({', '.join(repr(x) for x in suffixes)}) AND {name} <> '' AND {name} NOT IN ({words}) THEN {{'name': {name}, 'kind': {kind}}} END")
+    return f"coalesce({', '.join(out)})"
+
+
+SYMBOLS = LINES + f""", declared AS (SELECT *, {_forms_sql()} AS d FROM (SELECT *, lower(split_part(path, '.', -1)) AS suffix FROM lines)),
+symbols AS (SELECT workspace_id, path, d.name AS name, d.kind AS kind, line_no AS line_start, substr(trim(line, ' ' || chr(9) || chr(13)), 1, 200) AS signature FROM declared WHERE d IS NOT NULL)"""
 
 
 def file_symbols(spark, d):
@@ -196,18 +210,48 @@ def inheritance_extract(spark, d):
     return symbols.inheritance(file_lines(spark, d), KEYS)
 
 
+def _inheritance_sql():
+    parts = []
+    for pattern, kind in symbols.INHERITANCE:
+        child, parents = (2, 1) if kind == "impl" else (1, 2)
+        parts.append(f"SELECT workspace_id, path, regexp_extract(line, '{pattern}', {child}) AS child, unnest(string_split(regexp_extract(line, '{pattern}', {parents}), ',')) AS p, '{kind}' AS kind, line_no FROM lines WHERE regexp_extract(line, '{pattern}', {child}) <> ''")
+    return f"""WITH {LINES}, raw AS ({" UNION ALL ".join(parts)}),
+named AS (SELECT *, regexp_extract(p, '^\\s*metaclass\\s*=\\s*(\\S+)', 1) AS m FROM raw),
+e AS (SELECT workspace_id, path, child, CASE WHEN m <> '' THEN m ELSE regexp_replace(regexp_replace(trim(p), '<.*$', ''), '^((public|private|protected|virtual)\\s+)+', '') END AS parent, CASE WHEN m <> '' THEN 'metaclass' ELSE kind END AS edge_type, line_no AS line FROM named)
+SELECT DISTINCT * FROM e WHERE parent <> '' AND parent NOT LIKE '%=%'"""
+
+
+SQL["inheritance_extract"] = _inheritance_sql()
+
+
 @query
 def import_extract(spark, d):
     """Imported modules."""
     return symbols.imports(file_lines(spark, d), KEYS)
 
 
+def _imports_sql():
+    quoted = [p.replace("'", "''") for p in symbols.IMPORTS]
+    first = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(line, '{p}') THEN regexp_extract(line, '{p}', 1) END" for p in quoted) + ")"
+    return f"WITH {LINES} SELECT * FROM (SELECT workspace_id, path, {first} AS imported, line_no AS line FROM lines) WHERE imported IS NOT NULL"
+
+
+SQL["import_extract"] = _imports_sql()
+
+
 @query
 def call_extract(spark, d):
     """Lexical call edges within callables."""
     return symbols.call_edges(file_lines(spark, d), KEYS)
 
 
+_NOT_CALLED = ", ".join(f"'{w}'" for w in symbols.NOT_CALLED)
+SQL["call_extract"] = f"""WITH {LINES}, n AS (SELECT *, CASE WHEN regexp_matches(regexp_extract(line, '{_SYMBOL}', 2), 'def|func') THEN regexp_extract(line, '{_SYMBOL}', 3) END AS d FROM lines),
+i AS (SELECT *, last_value(d IGNORE NULLS) OVER (PARTITION BY workspace_id, path ORDER BY line_no) AS caller FROM n),
+c AS (SELECT workspace_id, path, caller, line_no AS line, unnest(list_distinct(regexp_extract_all(regexp_replace(line, '{_SYMBOL}', ''), '([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1))) AS callee FROM i WHERE caller IS NOT NULL)
+SELECT workspace_id, path, caller, callee, line FROM c WHERE callee NOT IN ({_NOT_CALLED})"""
+
+
 # Vectors
 
 

@@ -11,9 +11,9 @@ from codeloom.session import Scratch
 def greedy(sizes, most, limit):
     out, items, total, batch = [], 0, 0, -1
     for s in sizes:
-        if not items or items >= most or total + s > limit:
+        if not items or items >= most or s is not None and total + max(s, 0) > limit:
             items, total, batch = 0, 0, batch + 1
-        items, total = items + 1, total + s
+        items, total = items + 1, total + max(s or 0, 0)
         out.append(batch)
     return out
 
@@ -28,7 +28,7 @@ def test_runs_are_cut_greedily_across_ranges(spark):
             got[r["g"]][r["i"]] = r["batch"]
         assert sum(map(len, got.values())) == 600
         for g, found in got.items():
-            at = [(i, max(s or 0, 0)) for x, i, s in rows if x == g]
+            at = [(i, s) for x, i, s in rows if x == g]
             assert [found[i] for i, _ in at] == greedy([s for _, s in at], 6, 100)
 
 

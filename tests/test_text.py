@@ -109,48 +109,62 @@ def test_vectors(spark):
 
 @pytest.mark.parametrize(
     ("q", "mode"),
-    [("", "semantic"), ("''", "semantic"), ("'abc def'", "text"), ("def foo", "text"), ("ab", "text"), ("return", "text"), ("MAX_SIZE", "text"), ("a/b", "text"), ("foo(x)", "text"), ("UserService", "symbol"), ("a.b_c", "symbol"), ("user login flow", "hybrid"), ("how does the login flow of users work", "semantic"), (None, "semantic"), ("todo", "text"), ("x-y", "text")],
+    [("", "semantic"), ("''", "semantic"), ("'abc def'", "text"), ("def foo", "text"), ("ab", "text"), ("return", "text"), ("MAX_SIZE", "text"), ("a/b", "text"), ("foo(x)", "text"), ("UserService", "symbol"), ("a.b_c", "symbol"), ("user login flow", "hybrid"), ("how does the login flow of users work", "semantic"), (None, "semantic"), ("todo", "text"), ("x-y", "text"), ("func", "text"), ("and", "text"), ("else", "symbol"), ("while", "symbol"), ("'\"x\"'", "text"), ("\"a \" b\"", "text"), ("src\\\\a.py", "text"), ("the usual", "hybrid")],
 )
 def test_modes(spark, q, mode):
-    assert planner.detect_mode(q) == mode
     assert spark.createDataFrame([(q,)], "q string").select(planner.mode_column(F.col("q"))).first()[0] == mode
 
 
-def test_plans():
-    assert planner.search_plan("UserService")["intent"] == "exact_symbol"
-    assert planner.search_plan("a.*b", "text", regex=True)["intent"] == "regex_text"
-    assert planner.search_plan("src/a.py", "semantic")["intent"] == "file_path"
-    assert planner.search_plan("x", "references")["providers"][0] == "lsp"
-
-
-def test_transforms(spark):
-    py = '"""Doc."""\nx = "# no"  # gone\n# TODO stays\ndef f():\n    """d"""\n    return 1  # x\n'
-    assert transform.strip_text(py, "python") == 'x = "# no"\n# TODO stays\ndef f():\n    return 1\n'
-    js = 'a = "// no"; // gone\n/* b */\nc = 1; /* FIXME d */\n'
-    assert transform.strip_text(js, "javascript") == 'a = "// no";\nc = 1; /* FIXME d */\n'
-    assert transform.strip_text("a: 1 # x\n# y\nb: 'q # r'\n", "yaml") == "a: 1\nb: 'q # r'\n"
-    assert transform.strip_text("SELECT '--x' -- y\n", "sql") == "SELECT '--x'\n"
-    assert "return 1" not in transform.fold_text(py, "python") and "def f" in transform.fold_text(py, "python")
-    assert "return 1" in transform.fold_text(py, "python", frozenset({"f"}))
-    c = "int f(int a) {\n" + "  a += 1;\n" * 10 + "}\nint g;\n"
-    assert transform.fold_text(c, "c") == "int f(int a) { /* folded */ }\nint g;\n"
-    assert transform.strip_text(None, "c") is None and transform.fold_text("", None) == ""
-    items = [("r", 1, 9.0, "x" * 400, "text"), ("r", 2, 5.0, "# c\n" * 200 + "y", "python"), ("r", 3, 1.0, "z" * 4000, "text"), ("r", 4, None, None, None), ("q", 1, 1.0, "w" * 4, "text")]
-    got = transform.pruned(spark.createDataFrame(items, "r string, i int, p double, t string, l string"), "r", "i", "p", F.col("t"), F.col("l"), 200)
-    d = {(x.r, x.i): (x.strategy, x.tokens_out) for x in got.collect()}
-    assert d[("r", 1)] == ("keep", 100) and d[("r", 2)][0] == "strip" and d[("r", 3)][0] == "truncate" and d[("r", 4)] == ("keep", 0) and d[("q", 1)] == ("keep", 1)
-    assert sum(v[1] for k, v in d.items() if k[0] == "r") <= 200
-
-
-def test_chunks(spark):
-    code = "import x\nclass A:\n    def f(self):\n        pass\ndef g():\n    pass\n"
-    df = spark.createDataFrame([("a.py", code), ("b.txt", "plain\ntext"), ("c", None)], "path string, content string")
-    got = transform.symbol_chunks(df, ["path"], "path", "content").orderBy("path", "start", F.desc("chunk_type")).collect()
-    assert [(r.path, r.chunk_type, r.name, r.start, r.stop) for r in got] == [("a.py", "file_overview", "", 1, 7), ("a.py", "class", "A", 2, 2), ("a.py", "function", "f", 3, 4), ("a.py", "function", "g", 5, 7), ("b.txt", "file", "", 1, 2)]
-    assert got[0].chunk_id == "a.py:file_overview::1:0"
-
-
-def test_latest(spark):
-    df = spark.createDataFrame([("a", 1, 1, "x"), ("a", 2, 2, "y"), ("a", 2, 3, "z"), (None, None, 4, "n"), ("b", None, 5, "q"), ("b", 0, 6, "r")], "k string, rev long, id long, t string")
-    want = [("n",), ("r",), ("z",)]
-    assert rows(text.latest(df, ["k"], ["rev", "id"]).select("t")) == want == rows(text.latest(df, ["k"], ["rev", "id"], "id").select("t"))
+def test_plans(spark):
+    rows = [("UserService", "symbol", "exact_symbol", "local_exact_index"), ("src/a.py", "semantic", "file_path", "exact_line_fts"), ("x", "references", "references", "lsp"), ("x y", "hybrid", "hybrid", "local_exact_index"), ("x", "other", "semantic", "semantic_vector")]
+    df = spark.createDataFrame(rows, "q string, mode string, want string, first string").withColumn("intent", planner.intent_column(F.col("q"), F.col("mode")))
+    got = df.withColumn("plan", planner.plan_column(F.col("intent"))).collect()
+    assert all(r.intent == r.want and r.plan.providers[0] == r["first"] for r in got)
+    assert spark.createDataFrame([("a.*b", "text")], "q string, mode string").select(planner.intent_column(F.col("q"), F.col("mode"), regex=True)).first()[0] == "regex_text"
+
+
+SOURCES = [
+    ("a.go", "func (r *Ring) Push(x int) {\ntype Ring struct {\ntype Sink interface {\nfunc New() *Ring {", {("Push", "method"), ("Ring", "struct"), ("Sink", "interface"), ("New", "func")}),
+    ("a.rs", "pub fn run(x: u8) -> u8 {\nstruct Pool {\nimpl<T> Drop for Pool<T> {\npub(crate) async fn go() {\ntrait Sink {", {("run", "fn"), ("Pool", "struct"), ("Pool", "impl"), ("go", "fn"), ("Sink", "trait")}),
+    ("A.java", "public class A extends B {\n    public static List<String> names(int x) throws Foo {\n    private int size() {\n        return size();\n        if (a) {\n    void put(String k,\npublic record Point(int x) {", {("A", "class"), ("names", "method"), ("size", "method"), ("put", "method"), ("Point", "record")}),
+    ("a.js", "export default class Cart {\n  async load(id) {\n    if (id) {\nconst add = (a, b) => a + b;\nexport const go = async x => x;\nlet f = function (a) {\nasync function run() {\n  for (const a of b) {", {("Cart", "class"), ("load", "method"), ("add", "function"), ("go", "function"), ("f", "function"), ("run", "function")}),
+    ("a.cpp", "class Ring final : public Base {\nstatic int push(Ring *r, int x)\nnamespace core {\nint Ring::size() const {\n  return size();\nstruct Node {", {("Ring", "class"), ("push", "function"), ("core", "namespace"), ("Ring::size", "function"), ("Node", "struct")}),
+    ("a.py", "class A(B):\n    def f(self):\nasync def g():\n    return f(x)\n", {("A", "class"), ("f", "def"), ("g", "async def")}),
+]
+
+
+@pytest.mark.parametrize(("path", "body", "want"), SOURCES)
+def test_declarations_by_language(spark, path, body, want):
+    df = spark.createDataFrame([(path, n, x) for n, x in enumerate(body.split("\n"), 1)], "path string, line_no long, line string")
+    assert {(r["name"], r.kind) for r in symbols.symbols(df, ["path"]).collect()} == want
+
+
+def test_bases_of_other_languages(spark):
+    lines = ["class Ring final : public Base, private Pool<int> {", "impl Drop for Ring {", "class A(B, metaclass=M):", "struct P : virtual public Q"]
+    df = spark.createDataFrame([("a", n, x) for n, x in enumerate(lines, 1)], "path string, line_no long, line string")
+    got = {(r.child, r.parent, r.edge_type) for r in symbols.inheritance(df, ["path"]).collect()}
+    assert got == {("Ring", "Base", "inherits"), ("Ring", "Pool", "inherits"), ("Ring", "Drop", "impl"), ("A", "B", "inherits"), ("A", "M", "metaclass"), ("P", "Q", "inherits")}
+
+
+def test_debounce_queue_buffer_and_chain(spark):
+    from codeloom.operators import ingest, observe
+
+    e = spark.createDataFrame([("a", 0, 1, "upsert"), ("a", 500, 2, "delete"), ("a", 2000, 3, "upsert"), ("b", None, 4, "upsert")], "path string, at long, seq long, op string")
+    assert {(r.path, r.burst, r.events, r.op) for r in ingest.debounced(e, ["path"], "at", "seq", "op").collect()} == {("a", 0, 2, "delete"), ("a", 1, 1, "upsert"), ("b", 0, 1, "upsert")}
+    log = spark.createDataFrame([("a", "add", 1), ("a", "ack", 1), ("a", "add", 2), ("b", "add", 1), ("b", "fail", 1), ("c", "add", 1), ("c", "ack", 1)], "path string, event string, revision long")
+    assert {r.path: r.state for r in ingest.queue_state(log, ["path"]).collect()} == {"a": "pending", "b": "retry", "c": "accepted"}
+    x = spark.createDataFrame([(None if i % 2 else "k", i) for i in range(100)], "k string, i long")
+    assert {(r.k, r.i, r.dropped) for r in observe.newest(x, ["k"], ["i"], 2).collect()} == {("k", 98, 48), ("k", 96, 48), (None, 99, 48), (None, 97, 48)}
+    assert observe.newest(x.limit(0), ["k"], ["i"], 2).count() == 0
+    got = observe.first_provider({"a": x.where("i < 0").select("k"), "b": x.where("i < 3").select("k"), "c": x.select("k")}, ["k"]).collect()
+    assert {(r.k, r.provider, r.hits) for r in got} == {("k", "b", 2), (None, "b", 1)}
+
+
+def test_tests_by_name_and_code_graph(spark):
+    from codeloom.operators import graph
+
+    nodes = spark.createDataFrame([("w", "RingBuffer"), ("w", "Pool")], "scope string, node string")
+    files = spark.createDataFrame([("w", "a/tests/test_ring_buffer.py"), ("w", "a/RingBufferTest.java"), ("w", "a/pool.py"), ("v", "tests/pool.py")], "ws string, path string")
+    assert {(r.node, r.path) for r in graph.tests_by_name(nodes, files, "ws", "path").collect()} == {("RingBuffer", "a/tests/test_ring_buffer.py"), ("RingBuffer", "a/RingBufferTest.java")}
+    rows = spark.createDataFrame([("w", "A", "B", "x/y/a.py"), ("w", "B", "C", "z/b.py"), ("w", "B", "C", "z/b.py"), (None, "B", "C", "z/b.py")], "ws string, c string, p string, path string")
+    assert {(r.from_dir, r.to_dir, r.edges) for r in graph.code_graph(rows, "ws", "c", "p", "path").collect()} == {("x/y", "z", 1), ("z", None, 1)}
