@@ -1,12 +1,19 @@
 """Parent-child rows to full hierarchies: path, depth, root, nested-set range, descendants, cycles.
 
-Plan. Edges are made distinct per scope. Connected components come from alternating large-star and
-small-star contraction (a logarithmic number of rounds, each a shuffled aggregate and join). Each component
-of at most ``max_local_edges`` edges is then streamed through one task: levels downward from the roots,
-subtree sizes upward, sibling preorder ranges by prefix sums downward, so that a node's descendants are the
-nodes whose ``lft`` lies in its ``[lft, rgt]``. Nodes that no root reaches are the unprocessed ones; the loops
-among them are their strongly connected components. Components above the bound are processed level by level
-as distributed joins with the same results (``_levelwise``).
+One distributed plan at every size, whose rounds grow with the logarithm of the depth, by pointer doubling:
+
+1. Loops. Where a node has one parent, pointers to it are doubled until they end at a root or at a node with several
+   parents. Pointers that never end are in or below a loop of such nodes; the image of the doubled pointers shrinks to
+   the loops. Nodes with several parents form a smaller graph over where their parents' pointers end, which is treated
+   the same way until nothing is left; nodes that stay unprocessed are those that loops keep from a root.
+2. Levels. Depths come down from the roots over the nodes with several parents (rounds by how deep these are nested) and
+   then to all nodes by the doubled pointers; each node hangs below its parent of least depth and name.
+3. Ranges. Along the tree, doubling sums subtree sizes upward (the nodes within 2**k levels, then twice as many) and
+   collects paths; siblings get their offsets by prefix sums over range partitions, so that a parent of any number of
+   children lies in no one task, and doubling adds the offsets downward to preorder ranges.
+
+Every round is one equi-join of narrow rows, written to a scratch table. Skew (a parent of very many) meets either side
+conditions that leave resolved rows out of the join, partial aggregates, or adaptive skew joins.
 
 Defined results
 - Names compare exactly. A row with a null scope, child or parent states no edge and is left out.
@@ -14,37 +21,18 @@ Defined results
   least name; its other parents still count for descendants and for loops.
 - ``status``: 'tree' (a root reaches it), 'cycle' (reachable from itself, whatever else reaches it) or
   'below_cycle' (only loops reach it). Only nodes that a root reaches have root, depth, path, lft and rgt.
+- ``lft`` and ``rgt`` count from 0 within the tree of a root; siblings are in the order of their names.
 - Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from codeloom.operators.ordered import prefix_sums
 from codeloom.session import Scratch
 
-NODE_SCHEMA = T.StructType(
-    [
-        T.StructField("scope", T.StringType()),
-        T.StructField("node", T.StringType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("in_cycle", T.BooleanType()),
-        T.StructField("root", T.StringType()),
-        T.StructField("depth", T.LongType()),
-        T.StructField("path", T.ArrayType(T.StringType())),
-        T.StructField("lft", T.LongType()),
-        T.StructField("rgt", T.LongType()),
-        T.StructField("n_descendants", T.LongType()),
-    ]
-)
-PAIR_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("scope", "ancestor", "descendant")])
-
 
 def distinct_edges(edges: DataFrame, scope: str, child: str, parent: str) -> DataFrame:
     """(scope, child, parent), distinct and without nulls."""
@@ -52,385 +40,236 @@ def distinct_edges(edges: DataFrame, scope: str, child: str, parent: str) -> Dat
     return edges.select(*cols).dropna().distinct()
 
 
-def components(pairs: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
-    """(id, comp) for undirected pairs (u, v) of longs: alternating large-star and small-star until stable."""
-    e = scratch.write(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low2, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("s"))
-            .select("s.*")
-            .where("u <> v")
-            .distinct()
-        )
-        nxt = scratch.write(small)
-        state = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(e)
-        e = nxt
-        if state == seen:
-            break
-        seen = state
-    return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("comp"))).distinct()
-
-
-def strong_components(succ: dict[str, list[str]], nodes) -> dict[str, int]:
-    """Node to the number of its strongly connected component (Tarjan, without recursion)."""
-    index: dict[str, int] = {}
-    low: dict[str, int] = {}
-    comp: dict[str, int] = {}
-    stack: list[str] = []
-    n_comp = 0
-    for start in nodes:
-        if start in index:
-            continue
-        work = [(start, iter(succ.get(start, ())))]
-        index[start] = low[start] = len(index)
-        stack.append(start)
-        while work:
-            v, it = work[-1]
-            for w in it:
-                if w not in index:
-                    index[w] = low[w] = len(index)
-                    stack.append(w)
-                    work.append((w, iter(succ.get(w, ()))))
-                    break
-                if w not in comp:
-                    low[v] = min(low[v], index[w])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
-                if low[v] == index[v]:
-                    while True:
-                        w = stack.pop()
-                        comp[w] = n_comp
-                        if w == v:
-                            break
-                    n_comp += 1
-    return comp
-
-
-class Forest:
-    """One component: levels from its roots, sizes upward, preorder ranges downward.
-
-    Nodes that no root reaches get ranges below an artificial root in each source loop, so that descendants
-    are complete; ``reached`` tells the two kinds apart.
-    """
+def numbered(edges: DataFrame, scratch: Scratch, tries: int = 8) -> tuple[DataFrame, DataFrame]:
+    """((id, scope, node), (c, p)): nodes with a 64-bit number of their own and the edges between numbers. Numbers are
+    hashes; a seed under which two nodes would share one is passed over."""
+    names = edges.select("scope", F.col("child").alias("node")).unionByName(edges.select("scope", F.col("parent").alias("node"))).distinct()
+    for seed in range(tries):
+        nodes = scratch.write(names.select(F.xxhash64(F.lit(seed), "scope", "node").alias("id"), "scope", "node"))
+        n, distinct = nodes.agg(F.count("*"), F.countDistinct("id")).first()
+        if n == distinct:
+            both = edges.select(F.xxhash64(F.lit(seed), "scope", "child").alias("c"), F.xxhash64(F.lit(seed), "scope", "parent").alias("p"))
+            return nodes, scratch.write(both)
+        scratch.drop(nodes)
+    raise RuntimeError("no seed gives every node a number of its own")
 
-    def __init__(self, edges: list[tuple[str, str]]):
-        parents: dict[str, set[str]] = {}
-        kids: dict[str, set[str]] = {}
-        for c, p in edges:
-            parents.setdefault(c, set()).add(p)
-            kids.setdefault(p, set()).add(c)
-        self.nodes = sorted(parents.keys() | kids.keys())
-        self.kids = {p: sorted(s) for p, s in kids.items()}
-        self.roots = [v for v in self.nodes if v not in parents]
-        self.depth: dict[str, int] = {}
-        self.up: dict[str, str] = {}
-        order = self._levels(self.roots)
-        self.reached = set(order)
-        rest = [v for v in self.nodes if v not in self.reached]
-        scc = strong_components(self.kids, self.nodes) if len(self.nodes) else {}
-        count: dict[int, int] = {}
-        for v in self.nodes:
-            count[scc[v]] = count.get(scc[v], 0) + 1
-        self.cyclic = {v for v in self.nodes if count[scc[v]] > 1 or v in self.kids.get(v, ())}
-        tops = list(self.roots)
-        if rest:
-            fed = {scc[c] for c in rest for p in parents[c] if scc[p] != scc[c]}
-            for v in rest:
-                if scc[v] not in fed and v not in self.depth:
-                    tops.append(v)
-                    order += self._levels([v])
-        self._ranges(order, tops)
-
-    def _levels(self, level: list[str]) -> list[str]:
-        order = []
-        for v in level:
-            self.depth[v] = 0
-        d = 0
-        while level:
-            order += level
-            d += 1
-            nxt: dict[str, str] = {}
-            for p in sorted(level):
-                for c in self.kids.get(p, ()):
-                    if c not in self.depth and c not in nxt:
-                        nxt[c] = p
-            for c, p in nxt.items():
-                self.depth[c] = d
-                self.up[c] = p
-            level = sorted(nxt)
-        return order
-
-    def _ranges(self, order: list[str], tops: list[str]) -> None:
-        size = dict.fromkeys(order, 1)
-        for v in reversed(order):
-            if v in self.up:
-                size[self.up[v]] += size[v]
-        self.size, self.lft = size, {}
-        tree: dict[str, list[str]] = {}
-        for c, p in self.up.items():
-            tree.setdefault(p, []).append(c)
-        at = 0
-        for v in tops:
-            self.lft[v] = at
-            at += size[v]
-        for v in order:
-            at = self.lft[v] + 1
-            for c in sorted(tree.get(v, ())):
-                self.lft[c] = at
-                at += size[c]
-        self.preorder: list[str] = [""] * len(order)
-        for v in order:
-            self.preorder[self.lft[v]] = v
-        cross = sorted((self.lft[p], self.lft[c], self.lft[c] + size[c]) for p, s in self.kids.items() for c in s if self.up.get(c) != p)
-        self.cross_at = [x[0] for x in cross]
-        self.cross = cross
-
-    def path(self, v: str) -> list[str]:
-        out = [v]
-        while v in self.up:
-            v = self.up[v]
-            out.append(v)
-        return out[::-1]
-
-    def descendants(self, v: str) -> Iterator[str]:
-        """By its own range and, along the edges that are not in the tree, by the ranges these lead to."""
-        done: list[tuple[int, int]] = []
-        todo = [(self.lft[v] + 1, self.lft[v] + self.size[v])]
-        first, own = True, False
-        got: set[int] | None = None
-        while todo:
-            a, b = todo.pop()
-            if any(x <= a and b <= y for x, y in done):
-                continue
-            lo = self.lft[v] if first else a
-            first = False
-            i = bisect_left(self.cross_at, lo)
-            while i < len(self.cross) and self.cross[i][0] < b:
-                todo.append(self.cross[i][1:])
-                i += 1
-            if done and got is None:
-                got = {k for x, y in done for k in range(x, y)}
-            done.append((a, b))
-            if got is not None:
-                got.update(range(a, b))
-            own = own or a <= self.lft[v] < b
-        if got is None:
-            a, b = done[0]
-            yield from self.preorder[a:b]
-        else:
-            for k in sorted(got):
-                yield self.preorder[k]
-
-
-def _by_component(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[tuple[str, str]]]]:
-    """Groups of a partition sorted by (scope, comp), one at a time."""
-    key, edges = None, []
-    for pdf in batches:
-        for s, k, c, p in zip(pdf["scope"], pdf["comp"], pdf["child"], pdf["parent"]):
-            if (s, k) != key:
-                if edges:
-                    yield key[0], edges
-                key, edges = (s, k), []
-            edges.append((c, p))
-    if edges:
-        yield key[0], edges
-
-
-def _node_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows: list[tuple] = []
-    for scope, edges in _by_component(batches):
-        f = Forest(edges)
-        for v in f.nodes:
-            ok = v in f.reached
-            cyc = v in f.cyclic
-            path = f.path(v) if ok else None
-            rows.append((scope, v, "cycle" if cyc else "tree" if ok else "below_cycle", cyc, path[0] if ok else None, f.depth[v] if ok else None, path, f.lft[v] if ok else None, f.lft[v] + f.size[v] - 1 if ok else None, f.size[v] - 1 if ok else None))
-            if len(rows) >= 5000:
-                yield _frame(rows)
-                rows = []
-    if rows:
-        yield _frame(rows)
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=NODE_SCHEMA.names)
-    for c in ("depth", "lft", "rgt", "n_descendants"):
-        out[c] = out[c].astype("Int64")
-    return out
-
-
-def _pair_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows: list[tuple[str, str, str]] = []
-    for scope, edges in _by_component(batches):
-        f = Forest(edges)
-        for v in f.nodes:
-            for d in f.descendants(v):
-                rows.append((scope, v, d))
-                if len(rows) >= 50_000:
-                    yield pd.DataFrame(rows, columns=PAIR_SCHEMA.names)
-                    rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=PAIR_SCHEMA.names)
-
-
-def _placed(e: DataFrame, scratch: Scratch, max_local_edges: int) -> tuple[DataFrame, DataFrame]:
-    """Edges with their component, and the edges of components above the bound."""
-    up = F.xxhash64("scope", "parent")
-    ids = e.select("*", F.xxhash64("scope", "child").alias("u"), up.alias("v"))
-    comp = components(ids.select("u", "v"), scratch)
-    placed = scratch.write(ids.join(comp.withColumnRenamed("id", "u"), "u", "left").select("scope", "child", "parent", F.coalesce("comp", "v").alias("comp")))
-    big = placed.groupBy("comp").count().where(F.col("count") > max_local_edges).select("comp")
-    if not big.take(1):
-        return placed, placed.limit(0)
-    return placed.join(big, "comp", "left_anti"), placed.join(big, "comp", "left_semi")
-
-
-def _local(placed: DataFrame, fn, schema: T.StructType) -> DataFrame:
-    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.select("scope", "comp", "child", "parent").repartition(n, "scope", "comp").sortWithinPartitions("scope", "comp").mapInPandas(fn, schema)
-
-
-def hierarchy(edges: DataFrame, scope: str, child: str, parent: str, max_local_edges: int = 2_000_000) -> DataFrame:
-    """One row per node: status, root, depth, path and nested-set range (see the module's text).
-
-    ``lft`` and ``rgt`` count from 0 within the node's connected component; roots are ordered by name.
-    """
-    scratch = Scratch(edges.sparkSession)
-    e = scratch.write(distinct_edges(edges, scope, child, parent))
-    small, large = _placed(e, scratch, max_local_edges)
-    out = _local(small, _node_rows, NODE_SCHEMA)
-    if large.take(1):
-        out = out.unionByName(_levelwise(large, scratch))
-    return out
 
+class Pointers:
+    """Nodes with exactly one parent, their pointers doubled until they end, and what they end at.
 
-def descendants(edges: DataFrame, scope: str, child: str, parent: str, max_local_edges: int = 2_000_000) -> DataFrame:
-    """All (scope, ancestor, descendant) pairs along every parent link; a node in a loop is its own descendant."""
-    scratch = Scratch(edges.sparkSession)
-    e = scratch.write(distinct_edges(edges, scope, child, parent))
-    small, large = _placed(e, scratch, max_local_edges)
-    out = _local(small, _pair_rows, PAIR_SCHEMA)
-    if large.take(1):
-        out = out.unionByName(_closure(large, scratch))
-    return out
-
-
-def cycle_nodes(edges: DataFrame, scope: str, child: str, parent: str, max_local_edges: int = 2_000_000) -> DataFrame:
-    """(scope, node) of the nodes reachable from themselves."""
-    return hierarchy(edges, scope, child, parent, max_local_edges).where("in_cycle").select("scope", "node")
-
+    ``steps[k]``: (id, to): the node after 2**k steps or where the pointer ends, if sooner. ``ends``: (id, to, dist), the
+    end of every pointer that has one. ``loops``: (id, label), the nodes of loops of such nodes with the least number in
+    the loop. ``several``: (c, p), the edges of nodes with more parents.
+    """
 
-def _closure(e: DataFrame, scratch: Scratch) -> DataFrame:
-    """Transitive closure of large components by frontier joins until nothing is new."""
-    e = e.select("scope", "child", "parent")
-    all_pairs = frontier = scratch.write(e.select("scope", F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct())
-    while True:
-        nxt = frontier.join(e.withColumnRenamed("parent", "descendant"), ["scope", "descendant"]).select("scope", "ancestor", F.col("child").alias("descendant")).distinct()
-        new = scratch.write(nxt.join(all_pairs, PAIR_SCHEMA.names, "left_anti"))
-        if not new.take(1):
-            return all_pairs
-        all_pairs, frontier = scratch.write(all_pairs.unionByName(new)), new
+    def __init__(self, edges: DataFrame, scratch: Scratch):
+        degree = edges.groupBy("c").agg(F.count("*").alias("n"), F.min("p").alias("p"))
+        start = degree.where("n = 1").select(F.col("c").alias("id"), F.col("p").alias("to"), F.lit(1).cast("long").alias("dist"), F.lit(True).alias("live"))
+        self.several = scratch.write(edges.join(degree.where("n > 1").select("c"), "c", "left_semi"))
+        t = self.single = scratch.write(start)
+        self.steps, left = [t], None
+        while True:
+            # a pointer goes on while it is at a node that has one itself
+            far = t.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("dist").alias("dist2"))
+            on = t.where("live").join(far, "to", "left")
+            on = on.select("id", F.coalesce("to2", "to").alias("to"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), F.col("to2").isNotNull().alias("live"))
+            t = scratch.write(t.where("not live").unionByName(on))
+            n = t.where("live").count()
+            self.steps.append(t)
+            if not n or n == left:  # none ends between 2**(k-1) and 2**k steps, so that none that is left ever ends
+                break
+            left = n
+        moving = t.where("live") if n else None
+        single = self.single
+        if moving is None:
+            self.ends, self.loops = t, single.select("id", F.col("id").alias("label")).limit(0)
+        else:
+            self.ends = t.where("not live")
+            self.loops = self._loops(moving.select("id", "to"), single, scratch)
 
+    @staticmethod
+    def _loops(moving: DataFrame, single: DataFrame, scratch: Scratch) -> DataFrame:
+        """The image of endless pointers, doubled until it is stable, with the least number of each loop."""
+        size = None
+        while True:
+            image = moving.select("to").distinct()
+            n = image.count()
+            if n == size:
+                break
+            size = n
+            moving = scratch.write(moving.alias("a").join(moving.alias("b"), F.col("a.to") == F.col("b.id")).select("a.id", F.col("b.to").alias("to")))
+        image = scratch.write(image.withColumnRenamed("to", "id"))
+        low = scratch.write(single.join(image, "id", "left_semi").select("id", "to", F.col("id").alias("label")))
+        total = None
+        while True:
+            nxt = low.alias("a").join(low.alias("b"), F.col("a.to") == F.col("b.id"))
+            low = scratch.write(nxt.select("a.id", F.col("b.to").alias("to"), F.least("a.label", "b.label").alias("label")))
+            s = low.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+            if s == total:
+                return low.select("id", "label")
+            total = s
 
-def _trim(e: DataFrame, scratch: Scratch) -> DataFrame:
-    """Edges between nodes that keep both a parent and a child: loops and what joins them."""
-    n = -1
-    while True:
-        ins = e.select("scope", F.col("child").alias("parent")).distinct()
-        outs = e.select("scope", F.col("parent").alias("child")).distinct()
-        nxt = scratch.write(e.join(ins, ["scope", "parent"], "left_semi").join(outs, ["scope", "child"], "left_semi").select("scope", "child", "parent"))
-        m = nxt.count()
-        if m == n:
-            return nxt
-        e, n = nxt, m
 
+def strong(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, label) of every node on a loop of (c, p), a number in common for nodes that reach one another.
 
-def _distributed_cycles(e: DataFrame, scratch: Scratch) -> DataFrame:
-    """Nodes on loops: trim, spread each node's greatest ancestor as its colour, then each colour's root
-    takes back what it reaches against the links within its colour; repeat on the rest."""
-    e = _trim(e.select("scope", "child", "parent"), scratch)
-    found = e.where("child = parent").select("scope", F.col("child").alias("node")).distinct()
-    e = scratch.write(e.where("child <> parent"))
+    An edge from a node to itself is a loop. Recursion is over the nodes with several parents that are left.
+    """
+    own = scratch.write(edges.where("c = p").select(F.col("c").alias("id")).distinct())
+    e = edges.where("c <> p").distinct()
+    # a loop needs an edge in and one out of each of its nodes
+    e = scratch.write(e.join(e.select(F.col("p").alias("c")).distinct(), "c", "left_semi").join(e.select(F.col("c").alias("p")).distinct(), "p", "left_semi").select("c", "p"))
+    n = e.count()
+    if not n:
+        return own.select("id", F.col("id").alias("label"))
+    at = Pointers(e, scratch)
+    heads = at.several.select(F.col("c").alias("id")).distinct()
+    # edges of nodes with several parents, to where the parents' pointers end
+    end = at.several.join(at.ends.select(F.col("id").alias("p"), "to"), "p", "left").join(at.loops.select(F.col("id").alias("p"), F.lit(True).alias("lost")), "p", "left")
+    end = scratch.write(end.select("c", "p", F.coalesce("to", "p").alias("a"), F.col("to").isNotNull().alias("via")))
+    small = scratch.write(end.join(heads.withColumnRenamed("id", "a"), "a", "left_semi").select("c", F.col("a").alias("p")).distinct())
+    m = small.count()
+    if m == 0:
+        found = own.select("id", F.col("id").alias("label")).limit(0)
+    elif m == n:
+        found = _coloured(small, scratch)
+    else:
+        found = strong(small, scratch)
+    found = scratch.write(found)
+    # nodes with one parent are on a loop if they lie between a parent and the end of its pointer, both in one loop
+    lab = found.select(F.col("id").alias("c"), F.col("label").alias("lc"))
+    inner = end.where("via").join(lab, "c").join(found.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").where("lc = la").select(F.col("p").alias("id"), F.col("la").alias("label")).distinct()
+    marks = scratch.write(inner)
+    for step in at.steps if marks.take(1) else []:
+        up = marks.join(step.select("id", "to"), "id").select(F.col("to").alias("id"), "label").join(at.single.select("id"), "id", "left_semi")
+        new = scratch.write(up.distinct().join(marks.select("id"), "id", "left_anti"))
+        if not new.take(1):  # closed under jumps of this length, so under all longer ones
+            break
+        marks = scratch.write(marks.unionByName(new))
+    all_found = found.unionByName(marks).unionByName(at.loops).groupBy("id").agg(F.min("label").alias("label"))
+    rest = own.join(all_found, "id", "left_anti").select("id", F.col("id").alias("label"))
+    return scratch.write(all_found.unionByName(rest))
+
+
+def _coloured(e: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, label) for graphs that pointers make no smaller: every node takes the greatest number among its ancestors as
+    its colour, the node of that number takes back what it is reached from within the colour, and the rest goes on."""
+    loops = e.where("c = p").select(F.col("c").alias("id")).distinct()
+    e = scratch.write(e.where("c <> p"))
+    found = None
     while e.take(1):
-        color = scratch.write(e.select("scope", F.col("child").alias("node")).unionByName(e.select("scope", F.col("parent").alias("node"))).distinct().withColumn("c", F.col("node")))
+        color = scratch.write(e.select(F.col("c").alias("id")).unionByName(e.select(F.col("p").alias("id"))).distinct().withColumn("k", F.col("id")))
         while True:
-            got = e.join(color.withColumnsRenamed({"node": "parent"}), ["scope", "parent"]).groupBy("scope", F.col("child").alias("node")).agg(F.max("c").alias("g"))
-            nxt = scratch.write(color.join(got, ["scope", "node"], "left").select("scope", "node", F.greatest("c", "g").alias("c"), (F.col("g") > F.col("c")).alias("changed")))
-            changed = nxt.where("changed").take(1)
-            color = nxt.select("scope", "node", "c")
-            if not changed:
+            got = e.join(color.withColumnRenamed("id", "p"), "p").groupBy(F.col("c").alias("id")).agg(F.max("k").alias("g"))
+            nxt = scratch.write(color.join(got, "id", "left").select("id", F.greatest("k", "g").alias("k"), (F.col("g") > F.col("k")).alias("changed")))
+            if not nxt.where("changed").take(1):
                 break
-        same = scratch.write(
-            e.join(color.withColumnsRenamed({"node": "child", "c": "cc"}), ["scope", "child"]).join(color.withColumnsRenamed({"node": "parent", "c": "pc"}), ["scope", "parent"]).where("cc = pc").select("scope", "child", "parent", F.col("cc").alias("c"))
-        )
-        back = front = scratch.write(color.where("node = c").select("scope", "node", "c"))
+            color = nxt.select("id", "k")
+        color = nxt.select("id", "k")
+        same = scratch.write(e.join(color.withColumnsRenamed({"id": "c", "k": "kc"}), "c").join(color.withColumnsRenamed({"id": "p", "k": "kp"}), "p").where("kc = kp").select("c", "p", F.col("kc").alias("k")))
+        back = front = scratch.write(color.where("id = k"))
         while True:
-            nxt = same.join(front.withColumnRenamed("node", "child"), ["scope", "child", "c"]).select("scope", F.col("parent").alias("node"), "c").distinct()
-            new = scratch.write(nxt.join(back, ["scope", "node", "c"], "left_anti"))
-            if not new.take(1):
+            nxt = same.join(front.withColumnRenamed("id", "c"), ["c", "k"]).select(F.col("p").alias("id"), "k").distinct()
+            front = scratch.write(nxt.join(back, ["id", "k"], "left_anti"))
+            if not front.take(1):
                 break
-            back, front = scratch.write(back.unionByName(new)), new
-        more = back.groupBy("scope", "c").count().where("count > 1").join(back, ["scope", "c"]).select("scope", "node")
-        found = scratch.write(found.unionByName(more).distinct())
-        gone = back.select("scope", "node")
-        e = _trim(e.join(gone.withColumnRenamed("node", "child"), ["scope", "child"], "left_anti").join(gone.withColumnRenamed("node", "parent"), ["scope", "parent"], "left_anti"), scratch)
-    return found
-
-
-def _levelwise(e: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of ``hierarchy`` for components too large for one task: one distributed round per level."""
-    e = scratch.write(e.select("scope", "comp", "child", "parent"))
-    nodes = scratch.write(e.select("scope", "comp", F.col("child").alias("node")).unionByName(e.select("scope", "comp", F.col("parent").alias("node"))).distinct())
-    kids = e.select("scope", F.col("child").alias("node")).distinct()
-    level = scratch.write(
-        nodes.join(kids, ["scope", "node"], "left_anti").select("scope", "comp", "node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), F.array("node").alias("path"), F.lit(None).cast("string").alias("up"))
-    )
-    seen, levels = level, [level]
+            back = scratch.write(back.unionByName(front))
+        more = back.join(back.groupBy("k").count().where("count > 1").select("k"), "k", "left_semi").select("id", F.col("k").alias("label"))
+        found = scratch.write(more if found is None else found.unionByName(more))
+        gone = back.select("id")
+        e = scratch.write(e.join(gone.withColumnRenamed("id", "c"), "c", "left_anti").join(gone.withColumnRenamed("id", "p"), "p", "left_anti"))
+    alone = loops.select("id", F.col("id").alias("label"))
+    return alone if found is None else found.unionByName(alone.join(found.select("id"), "id", "left_anti"))
+
+
+def _tree(nodes: DataFrame, e: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, up, depth, node) of the nodes a root reaches; ``up`` is null for roots."""
+    at = Pointers(e.where("c <> p"), scratch)
+    roots = nodes.join(e.select(F.col("c").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("depth"))
+    depth = scratch.write(roots)
+    hops = at.several.join(at.ends.select(F.col("id").alias("p"), "to", "dist"), "p", "left").join(at.loops.select(F.col("id").alias("p"), F.lit(1).alias("l")), "p", "left")
+    ended = at.single.join(at.ends.select("id"), "id", "left_anti").select(F.col("id").alias("p"))  # in or below loops
+    hops = scratch.write(hops.join(ended, "p", "left_anti").select("c", "p", F.coalesce("to", "p").alias("id"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist")))
+    if hops.take(1):
+        while True:  # least depths over nodes with several parents, until none falls
+            new = hops.join(depth, "id").groupBy(F.col("c").alias("id")).agg(F.min(F.col("dist") + F.col("depth")).alias("new"))
+            nxt = scratch.write(depth.join(new, "id", "full").select("id", F.least("depth", "new").alias("depth"), (F.col("depth").isNull() | (F.col("new") < F.col("depth"))).alias("changed")))
+            if not nxt.where("changed").take(1):
+                break
+            depth = nxt.select("id", "depth")
+    below = at.ends.join(depth.withColumnRenamed("id", "to"), "to").select("id", (F.col("depth") + F.col("dist")).alias("depth"))
+    depth = scratch.write(depth.unionByName(below).join(nodes.select("id", "node"), "id"))
+    one = at.single.select("id", F.col("to").alias("up"))
+    several = at.several.select(F.col("c").alias("id"), F.col("p").alias("up"))
+    over = several.join(depth.select(F.col("id").alias("up"), "depth", "node"), "up").groupBy("id").agg(F.min_by("up", F.struct("depth", "node")).alias("up"))
+    return scratch.write(depth.join(one.unionByName(over), "id", "left").select("id", "up", "depth", "node"))
+
+
+def _ranges(tree: DataFrame, scratch: Scratch, paths: bool) -> DataFrame:
+    """(id, depth, path, root, lft, size) by doubling along the tree."""
+    deepest = tree.agg(F.max("depth")).first()[0] or 0
+    rows = tree.select("id", "up", "depth", F.lit(1).cast("long").alias("size"), F.col("node").alias("root"), *([F.array("node").alias("path")] if paths else []))
+    rows, ups, k = scratch.write(rows), [], 0
+    while (1 << k) <= deepest:
+        has = F.col("depth") >= (1 << k)  # those with a node 2**k levels up, whose pointer this is
+        ups.append(rows.where(has).select("id", "up"))
+        more = rows.where(has).groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
+        high = rows.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), *([F.col("path").alias("path2")] if paths else []))
+        moved = rows.where(has).join(high, "up").select("id", F.col("up2").alias("up"), "depth", "size", F.col("root2").alias("root"), *([F.concat("path2", "path").alias("path")] if paths else []))
+        rows = moved.unionByName(rows.where(~has)).join(more, "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
+        rows = scratch.write(rows)
+        k += 1
+    sized = tree.where("up is not null").select("id", "up", "node").join(rows.select("id", "size"), "id")
+    lft = prefix_sums(sized, ["up"], ["node", "id"], {"before": "size"}, scratch).select("id", (F.col("before") + 1).alias("lft"))
+    lft = scratch.write(lft.unionByName(tree.where("up is null").select("id", F.lit(0).cast("long").alias("lft"))))
+    for up in ups:
+        high = lft.select(F.col("id").alias("up"), F.col("lft").alias("lft2"))
+        lft = scratch.write(lft.join(up.join(high, "up").select("id", "lft2"), "id", "left").select("id", (F.col("lft") + F.coalesce("lft2", F.lit(0))).alias("lft")))
+    return rows.drop("up").join(lft, "id")
+
+
+def hierarchy(edges: DataFrame, scope: str, child: str, parent: str, paths: bool = True) -> DataFrame:
+    """One row per node: scope, node, status, in_cycle, root, depth, path, lft, rgt, n_descendants (see the module's text).
+
+    Without ``paths`` the column path is null: its size is the sum of all depths, which very deep trees may not want.
+    """
+    scratch = Scratch(edges.sparkSession)
+    nodes, e = numbered(distinct_edges(edges, scope, child, parent), scratch)
+    loops = strong(e, scratch).select("id", F.lit(True).alias("looped"))
+    placed = _ranges(_tree(nodes, e, scratch), scratch, paths)
+    out = nodes.join(placed, "id", "left").join(loops, "id", "left")
+    cyclic = F.coalesce("looped", F.lit(False))
+    status = F.when(cyclic, "cycle").when(F.col("root").isNotNull(), "tree").otherwise("below_cycle")
+    path = F.col("path") if paths else F.lit(None).cast("array<string>")
+    return out.select("scope", "node", status.alias("status"), cyclic.alias("in_cycle"), "root", "depth", path.alias("path"), "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("n_descendants"))
+
+
+def cycle_nodes(edges: DataFrame, scope: str, child: str, parent: str) -> DataFrame:
+    """(scope, node) of the nodes reachable from themselves."""
+    scratch = Scratch(edges.sparkSession)
+    nodes, e = numbered(distinct_edges(edges, scope, child, parent), scratch)
+    return nodes.join(strong(e, scratch).select("id"), "id", "left_semi").select("scope", "node")
+
+
+def descendants(edges: DataFrame, scope: str, child: str, parent: str) -> DataFrame:
+    """All (scope, ancestor, descendant) pairs along every parent link; a node in a loop is its own descendant.
+
+    The nested-set ranges of ``hierarchy`` state the pairs along the tree without spelling them out. Here walks are
+    doubled: what lies within 2**k links joined with what lies exactly 2**k links on, so that along a tree every pair is
+    made once.
+    """
+    scratch = Scratch(edges.sparkSession)
+    nodes, e = numbered(distinct_edges(edges, scope, child, parent), scratch)
+    exact = scratch.write(e.select(F.col("p").alias("a"), F.col("c").alias("d")))
+    within, n = exact, exact.count()
     while True:
-        cand = e.select("scope", "child", "parent").join(level.withColumnRenamed("node", "parent"), ["scope", "parent"])
-        best = cand.groupBy("scope", "comp", "child").agg(F.min_by(F.struct("root", "depth", "path", "parent"), "parent").alias("b"))
-        nxt = best.select("scope", "comp", F.col("child").alias("node"), "b.root", (F.col("b.depth") + 1).alias("depth"), F.concat("b.path", F.array("child")).alias("path"), F.col("b.parent").alias("up"))
-        level = scratch.write(nxt.join(seen.select("scope", "node"), ["scope", "node"], "left_anti").select(*seen.columns))
-        if not level.take(1):
+        on = within.select("a", F.col("d").alias("m")).join(exact.select(F.col("a").alias("m"), "d"), "m").select("a", "d")
+        within = scratch.write(within.unionByName(exact).unionByName(on).distinct())
+        m = within.count()
+        if m == n:
             break
-        levels.append(level)
-        seen = scratch.write(seen.unionByName(level))
-    sizes: list[DataFrame] = []
-    below = None
-    for lv in reversed(levels):
-        if below is None:
-            s = lv.withColumn("size", F.lit(1).cast("long"))
-        else:
-            s = lv.join(below.groupBy("scope", F.col("up").alias("node")).agg(F.sum("size").alias("k")), ["scope", "node"], "left").withColumn("size", 1 + F.coalesce("k", F.lit(0))).drop("k")
-        below = scratch.write(s)
-        sizes.insert(0, below)
-    placed = []
-    start = None
-    for k, lv in enumerate(sizes):
-        group = ["scope", "comp"] if k == 0 else ["scope", "comp", "up"]
-        before = f"coalesce(sum(size) over (partition by {', '.join(group)} order by node rows between unbounded preceding and 1 preceding), 0)"
-        lv = lv.withColumn("before", F.expr(before))
-        if k == 0:
-            lv = lv.withColumn("lft", F.col("before"))
-        else:
-            lv = lv.join(start.select("scope", F.col("node").alias("up"), (F.col("lft") + 1).alias("at")), ["scope", "up"]).withColumn("lft", F.col("at") + F.col("before"))
-        start = scratch.write(lv.select("scope", "node", "root", "depth", "path", "lft", "size"))
-        placed.append(start)
-    tree = placed[0]
-    for lv in placed[1:]:
-        tree = tree.unionByName(lv)
-    tree = scratch.write(tree)
-    cyc = _distributed_cycles(e, scratch).withColumn("in_cycle", F.lit(True))
-    out = nodes.join(tree, ["scope", "node"], "left").join(cyc, ["scope", "node"], "left")
-    in_cycle = F.coalesce("in_cycle", F.lit(False))
-    status = F.when(in_cycle, "cycle").when(F.col("root").isNotNull(), "tree").otherwise("below_cycle")
-    return out.select("scope", "node", status.alias("status"), in_cycle.alias("in_cycle"), "root", "depth", "path", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("n_descendants"))
+        n = m
+        exact = scratch.write(exact.select("a", F.col("d").alias("m")).join(exact.select(F.col("a").alias("m"), "d"), "m").select("a", "d").distinct())
+    name = nodes.select(F.col("id").alias("a"), "scope", F.col("node").alias("ancestor"))
+    below = nodes.select(F.col("id").alias("d"), F.col("node").alias("descendant"))
+    return within.join(name, "a").join(below, "d").select("scope", "ancestor", "descendant")
