@@ -60,17 +60,13 @@ def _one(kind: str, number: Column) -> Column:
     return F.concat(F.lit(head), number, F.lit(tail))
 
 
-def cochange(commits: DataFrame, file: str | None = None, top: int | None = 10, commit: str = "hash", files: str = "files") -> DataFrame:
-    """(file, other, n): how many commits change both; for one file, its top companions.
+def cochange(commits: DataFrame, file: str, top: int | None = 10, files: str = "files") -> DataFrame:
+    """(file, other, n): how many commits change both the file and another, the most frequent first.
 
-    The pairs of one commit come from its own array of files, so no self-join on a hot commit is needed.
+    The companions of a commit come from its own array of files, so no join on a hot commit is needed.
     """
-    c = commits.select(F.array_distinct(files).alias("fs"))
-    if file is not None:
-        c = c.where(F.array_contains("fs", file)).select(F.lit(file).alias("file"), F.explode("fs").alias("other")).where("other <> file")
-    else:
-        c = c.select(F.explode("fs").alias("file"), "fs").select("file", F.explode("fs").alias("other")).where("file <> other")
-    n = c.groupBy("file", "other").agg(F.count("*").alias("n"))
+    c = commits.select(F.array_distinct(files).alias("fs")).where(F.array_contains("fs", file))
+    n = c.select(F.lit(file).alias("file"), F.explode("fs").alias("other")).where("other <> file").groupBy("file", "other").agg(F.count("*").alias("n"))
     return n.orderBy(F.desc("n"), "file", "other").limit(top) if top is not None else n
 
 

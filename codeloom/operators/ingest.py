@@ -77,6 +77,13 @@ def watermarks(log: DataFrame) -> DataFrame:
     return log.groupBy("workspace_id").agg(F.max("revision").alias("accepted_revision"), F.countDistinct("path").alias("paths"))
 
 
+def counted_on(counts: DataFrame, gone: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """keys.., n: counts carried on by the rows that an update takes away and adds, without reading the rest again; keys
+    that fall to 0 are left out."""
+    d = counts.select(*keys, "n").unionByName(new.groupBy(*keys).agg(F.count("*").alias("n"))).unionByName(gone.groupBy(*keys).agg((-F.count("*")).alias("n")))
+    return d.groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def assigned(batches: DataFrame, accepted: DataFrame) -> DataFrame:
     """New revision of each batch: one more than the accepted one, or the client's if that is greater (late ones are
     still taken)."""

@@ -24,7 +24,7 @@ def context_compose(spark, d):
             "symbols": compose.numbered(syms, F.concat_ws(" ", "path", "signature"), [F.desc("score"), F.lower("name"), "path", "line_start"], 5),
             "hubs": compose.numbered(hubs, F.concat_ws(" ", "scope", "dst", F.col("n").cast("string")), [F.desc("n"), "scope", "dst"], 5),
             "memories": compose.numbered(ranked, F.col("content"), [F.desc("score"), "id"], 5),
-            "notes": compose.numbered(docs, F.substring("text", 1, 400), [F.desc("n_chars"), "doc_id"], 10),
+            "notes": compose.numbered(docs, F.col("text"), ["n_chars", "doc_id"], 10),
         },
         1024,
     )

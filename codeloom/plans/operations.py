@@ -81,6 +81,18 @@ def watermark(spark, d):
 SQL["watermark"] = "SELECT workspace_id, max(revision) AS accepted_revision, count(DISTINCT path) AS paths FROM sync_files GROUP BY workspace_id"
 
 
+@query
+def delta_counts(spark, d):
+    """Chunks per workspace after half of the files changed, from the counts before and the changed rows alone."""
+    c = table(spark, d, "chunks").select("workspace_id", "faiss_id")
+    old, new = c.where("faiss_id % 2 = 0"), c.where("faiss_id % 3 = 0")
+    before = c.where("faiss_id % 3 <> 0").groupBy("workspace_id").agg(F.count("*").alias("n"))
+    return ingest.counted_on(before, old.where("faiss_id % 3 <> 0"), new, ["workspace_id"])
+
+
+SQL["delta_counts"] = "SELECT workspace_id, count(*) AS n FROM chunks WHERE faiss_id % 3 = 0 OR faiss_id % 2 <> 0 GROUP BY 1"
+
+
 @query
 def batch_revision(spark, d):
     """Revisions given to one batch per client, late ones included."""

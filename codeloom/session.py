@@ -84,10 +84,12 @@ class Scratch:
                 _delete(self.spark, path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else unhinted (a shuffled join)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def bounded_broadcast(df: DataFrame, max_rows: int = 20_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows of at most ``max_bytes`` together, as text, else
+    unhinted (a shuffled join)."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
 
 
 def ship(spark: SparkSession) -> None:

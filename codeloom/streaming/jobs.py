@@ -30,15 +30,18 @@ def run(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint:
     return (w.queryName(name) if name else w).start()
 
 
-def sync(store: Store, refused: list | None = None) -> Callable[[DataFrame, int], None]:
-    """Batches onto the snapshot, its objects' counts and the accepted revisions (a monotone maximum)."""
+def sync(store: Store) -> Callable[[DataFrame, int], None]:
+    """Batches onto the snapshot and the accepted revisions (a monotone maximum); refused changes go with their reason to the
+    table ``refused``, where one that comes again counts once."""
 
     def batch(df: DataFrame, n: int) -> None:
         if not df.take(1):
             return
         bad = apply_batch(store, df)
-        if refused is not None:
-            refused.extend(r.path for r in bad.select("path").limit(1000).collect())
+        bad = bad.select("workspace_id", "path", "revision", "seq", "reason")
+        before = store.read("refused")
+        if bad.take(1):
+            store.write("refused", bad if before is None else before.unionByName(bad).distinct())
         seen = df.groupBy("workspace_id").agg(F.max("revision").alias("accepted_revision"))
         old = store.read("watermarks")
         both = seen if old is None else old.unionByName(seen)
@@ -116,3 +119,73 @@ def windowed(stream: DataFrame, at: str, size: str, keys: list[str], delay: str
 def sessions(stream: DataFrame, at: str, gap: str, keys: list[str], delay: str = "10 minutes") -> DataFrame:
     """Counts per session of each key."""
     return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).groupBy(F.session_window(at, gap).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), *keys, "n")
+
+
+def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """One batch to several sinks, read once. A sink that fails does not keep the batch from the others; the first failure
+    is raised after all had it, so that the batch comes again."""
+
+    def batch(df: DataFrame, n: int) -> None:
+        df.persist()
+        failed: list[Exception] = []
+        try:
+            for sink in sinks:
+                try:
+                    sink(df, n)
+                except Exception as e:  # noqa: BLE001
+                    failed.append(e)
+        finally:
+            df.unpersist()
+        if failed:
+            raise failed[0]
+
+    return batch
+
+
+class Job:
+    """A job over parts of a table that can stop and go on: each part's rows are staged under the part's number, and a table
+    names the parts that are done; when all are, the staged rows become the table ``name`` at once.
+
+    The state is 'running', 'paused', 'cancelled' or 'done' and lies in the store, so any driver can read or change it
+    between parts. A part that was staged by a driver that died before it could say so is made again.
+    """
+
+    def __init__(self, store: Store, name: str, parts: int):
+        self.store, self.name, self.parts = store, name, parts
+
+    def state(self) -> str | None:
+        s = self.store.read(f"{self.name}_state")
+        return None if s is None else s.first()["state"]
+
+    def set(self, state: str) -> None:
+        self.store.write(f"{self.name}_state", self.store.spark.createDataFrame([(state,)], "state string"))
+
+    def done(self) -> set[int]:
+        """Parts that are staged (at most ``parts`` rows)."""
+        d = self.store.read(f"{self.name}_done")
+        return set() if d is None else {r["part"] for r in d.collect()}
+
+    def run(self, rows: DataFrame, keys: list[str], fn: Callable[[DataFrame], DataFrame], fresh: bool = False) -> str:
+        """Go on from what is done; rows fall into parts by hash of the keys. Returns the state at the end."""
+        spark = self.store.spark
+        if fresh or self.state() in (None, "cancelled", "done"):
+            self.store.write(f"{self.name}_done", spark.createDataFrame([], "part int"))
+        self.set("running")
+        done = self.done()
+        part_of = F.pmod(F.xxhash64(*keys), F.lit(self.parts)).cast("int")
+        for part in range(self.parts):
+            if part in done:
+                continue
+            if self.state() != "running":
+                return self.state()
+            self.store.write(f"{self.name}_staged_{part}", fn(rows.where(part_of == part)))
+            done.add(part)
+            self.store.write(f"{self.name}_done", spark.createDataFrame([(p,) for p in sorted(done)], "part int"))
+        if self.state() == "running":
+            out = None
+            for part in range(self.parts):
+                staged = self.store.read(f"{self.name}_staged_{part}")
+                out = staged if out is None else out.unionByName(staged)
+            self.store.write(self.name, out)
+            self.set("done")
+        return self.state()

@@ -61,10 +61,9 @@ def test_sync_stream(spark, tmp_path):
     src.mkdir()
     (src / "1.json").write_text("\n".join(json.dumps(c) for c in [change("a", "1", 1, 1), change("./b", "2", 1, 2), change("c", "x", 1, 3, bad=True), change("../d", "y", 1, 4)]))
     s = store.Store(spark, str(tmp_path / "s"))
-    refused = []
-    go = lambda: jobs.run(jobs.changes(spark, str(src), 1), jobs.sync(s, refused), str(tmp_path / "cp")).awaitTermination()
+    go = lambda: jobs.run(jobs.changes(spark, str(src), 1), jobs.sync(s), str(tmp_path / "cp")).awaitTermination()
     go()
-    assert {(r.path, r.op) for r in s.read("snapshot").collect()} == {("a", "upsert"), ("b", "upsert")} and sorted(refused) == ["../d", "c"]
+    assert {(r.path, r.op) for r in s.read("snapshot").collect()} == {("a", "upsert"), ("b", "upsert")} and sorted(r.path for r in s.read("refused").collect()) == ["../d", "c"]
     (src / "2.json").write_text("\n".join(json.dumps(c) for c in [change("a", None, 5, 5, op="delete"), change("b", "old", 0, 6)]))
     go()
     go()
@@ -105,3 +104,48 @@ def test_memory_stream(spark, tmp_path):
         (src / f"{n}.json").write_text(json.dumps({"id": n, **row, "importance": n}))
         jobs.run(jobs.changes(spark, str(src), 1, schema), jobs.remember(s), str(tmp_path / "cp")).awaitTermination()
     assert [(r.id, r.importance, r.access_count) for r in s.read("memories").collect()] == [(0, 1, 1)]
+
+
+def test_vector_index(spark, tmp_path):
+    from codeloom.sources.vectors import VectorIndex
+
+    ix = VectorIndex(spark, str(tmp_path / "ix"), "m", 2)
+    schema = "workspace_id string, path string, chunk_id string, vector_id long, hash string, embedding array<double>"
+    none = spark.createDataFrame([], "workspace_id string, path string")
+    assert ix.health() == "missing" and ix.search([1.0, 0.0], 3).count() == 0
+    rows = [("w", "a", "a1", 1, "h1", [2.0, 0.0]), ("w", "a", "a1", 2, "h1", [0.0, 3.0]), ("w", "b", "b1", 3, "h2", [1.0, 1.0]), ("v", "c", "c1", 4, "h3", [5.0, 0.0]), ("w", "d", None, 5, "h", [1.0, 0.0]), ("w", "e", "e1", 6, "h", [0.0, 0.0]), ("w", "f", "f1", 7, "h", [1.0])]
+    ix.update(spark.createDataFrame(rows, schema), none, 3)
+    assert ix.health() == "valid" and ix.health(4) == "stale" and VectorIndex(spark, str(tmp_path / "ix"), "other", 2).health() == "invalid"
+    assert [(r.vector_id, r.score) for r in ix.search([1.0, 0.0], 9).collect()] == [(4, 1.0), (3, 0.707107), (2, 0.0)]
+    assert [r.vector_id for r in ix.search([1.0, 0.0], 1, "w").collect()] == [3]
+    files = spark.createDataFrame([("w", "a", "h1"), ("w", "b", "new"), ("w", "z", "h9")], "workspace_id string, path string, hash string")
+    assert {r.path for r in ix.pending(files).collect()} == {"b", "z"}
+    ix.update(spark.createDataFrame([("w", "b", "b2", 9, "new", [0.0, 1.0])], schema), spark.createDataFrame([("v", "c")], none.schema), 2)
+    assert {r.chunk_id for r in ix.rows().collect()} == {"a1", "b2"} and ix.metadata()["revision"] == 3
+
+
+def test_jobs_go_on_where_they_stopped(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "j"))
+    job = jobs.Job(s, "out", 4)
+    calls = []
+
+    def work(df):
+        calls.append(1)
+        if len(calls) == 2:
+            job.set("paused")
+        return df.selectExpr("id", "id * 2 as twice")
+
+    assert job.run(spark.range(40), ["id"], work) == "paused" and s.read("out") is None and len(calls) == 2
+    assert job.run(spark.range(40), ["id"], work) == "done" and len(calls) == 4
+    assert {(r.id, r.twice) for r in s.read("out").collect()} == {(i, 2 * i) for i in range(40)}
+
+
+def test_fan_out(spark):
+    got = []
+    sink = jobs.fan_out(lambda d, n: got.append(("a", d.count())), lambda d, n: 1 / 0, lambda d, n: got.append(("b", d.count())))
+    try:
+        sink(spark.range(3), 0)
+        raise AssertionError("the failure is raised")
+    except ZeroDivisionError:
+        pass
+    assert got == [("a", 3), ("b", 3)]
