@@ -77,6 +77,19 @@ def p2_combined_days(spark, d):
     return percentiles.from_sketch(percentiles.combine(p2_daily_sketch(spark, d), ["provider", "model"]), ["provider", "model"], PERCENTILES)
 
 
+@query
+def p2_intervals(spark, d):
+    """Whether the interval from the days' sketches holds the exact percentile, per group and rank, and is narrow enough."""
+    exact = p2_percentiles(spark, d).select(F.col("provider").alias("_p"), F.col("model").alias("_m"), F.col("p").alias("_q"), F.col("value").alias("exact"))
+    c = p2_combined_days(spark, d)
+    both = c.join(exact, c["provider"].eqNullSafe(F.col("_p")) & c["model"].eqNullSafe(F.col("_m")) & (c["p"] == F.col("_q")))
+    narrow = F.col("high") - F.col("low") <= F.abs("value") / 256 + 1e-300
+    return both.select("provider", "model", "p", "n", ((F.col("low") <= F.col("exact")) & (F.col("exact") <= F.col("high"))).alias("holds"), narrow.alias("narrow"))
+
+
+SQL["p2_intervals"] = f"SELECT provider, model, p, n, true AS holds, true AS narrow FROM ({SQL['p2_percentiles']})"
+
+
 # 3: pieces
 
 
@@ -196,6 +209,15 @@ JOIN (SELECT id, list_transform(v, lambda x: x / n) AS u FROM (SELECT id, v, sqr
 SQL["p7_found"] = " UNION ALL ".join(_pairs_sql(*x) for x in VECTORS)
 
 
+@query
+def p7_link_counts(spark, d):
+    """The numbers of links alone."""
+    return p7_links(spark, d).where("n_links > 0").select("item_kind", "id", "n_links")
+
+
+SQL["p7_link_counts"] = f"SELECT item_kind, id, count(*) AS n_links FROM (SELECT item_kind, unnest([id_a, id_b]) AS id FROM ({SQL['p7_found']})) GROUP BY ALL"
+
+
 @query
 def p7_neighbours(spark, d):
     """The ten most similar rows of every row whose id is divisible by 100."""
@@ -227,6 +249,22 @@ def p8_unused(spark, d):
     return packing.containers(_sized(spark, d), table(spark, d, "pack_sizes"), "doc_id", "n_tokens")[1]
 
 
+@query
+def p8_checked(spark, d):
+    """Per kind: documents placed, containers over their capacity, documents split though they fit, tokens lost."""
+    docs = _sized(spark, d)
+    items = packing.containers(docs, table(spark, d, "pack_sizes"), "doc_id", "n_tokens")[0]
+    kind = ["container_kind", "capacity_tokens"]
+    full = items.groupBy(*kind, "container_id").agg(F.sum("n_tokens").alias("t")).groupBy(*kind).agg(F.count_if(F.col("t") > F.col("capacity_tokens")).alias("over_full"))
+    per = items.groupBy(*kind, "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("t"))
+    per = per.groupBy(*kind).agg(F.count("*").alias("n_documents"), F.count_if((F.col("pieces") > 1) & (F.col("t") <= F.col("capacity_tokens"))).alias("split_though_fitting"), F.sum("t").alias("placed"))
+    total = docs.agg(F.sum("n_tokens").alias("total"))
+    return per.join(full, kind).join(F.broadcast(total)).select(*kind, "n_documents", "over_full", "split_though_fitting", (F.col("total") - F.col("placed")).alias("lost_tokens"))  # the total is one row
+
+
+SQL["p8_checked"] = "SELECT DISTINCT container_kind, capacity_tokens, (SELECT count(*) FROM documents) AS n_documents, 0 AS over_full, 0 AS split_though_fitting, 0 AS lost_tokens FROM pack_sizes WHERE capacity_tokens > 0"
+
+
 # 9: mixing
 
 
@@ -248,6 +286,21 @@ def p9_exact_shares(spark, d):
     return mixing.mixture(_sized(spark, d, "source"), table(spark, d, "mix_targets"), "doc_id", "source", "n_tokens", extent="exact")[1]
 
 
+@query
+def p9_checked(spark, d):
+    """Per target: records used more often than allowed, and whether the share of the largest exact mixture is reached within
+    the size of one record."""
+    docs, targets = _sized(spark, d, "source"), table(spark, d, "mix_targets")
+    used, report = mixing.mixture(docs, targets, "doc_id", "source", "n_tokens", extent="exact")
+    most = docs.agg(F.max("n_tokens").alias("most"))
+    often = used.join(F.broadcast(targets.select("source", "max_repeats")), "source").groupBy("source").agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("too_often"))
+    near = F.abs(F.col("tokens_used") - F.col("budget")) <= F.col("most")
+    return report.join(often, "source", "left").join(F.broadcast(most)).select("source", "target_share", F.coalesce("too_often", F.lit(0)).alias("too_often"), near.alias("near"))  # targets are a fixed table, the greatest size is one row
+
+
+SQL["p9_checked"] = "SELECT source, target_share, 0 AS too_often, true AS near FROM mix_targets"
+
+
 # 10: truncation
 
 
