@@ -2,7 +2,7 @@
 
 A double's bits become an integer of the same order (``ordered_bits``). ``exact_percentiles`` histograms 16 bits
 at a time: each pass aggregates (group, digit) counts before the shuffle, picks the digit that holds each target
-rank, and the next pass keeps only the rows under the picked prefixes. Four passes give the exact value of rank
+rank, and the next pass keeps only the rows under the picked prefixes, by the doubles that bound them. Four passes give the exact value of rank
 ceil(p * n). ``sketch`` is the first passes' histogram kept as a table: counts of the top ``bits`` bits. Sketches
 of days or partitions combine by adding counts, and ``from_sketch`` reads percentiles from any sum of them with
 relative error at most 2**-(bits - 12), reported per row as an interval that holds the exact value.
@@ -60,32 +60,35 @@ def ordered_value(k: Column | str) -> Column:
     return mapped(k)
 
 
-def _keys(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """g1.., k: group keys and the integer of each ranked value."""
+def _values(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """g0.., v: group keys and each ranked value."""
     cols = [F.col(g).alias(f"g{i}") for i, g in enumerate(groups)]
-    v = F.col(value).cast("double")
-    return df.select(*cols, v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")).select(*[f"g{i}" for i in range(len(groups))], ordered_bits("v").alias("k"))
+    return df.select(*cols, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def _same(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in cols])
+def _bounds(prefix: Column, bits: int) -> tuple[Column, Column]:
+    """The least and the greatest double whose integer begins with ``prefix`` of ``bits`` bits; codes beyond the infinities
+    are no numbers and stand for them."""
+    first = F.shiftleft(prefix, 64 - bits)
+    low, high = ordered_value(first), ordered_value(first.bitwiseOR(F.lit((1 << (64 - bits)) - 1)))
+    return F.coalesce(F.nanvl(low, F.lit(None).cast("double")), F.lit(float("-inf"))), F.coalesce(F.nanvl(high, F.lit(None).cast("double")), F.lit(float("inf")))
 
 
 def exact_percentiles(df: DataFrame, groups: list[str], value: str, ps: list[float]) -> DataFrame:
     """groups.., p, n, value: the value of rank max(1, ceil(p * n)) among the n ranked values of the group."""
     g = [f"g{i}" for i in range(len(groups))]
-    keys = _keys(df, groups, value)
+    values = _values(df, groups, value)
     scratch = Scratch(df.sparkSession)
-    targets, prefix = None, []
+    targets = None
     for step in range(64 // DIGIT):
-        digit = F.shiftright("k", 64 - DIGIT * (step + 1))
-        rows = keys
+        rows = values
         if step:
-            top = F.shiftright("k", 64 - DIGIT * step)
-            want = scratch.write(targets.select(*g, "prefix").distinct())
-            want = bounded_broadcast(want.select(*[F.col(c).alias(f"w_{c}") for c in g], "prefix"), 200_000)
-            rows = keys.withColumn("top", top)
-            rows = rows.join(want, reduce(lambda a, c: a & rows[c].eqNullSafe(want[f"w_{c}"]), g, F.col("top") == F.col("prefix")), "left_semi")
+            # only values between the bounds of a followed prefix reach Python
+            want = targets.select(*[F.col(c).alias(f"w_{c}") for c in g], "prefix").distinct()
+            low, high = _bounds(F.col("prefix"), DIGIT * step)
+            want = bounded_broadcast(scratch.write(want.select(*[f"w_{c}" for c in g], low.alias("low"), high.alias("high"))), 200_000)
+            rows = rows.join(want, reduce(lambda a, c: a & rows[c].eqNullSafe(want[f"w_{c}"]), g, (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))), "left_semi")
+        digit = F.shiftright(ordered_bits("v"), 64 - DIGIT * (step + 1))
         hist = rows.groupBy(*g, digit.alias("digit")).agg(F.count("*").alias("c"))
         if step:
             hist = hist.withColumn("prefix", F.shiftright("digit", DIGIT))
@@ -109,8 +112,8 @@ def exact_percentiles(df: DataFrame, groups: list[str], value: str, ps: list[flo
 
 def sketch(df: DataFrame, groups: list[str], value: str, bits: int = 20) -> DataFrame:
     """groups.., bin, n: counts of the top ``bits`` bits; add the counts of equal bins to combine sketches."""
-    keys = _keys(df, groups, value)
-    out = keys.groupBy(*[f"g{i}" for i in range(len(groups))], F.shiftright("k", 64 - bits).alias("bin")).agg(F.count("*").alias("n"))
+    rows = _values(df, groups, value)
+    out = rows.groupBy(*[f"g{i}" for i in range(len(groups))], F.shiftright(ordered_bits("v"), 64 - bits).alias("bin")).agg(F.count("*").alias("n"))
     return out.select(*[F.col(f"g{i}").alias(c) for i, c in enumerate(groups)], "bin", "n")
 
 
