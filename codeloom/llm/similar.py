@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from codeloom.llm.vamana import NONE, Graph, centroids
 from codeloom.session import Scratch, bounded_broadcast
 
-SAMPLE = 20_000
+#: Points that centres are fitted on: eight for each centre, at least and at most so many.
+SAMPLE, MOST_SAMPLE = 20_000, 200_000
 SHARD = 4_000
 DEGREE, BEAM, ALPHA = 24, 32, 1.1
 #: Members of a class of copies that meet in one task.
@@ -87,7 +88,8 @@ class Shards:
 
 
 def fit_shards(points: DataFrame, n: int, dim: int, shard: int, sample: int, margin: float, most: int = 4, seed: int = 5) -> Shards:
-    """Centres from at most ``sample`` points; one per ``shard`` points, as far as the sample allows."""
+    """Centres from a sample of points, one per ``shard`` points, as far as a sample of MOST_SAMPLE allows (25000 centres)."""
+    sample = min(max(sample, 8 * -(-n // shard)), MOST_SAMPLE)
     share = min(1.0, 1.2 * sample / max(1, n))
     some = points.where(F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1_000_000)) < int(1_000_000 * share) + 1).limit(sample).collect()
     k = max(1, min(-(-n // shard), len(some) // 8))

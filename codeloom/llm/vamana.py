@@ -226,7 +226,7 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.
     rng = np.random.default_rng(seed)
     c = sample[rng.choice(len(sample), min(k, len(sample)), replace=False)].copy()
     for _ in range(rounds):
-        at = np.argmax(sample @ c.T, 1)
+        at = np.concatenate([np.argmax(sample[i : i + 1024] @ c.T, 1) for i in range(0, len(sample), 1024)])
         total = np.zeros_like(c)
         np.add.at(total, at, sample)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
