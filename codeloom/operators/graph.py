@@ -109,6 +109,23 @@ def impact(e: DataFrame, files: DataFrame, starts: DataFrame, depth: int = 2, fo
     return out.na.fill(0)
 
 
+def member_impact(calls: DataFrame, members: DataFrame, scope: str, most: int = 3) -> DataFrame:
+    """(scope, owner, members, calls, called_by): of every class its members, the other names that these call and the callables
+    outside it that call one of them. A member's name that more than ``most`` classes of the scope declare is too
+    ambiguous to follow callers by.
+    """
+    m = members.select(F.col(scope).alias("scope"), "owner", "member").distinct()
+    e = calls.select(F.col(scope).alias("scope"), "caller", "callee").distinct()
+    clear = m.groupBy("scope", "member").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("scope", "member")
+    own = m.select("scope", "owner", F.col("member").alias("other"))
+    ahead = m.join(e.withColumnRenamed("caller", "member"), ["scope", "member"]).select("scope", "owner", F.col("callee").alias("other")).join(own, ["scope", "owner", "other"], "left_anti")
+    back = m.join(clear, ["scope", "member"]).join(e.withColumnRenamed("callee", "member"), ["scope", "member"]).select("scope", "owner", F.col("caller").alias("other")).join(own, ["scope", "owner", "other"], "left_anti")
+    out = m.groupBy("scope", "owner").agg(F.count("*").alias("members"))
+    for rows, name in ((ahead, "calls"), (back, "called_by")):
+        out = out.join(rows.groupBy("scope", "owner").agg(F.countDistinct("other").alias(name)), ["scope", "owner"], "left")
+    return out.na.fill(0, ["calls", "called_by"])
+
+
 def entry_points(e: DataFrame, starts: DataFrame, depth: int = 20) -> DataFrame:
     """(scope, start, node): roots that reach the start within ``depth`` hops."""
     return reach(e, starts, depth, forward=False).join(roots(e), ["scope", "node"], "left_semi").select("scope", "start", "node")

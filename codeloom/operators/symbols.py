@@ -125,6 +125,20 @@ def enclosing(ls: DataFrame, keys: list[str]) -> DataFrame:
     return ls.withColumn("_d", name).withColumn("inside", F.expr(f"last(_d, true) over (partition by {part} order by line_no)")).drop("_d")
 
 
+#: What holds members.
+HOLDERS = "class|trait|object|interface|enum"
+
+
+def members(ls: DataFrame, keys: list[str]) -> DataFrame:
+    """keys.., owner, member: callables declared deeper than the class last declared above them, by the general form."""
+    part = ", ".join(f"`{k}`" for k in keys)
+    lead, kind, name = (F.regexp_extract("line", DECLARATION, i) for i in (1, 2, 3))
+    x = ls.where(F.col("line").rlike(DECLARATION)).select(*keys, "line_no", F.length(lead).alias("_at"), kind.rlike(f"^(?:{HOLDERS})$").alias("_holds"), name.alias("_name"))
+    x = x.withColumn("_own", F.when(F.col("_holds"), F.struct(F.col("_name").alias("name"), F.col("_at").alias("at"))))
+    x = x.withColumn("_in", F.expr(f"last(_own, true) over (partition by {part} order by line_no)"))
+    return x.where(~F.col("_holds") & (F.col("_at") > F.col("_in.at"))).select(*keys, F.col("_in.name").alias("owner"), F.col("_name").alias("member")).distinct()
+
+
 #: Words before a parenthesis that call nothing.
 NOT_CALLED = ["if", "for", "while", "switch", "catch", "return", "function", "def", "func", "class", "elif", "with", "and", "or", "not", "in", "is", "print", "sizeof", "synchronized", "import", "new", "assert", "raise", "except", "lambda", "await", "yield", "else", "case"]
 

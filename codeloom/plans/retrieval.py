@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
-from codeloom.operators import symbols, text, vector
+from codeloom.operators import graph, symbols, text, vector
 from codeloom.plans.base import DOC_LINES, KEYS, LINES, SNAP, SQL, doc_lines, file_lines, query, snapshot
 from codeloom.session import table
 
@@ -252,6 +252,34 @@ c AS (SELECT workspace_id, path, caller, line_no AS line, unnest(list_distinct(r
 SELECT workspace_id, path, caller, callee, line FROM c WHERE callee NOT IN ({_NOT_CALLED})"""
 
 
+@query
+def member_impact(spark, d):
+    """What the members of every class call and what calls them."""
+    ls = file_lines(spark, d)
+    return graph.member_impact(symbols.call_edges(ls, KEYS), symbols.members(ls, KEYS), "workspace_id")
+
+
+SQL["member_impact"] = f"""WITH {LINES}, decl AS (SELECT workspace_id, path, line_no, length(regexp_extract(line, '{_SYMBOL}', 1)) AS ind, regexp_matches(regexp_extract(line, '{_SYMBOL}', 2), '^({symbols.HOLDERS})$') AS holds, regexp_extract(line, '{_SYMBOL}', 3) AS name FROM lines WHERE regexp_matches(line, '{_SYMBOL}')),
+o AS (SELECT *, last_value(CASE WHEN holds THEN {{'name': name, 'ind': ind}} END IGNORE NULLS) OVER (PARTITION BY workspace_id, path ORDER BY line_no) AS i FROM decl),
+m AS (SELECT DISTINCT workspace_id AS scope, i.name AS owner, name AS member FROM o WHERE NOT holds AND ind > i.ind),
+n AS (SELECT *, CASE WHEN regexp_matches(regexp_extract(line, '{_SYMBOL}', 2), 'def|func') THEN regexp_extract(line, '{_SYMBOL}', 3) END AS d FROM lines),
+c0 AS (SELECT *, last_value(d IGNORE NULLS) OVER (PARTITION BY workspace_id, path ORDER BY line_no) AS caller FROM n),
+c AS (SELECT DISTINCT workspace_id AS scope, caller, unnest(regexp_extract_all(regexp_replace(line, '{_SYMBOL}', ''), '([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1)) AS callee FROM c0 WHERE caller IS NOT NULL),
+e AS (SELECT * FROM c WHERE callee NOT IN ({_NOT_CALLED})), clear AS (SELECT scope, member FROM m GROUP BY ALL HAVING count(*) <= 3),
+a AS (SELECT m.scope, m.owner, e.callee AS other FROM m JOIN e ON e.scope = m.scope AND e.caller = m.member), b AS (SELECT m.scope, m.owner, e.caller AS other FROM m JOIN clear ON clear.scope = m.scope AND clear.member = m.member JOIN e ON e.scope = m.scope AND e.callee = m.member),
+ac AS (SELECT scope, owner, count(DISTINCT other) AS n FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.scope = a.scope AND m.owner = a.owner AND m.member = a.other) GROUP BY ALL),
+bc AS (SELECT scope, owner, count(DISTINCT other) AS n FROM b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.scope = b.scope AND m.owner = b.owner AND m.member = b.other) GROUP BY ALL),
+mc AS (SELECT scope, owner, count(*) AS members FROM m GROUP BY ALL)
+SELECT mc.scope, mc.owner, members, coalesce(ac.n, 0) AS calls, coalesce(bc.n, 0) AS called_by FROM mc LEFT JOIN ac ON ac.scope = mc.scope AND ac.owner = mc.owner LEFT JOIN bc ON bc.scope = mc.scope AND bc.owner = mc.owner"""
+
+
+@query
+def symbol_weighted(spark, d):
+    """The fifty symbol names nearest to a word by the weighted ratio, each name once."""
+    n = table(spark, d, "chunks").select(F.get_json_object("metadata", "$.symbol_name").alias("name")).where("name is not null").distinct()
+    return n.withColumn("score", F.round(symbols.weighted_ratio(F.col("name"), "sortCursor"), 6)).where("score >= 60").orderBy(F.desc("score"), "name").limit(50)
+
+
 # Vectors
 
 
