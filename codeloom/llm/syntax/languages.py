@@ -57,8 +57,6 @@ class Table:
         for word, s in SPELLED.get(lang, {}).items():
             if s in self.chars:
                 self.words[word] = self.chars[s]
-                if lang == "c" and s in ("asm", "bool", "complex", "noreturn", "attribute", "generic", "thread", "alignof", "alignas", "static_assert", "typeof"):
-                    pass
         if lang == "c":
             for s in ("attribute", "generic", "complex", "noreturn", "thread"):
                 self.words.pop(s, None)
@@ -88,6 +86,8 @@ REGEX_BODY = r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 TPL_PLAIN = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{))*`"
 TPL_DEEP = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^`{}]|\{[^`{}]*\}|`[^`]*`)*\})*`"
 TPL_PART = re.compile(r"\\[\s\S]|\$\{((?:[^`{}]|\{[^`{}]*\}|`[^`]*`)*)\}")
+#: A formatted string of Python: prefix, quotes, what lies between.
+FSTRING = re.compile(r"([fFrR]{1,2})(?:\"\"\"|\'\'\'|[\"'])([\s\S]*?)(?:\"\"\"|\'\'\'|[\"'])\Z")
 
 
 class Lexer:
@@ -211,6 +211,10 @@ class Lexer:
         if k == 6:
             return "\n" + chr(INDENT_BASE + len(m[6].expandtabs(8)) % 4000)
         if k == 1:
+            if m[1][0] in "fF" or m[1][1] in "fF":
+                f = FSTRING.match(m[1])
+                if f and not self._fields(f[2], "r" in f[1].lower()):
+                    return ERROR
             return self.s + BREAK * m[1].count("\n")
         if k == 3:
             return self.num
@@ -218,6 +222,80 @@ class Lexer:
             return BREAK if m[4][0] == "\\" else ""
         return ERROR if k else ""
 
+    def _fields(self, body: str, raw: bool) -> bool:
+        """Whether the replacement fields of a formatted string parse."""
+        i = 0
+        while i < len(body):
+            c, nxt = body[i], body[i + 1 : i + 2]
+            if c in "{}" and nxt == c:
+                i += 2
+            elif c == "{":
+                i = self._field(body, i + 1)
+                if i < 0:
+                    return False
+            elif c == "}":
+                return False
+            elif c == "\\" and not raw and body.startswith("\\N{", i):
+                i = body.find("}", i) + 1
+                if not i:
+                    return False
+            else:
+                i += 2 if c == "\\" and nxt not in ("{", "}") else 1
+        return True
+
+    def _field(self, body: str, start: int) -> int:
+        """The position after the field that begins at ``start``, or -1: an expression, ``=``, a conversion, a format that
+        may hold fields itself."""
+        depth, i, n = 0, start, len(body)
+        while i < n:
+            m = self.scan.match(body, i)
+            token = m[0].lstrip(" \t\f") if m else ""
+            if not token:
+                return -1
+            at = m.end() - len(token)
+            if m.lastindex not in (1, 2, 3):
+                if token[0] in "([{":
+                    depth += 1
+                elif depth and token[0] in ")]}":
+                    depth -= 1
+                elif not depth and (token[0] in "}:" or token == "!"):
+                    i = at
+                    break
+            i = m.end()
+        else:
+            return -1
+        expr = body[start:i]
+        if re.search(r"(?<![=!<>])=\s*$", expr):
+            expr = expr.rstrip()[:-1]
+        if not self._field_expression(expr):
+            return -1
+        if body[i] == "!":
+            m = re.compile(r"![sra][ \t]*(?=[:}])").match(body, i)
+            if not m:
+                return -1
+            i = m.end()
+        if body[i] == ":":
+            i += 1
+            while i < n and body[i] != "}":
+                if body[i] == "{":
+                    i = self._field(body, i + 1)
+                    if i < 0:
+                        return -1
+                else:
+                    i += 1
+        return i + 1 if i < n else -1
+
+    def _field_expression(self, text: str) -> bool:
+        if not text.strip():
+            return False
+        got = self.cache.get("f" + text)
+        if got is None:
+            body = re.sub(rf"\n[{chr(INDENT_BASE)}-{chr(INDENT_BASE + 4000)}]?", "", self.classes(text)).replace(BREAK, "")
+            p, c = self.t.parser, self.t.chars
+            stacks = p.run(p.start, c["("] + body + c[")"] + c["N"]) if ERROR not in body and body else ()
+            got = self.cache["f" + text] = 1 if stacks and p.accepts(stacks) else 0
+        return got == 1
+
     def _json(self, m: re.Match) -> str:
         k = m.lastindex
         if k == 1:

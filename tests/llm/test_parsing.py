@@ -92,3 +92,17 @@ def test_frames(spark):
     assert rows == {1: ("python", True, None), 2: ("python", False, 1), 3: ("json", None, None), 4: (None, None, None), 5: (None, None, None)}
     assert [tuple(r) for r in rates(checked(pushed, index, ["sync_id"], ["workspace_id", "path"]), "workspace_id").collect()] == [("w", "python", 2, 1, 0.5)]
     assert checked(pushed.limit(0), index, ["sync_id"], ["workspace_id", "path"]).count() == 0
+
+
+def test_fields_of_formatted_strings():
+    good = ['f"{x}"', 'f"{x!r:>{w}}"', 'f"{d:%Y-%m-%d}"', "f\"{a['b']}\"", "f'{x = }'", "f'{x=!r:^20}'", 'f"{{}}{x}"', 'f"""{\nx}"""', 'f"{a!=b}"', 'f"{(lambda x: 1)}"', 'rf"\\d{x}"', 'f"{f"{y}"}"', 'f"{[i for i in x]}"', 'f"{ {1:2}[1] }"', 'f"{x:=10}"', 'f"\\{x}"', 'f"{x,}"']
+    bad = ['f"{}"', 'f"{x"', 'f"}"', 'f"{x!z}"', 'f"{a b}"', 'f"{x +}"', 'f"{x:{}}"', 'f"{lambda x: 1}"', 'f"{!r}"', 'f"{(}"', 'f"{a.}"', 'f"{x!r y}"']
+    for t in good + bad:
+        src = f"a = 1\nv = {t}\n"
+        try:
+            ast.parse(src)
+            valid = True
+        except SyntaxError:
+            valid = False
+        assert (first_error("python", src) is None) == valid == (t in good), t
+    assert first_error("python", "a = 1\nb = f'{a b}'\nc = 2\n") == 2
