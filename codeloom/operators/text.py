@@ -99,3 +99,14 @@ def outline(ls: DataFrame, keys: list[str]) -> DataFrame:
     options = F.array(*[F.when(F.col("level") > k, F.col(f"_a{k}")) for k in range(1, 7)])
     x = x.withColumn("_p", F.array_max(F.filter(options, lambda s: s.isNotNull())))
     return x.select(*keys, "line_no", "level", "title", F.col("_p.title").alias("parent"))
+
+
+def relevant(chunks: DataFrame, keys: list[str], row_id: str, content: str, words: list[str], most: int = 3) -> DataFrame:
+    """keys.., row_id, score, rank: of each file the chunks that hold most of the words (in any case), ties by id; chunks
+    without any are left out, as are null contents."""
+    low = F.lower(F.col(content))
+    score = sum((F.when(low.contains(w.lower()), 1).otherwise(0) for w in dict.fromkeys(words)), F.lit(0))
+    x = chunks.select(*keys, row_id, score.cast("long").alias("score")).where("score > 0")
+    by = ", ".join(f"`{k}`" for k in keys)
+    x = x.withColumn("rank", F.expr(f"row_number() over (partition by {by} order by score desc, `{row_id}`)").cast("long"))
+    return x.where(F.col("rank") <= most)

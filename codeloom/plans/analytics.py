@@ -381,6 +381,25 @@ def memory_advice(spark, d):
     return memory.advisory(table(spark, d, "memories"), ["shard index", "worker.py", "timeout in cursor"]).select("rank", "id", "confidence")
 
 
+def _advice_sql(angles):
+    """Keyword scores of each angle, the best three of each, then the best five while their lines fit."""
+    parts = []
+    for n, words in enumerate(angles):
+        w, k = "[" + ", ".join(f"'{x}'" for x in words) + "]", len(words)
+        parts.append(f"""(SELECT id, {n} AS angle, round(least(1.0, (len(list_filter({w}, lambda x: instr(c, x) > 0)) / {k}.0::DOUBLE + least(1.0, len(list_intersect({w}, t)) / {k}.0::DOUBLE) + CASE WHEN len(list_filter({w}, lambda x: instr(cat, x) > 0)) > 0 THEN 0.4 ELSE 0 END + CASE WHEN len(list_filter({w}, lambda x: instr(sub, x) > 0)) > 0 THEN 0.3 ELSE 0 END
++ CASE WHEN len(list_filter(f, lambda y: len(list_filter({w}, lambda x: instr(y, x) > 0)) > 0)) > 0 THEN 0.5 ELSE 0 END) / 1.5)::DOUBLE, 4) AS score FROM m WHERE score >= 0.3 ORDER BY score DESC, id LIMIT 3)""")
+    return f"""WITH m AS (SELECT id, lower(coalesce(content, '')) AS c, lower(coalesce(category, '')) AS cat, lower(coalesce(subcategory, '')) AS sub,
+list_transform(coalesce(CAST(from_json(CASE WHEN json_valid(tags_json) THEN tags_json END, '["VARCHAR"]') AS VARCHAR[]), []), lambda x: lower(coalesce(x, ''))) AS t,
+list_transform(coalesce(CAST(from_json(CASE WHEN json_valid(related_files_json) THEN related_files_json END, '["VARCHAR"]') AS VARCHAR[]), []), lambda x: lower(x)) AS f FROM memories WHERE status = 'active'),
+a AS ({" UNION ALL ".join(parts)}), b AS (SELECT id, arg_min(score, angle) AS score FROM a GROUP BY id),
+r AS (SELECT b.id, score, row_number() OVER (ORDER BY score DESC, b.id) AS rank, category, trim(coalesce(content, '')) AS body FROM b JOIN memories ON memories.id = b.id QUALIFY rank <= 5),
+l AS (SELECT *, sum(length(rank || '. [' || category || '] ' || CASE WHEN length(body) > 200 THEN substr(body, 1, 197) || '...' ELSE body END)) OVER (ORDER BY rank) AS used, max(score) OVER () AS best FROM r)
+SELECT rank, id, round(least(1.0, best * 1.2), 3)::DOUBLE AS confidence FROM l WHERE used <= 3200"""
+
+
+SQL["memory_advice"] = _advice_sql([["shard", "index"], ["worker", "py"], ["timeout", "in", "cursor"]])
+
+
 @query
 def memory_upsert(spark, d):
     """Later memories stored or bumped onto earlier ones."""
@@ -446,6 +465,22 @@ def issue_extract(spark, d):
     return history.issues(table(spark, d, "documents"), ["doc_id"], "text")
 
 
+def _issues_sql():
+    """Every kind's distinct references, and the 24 characters before the first mention of each."""
+    head = {"github_pr": r"^(.*?)\b(?i:PR|pull request)\s*[#-]?", "github": r"^((?:.*?\W)??)#", "github_alt": r"^(.*?)\bGH-", "gitlab_mr": r"^((?:.*?\W)??)!", "ado": r"^(.*?)\bAB#", "jira": r"^(.*?)\b"}
+    parts = []
+    for kind, pattern, prefix in history.ISSUES:
+        found = pattern.replace(r"(?!(?:PR|GH|AB|MR|CI|CD)-)", "")
+        keep = "NOT regexp_matches(n, '^(PR|GH|AB|MR|CI|CD)-')" if kind == "jira" else "true"
+        name = "n" if kind == "jira" else f"'{prefix}' || CAST(CAST(n AS BIGINT) AS VARCHAR)"
+        parts.append(rf"SELECT doc_id, text, '{kind}' AS kind, {name} AS identifier, CAST(regexp_extract(n, '(\d+)$', 1) AS BIGINT) AS number, length(regexp_extract(text, '(?s){head[kind]}' || n || '\b', 1)) AS before FROM (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '{found}', 1))) AS n FROM documents) WHERE {keep}")
+    return f"""WITH r AS ({" UNION ALL ".join(parts)})
+SELECT doc_id, kind, identifier, min(number) AS number, bool_or(before > 0 AND regexp_matches(substr(text, greatest(before - 23, 1), least(before, 24)), '{history.CLOSING}')) AS closing FROM r GROUP BY ALL"""
+
+
+SQL["issue_extract"] = _issues_sql()
+
+
 @query
 def cochange_topk(spark, d):
     """What changes together with the most pushed file."""

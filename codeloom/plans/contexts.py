@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as T
 from codeloom.operators import compose, graph, memory, symbols
 from codeloom.plans.base import KEYS, SQL, file_lines, query
+from codeloom.plans.retrieval import SYMBOLS
 from codeloom.session import table
 
 
@@ -31,6 +32,23 @@ def context_compose(spark, d):
     return out.select("section", "rank", "tokens", "used")
 
 
+_WORDS = "['cursor', 'index']"
+SQL["context_compose"] = f"""WITH {SYMBOLS}, sy0 AS (SELECT *, CASE WHEN lower(name) = 'cursor' THEN 1.0 WHEN starts_with(lower(name), 'cursor') THEN 0.9 WHEN instr(lower(name), 'cursor') > 0 THEN 0.7 END AS score FROM symbols),
+sy AS (SELECT 0 AS o, 'symbols' AS section, row_number() OVER (ORDER BY score DESC, name = 'cursor' DESC, kind = 'class' DESC, lower(name), path, line_start) AS first, row_number() OVER (ORDER BY score DESC, lower(name), path, line_start) AS rank, path || ' ' || signature AS text FROM sy0 WHERE score >= 0.5 AND ((SELECT max(score) FROM sy0) < 1.0 OR score = 1.0)),
+h AS (SELECT scope, dst, count(*) AS n FROM (SELECT DISTINCT workspace_id AS scope, child AS src, parent AS dst FROM inheritance_edges WHERE workspace_id IS NOT NULL AND child IS NOT NULL AND parent IS NOT NULL) GROUP BY ALL),
+hu AS (SELECT 1 AS o, 'hubs' AS section, row_number() OVER (ORDER BY n DESC, scope, dst) AS rank, scope || ' ' || dst || ' ' || n AS text FROM h QUALIFY rank <= 5),
+m0 AS (SELECT id, content, lower(coalesce(content, '')) AS c, lower(coalesce(category, '')) AS cat, lower(coalesce(subcategory, '')) AS sub,
+list_transform(coalesce(CAST(from_json(CASE WHEN json_valid(tags_json) THEN tags_json END, '["VARCHAR"]') AS VARCHAR[]), []), lambda x: lower(coalesce(x, ''))) AS t,
+list_transform(coalesce(CAST(from_json(CASE WHEN json_valid(related_files_json) THEN related_files_json END, '["VARCHAR"]') AS VARCHAR[]), []), lambda x: lower(x)) AS f FROM memories WHERE status = 'active'),
+m1 AS (SELECT id, content, round(least(1.0, (len(list_filter({_WORDS}, lambda x: instr(c, x) > 0)) / 2.0::DOUBLE + least(1.0, len(list_intersect({_WORDS}, t)) / 2.0::DOUBLE) + CASE WHEN len(list_filter({_WORDS}, lambda x: instr(cat, x) > 0)) > 0 THEN 0.4 ELSE 0 END + CASE WHEN len(list_filter({_WORDS}, lambda x: instr(sub, x) > 0)) > 0 THEN 0.3 ELSE 0 END
++ CASE WHEN len(list_filter(f, lambda y: len(list_filter({_WORDS}, lambda x: instr(y, x) > 0)) > 0)) > 0 THEN 0.5 ELSE 0 END) / 1.5)::DOUBLE, 4) AS score FROM m0),
+me AS (SELECT 2 AS o, 'memories' AS section, row_number() OVER (ORDER BY score DESC, id) AS rank, content AS text FROM m1 WHERE score >= 0.3 QUALIFY rank <= 5),
+no AS (SELECT 3 AS o, 'notes' AS section, row_number() OVER (ORDER BY n_chars, doc_id) AS rank, text FROM documents WHERE instr(lower(text), 'cursor') > 0 QUALIFY rank <= 10),
+x AS (SELECT o, section, row_number() OVER (ORDER BY rank) AS rank, text FROM sy WHERE first <= 5 UNION ALL SELECT * FROM hu UNION ALL SELECT * FROM me UNION ALL SELECT * FROM no),
+y AS (SELECT *, CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT) AS tokens FROM x), z AS (SELECT *, CAST(sum(tokens) OVER (ORDER BY o, rank) AS BIGINT) AS used FROM y)
+SELECT section, rank, tokens, used FROM z WHERE used <= 1024"""
+
+
 @query
 def version_diffs(spark, d):
     """Added and removed lines between each version of a file and the one before."""

@@ -8,7 +8,7 @@ from codeloom.functions import planner
 from codeloom.functions import text as T
 from codeloom.operators import ingest, observe, project, transform
 from codeloom.plans.base import DOC_LINES, KEYS, LINES, SNAP, SQL, doc_lines, file_lines, query, snapshot
-from codeloom.plans.retrieval import _TEST_LIKE
+from codeloom.plans.retrieval import _TEST_LIKE, SYMBOLS
 from codeloom.session import table
 
 # Ingestion
@@ -440,6 +440,14 @@ def symbol_chunking(spark, d):
     return c.select(*KEYS, "chunk_type", "name", "start", "stop", F.md5("content").alias("md5"), "chunk_id")
 
 
+SQL["symbol_chunking"] = f"""WITH {SYMBOLS}, f AS (SELECT workspace_id, path, content, string_split(content, chr(10)) AS ls FROM snap WHERE content IS NOT NULL),
+s AS (SELECT s.*, coalesce(lead(line_start) OVER (PARTITION BY s.workspace_id, s.path ORDER BY line_start) - 1, len(ls)) AS stop, ls FROM symbols s JOIN f ON f.workspace_id = s.workspace_id AND f.path = s.path),
+n AS (SELECT workspace_id, path, array_to_string((list(name ORDER BY line_start))[1:30], ', ') AS names FROM symbols GROUP BY ALL),
+c AS (SELECT workspace_id, path, CASE WHEN kind IN ('class', 'trait', 'object', 'interface', 'enum', 'struct', 'union', 'impl', 'record', 'mod', 'namespace') THEN 'class' ELSE 'function' END AS chunk_type, name, line_start AS start, stop, array_to_string(ls[line_start:stop], chr(10)) AS content FROM s
+UNION ALL SELECT f.workspace_id, f.path, CASE WHEN names IS NULL THEN 'file' ELSE 'file_overview' END, '', 1, len(ls), CASE WHEN names IS NULL THEN substr(content, 1, 4000) ELSE '# ' || f.path || chr(10) || array_to_string(ls[1:20], chr(10)) || chr(10) || '# ' || names END FROM f LEFT JOIN n ON n.workspace_id = f.workspace_id AND n.path = f.path)
+SELECT workspace_id, path, chunk_type, name, start, stop, md5(content) AS md5, path || ':' || chunk_type || ':' || name || ':' || start || ':' || (row_number() OVER (PARTITION BY workspace_id, path ORDER BY start, chunk_type DESC, name) - 1) AS chunk_id FROM c"""
+
+
 @query
 def text_references(spark, d):
     """Of every symbol of the chunks, how many lines outside tests name it, and in how many files."""

@@ -179,6 +179,27 @@ SELECT workspace_id, path, name, kind, line_start, score FROM s WHERE score >= 0
 ORDER BY score DESC, name = 'Cursor' DESC, kind = 'class' DESC, lower(name), path, line_start LIMIT 20"""
 
 
+@query
+def symbol_kinds(spark, d):
+    """classes alone, by prefix and contained name."""
+    return symbols.search(file_symbols(spark, d), "View", "path", kind="class", limit=30).select(*KEYS, "name", "kind", "line_start", "score")
+
+
+SQL["symbol_kinds"] = f"""WITH {SYMBOLS}, s AS (SELECT *, CAST({_TIER.format(q='view')} AS DOUBLE) AS score FROM symbols WHERE kind = 'class')
+SELECT workspace_id, path, name, kind, line_start, score FROM s WHERE score >= 0.5 AND ((SELECT max(score) FROM s) < 1.0 OR score = 1.0)
+ORDER BY score DESC, name = 'View' DESC, lower(name), path, line_start LIMIT 30"""
+
+
+@query
+def relevant_chunks(spark, d):
+    """Of every file the three chunks that hold most of a question's words."""
+    return text.relevant(table(spark, d, "chunks"), ["workspace_id", "file_path"], "faiss_id", "content", ["cursor", "batch", "index", "retry"])
+
+
+SQL["relevant_chunks"] = """WITH s AS (SELECT workspace_id, file_path, faiss_id, CAST((instr(lower(content), 'cursor') > 0)::INT + (instr(lower(content), 'batch') > 0)::INT + (instr(lower(content), 'index') > 0)::INT + (instr(lower(content), 'retry') > 0)::INT AS BIGINT) AS score FROM chunks)
+SELECT *, row_number() OVER (PARTITION BY workspace_id, file_path ORDER BY score DESC, faiss_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 3"""
+
+
 @query
 def symbol_fuzzy(spark, d):
     """Tiers and edit similarity over chunk symbols."""
