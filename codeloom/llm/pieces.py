@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 
 from codeloom.session import bounded_broadcast
 
-#: A blank line ends here; one of up to 80 blanks counts.
-BLANK = r"(?<=\n[ \t]{0,80}\r?\n)"
+#: A blank line ends here; one of up to 80 blanks counts. The line's end is looked for first, which is one step.
+BLANK = r"(?<=\n)(?<=\n[ \t]{0,80}\r?\n)"
 LINE = r"(?<=\n)"
 #: Boundaries by kind of text, strongest first, each as what lies around the cut.
 BOUNDARIES = {
     "code": [BLANK + r"(?=\S)", BLANK, LINE + r"(?=[^\s}\])])", LINE, r"(?<=[;,{}])", r"(?<=\s)"],
     "member": [BLANK, LINE + r"(?=[ \t]*(?:def|async|class|@|public|private|protected|static|func|function|if|for|while|return|try)\b)", LINE, r"(?<=[;,{}])", r"(?<=\s)"],
-    "data": [BLANK, r"(?<=[}\]],?\r?\n)", LINE + r"(?=[^\s}\]])", LINE, r"(?<=[,;}\]])", r"(?<=\s)"],
+    "data": [BLANK, r"(?<=\n)(?<=[}\]],?\r?\n)", LINE + r"(?=[^\s}\]])", LINE, r"(?<=[,;}\]])", r"(?<=\s)"],
     "prose": [BLANK, LINE, r"(?<=[.!?。！？]\s?)", r"(?<=[,;:，；：、]\s?)", r"(?<=\s)"],
 }
 #: Kinds by chunk type and by suffix of the path.
