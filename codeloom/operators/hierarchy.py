@@ -62,7 +62,7 @@ class Pointers:
     the loop. ``several``: (c, p), the edges of nodes with more parents.
     """
 
-    def __init__(self, edges: DataFrame, scratch: Scratch):
+    def __init__(self, edges: DataFrame, scratch: Scratch, labels: bool = True):
         degree = edges.groupBy("c").agg(F.count("*").alias("n"), F.min("p").alias("p"))
         start = degree.where("n = 1").select(F.col("c").alias("id"), F.col("p").alias("to"), F.lit(1).cast("long").alias("dist"), F.lit(True).alias("live"))
         self.several = scratch.write(edges.join(degree.where("n > 1").select("c"), "c", "left_semi"))
@@ -85,10 +85,10 @@ class Pointers:
             self.ends, self.loops = t, single.select("id", F.col("id").alias("label")).limit(0)
         else:
             self.ends = t.where("not live")
-            self.loops = self._loops(moving.select("id", "to"), single, scratch)
+            self.loops = self._loops(moving.select("id", "to"), single, scratch, labels)
 
     @staticmethod
-    def _loops(moving: DataFrame, single: DataFrame, scratch: Scratch) -> DataFrame:
+    def _loops(moving: DataFrame, single: DataFrame, scratch: Scratch, labels: bool) -> DataFrame:
         """The image of endless pointers, doubled until it is stable, with the least number of each loop."""
         size = None
         while True:
@@ -99,6 +99,8 @@ class Pointers:
             size = n
             moving = scratch.write(moving.alias("a").join(moving.alias("b"), F.col("a.to") == F.col("b.id")).select("a.id", F.col("b.to").alias("to")))
         image = scratch.write(image.withColumnRenamed("to", "id"))
+        if not labels:
+            return image.select("id", F.col("id").alias("label"))
         low = scratch.write(single.join(image, "id", "left_semi").select("id", "to", F.col("id").alias("label")))
         total = None
         while True:
@@ -110,10 +112,11 @@ class Pointers:
             total = s
 
 
-def strong(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def strong(edges: DataFrame, scratch: Scratch, labels: bool = True) -> DataFrame:
     """(id, label) of every node on a loop of (c, p), a number in common for nodes that reach one another.
 
-    An edge from a node to itself is a loop. Recursion is over the nodes with several parents that are left.
+    An edge from a node to itself is a loop. Recursion is over the nodes with several parents that are left. Without
+    ``labels`` only the nodes count.
     """
     own = scratch.write(edges.where("c = p").select(F.col("c").alias("id")).distinct())
     e = edges.where("c <> p").distinct()
@@ -122,7 +125,7 @@ def strong(edges: DataFrame, scratch: Scratch) -> DataFrame:
     n = e.count()
     if not n:
         return own.select("id", F.col("id").alias("label"))
-    at = Pointers(e, scratch)
+    at = Pointers(e, scratch, labels)
     heads = at.several.select(F.col("c").alias("id")).distinct()
     # edges of nodes with several parents, to where the parents' pointers end
     end = at.several.join(at.ends.select(F.col("id").alias("p"), "to"), "p", "left").join(at.loops.select(F.col("id").alias("p"), F.lit(True).alias("lost")), "p", "left")
@@ -139,16 +142,15 @@ def strong(edges: DataFrame, scratch: Scratch) -> DataFrame:
     # nodes with one parent are on a loop if they lie between a parent and the end of its pointer, both in one loop
     lab = found.select(F.col("id").alias("c"), F.col("label").alias("lc"))
     inner = end.where("via").join(lab, "c").join(found.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").where("lc = la").select(F.col("p").alias("id"), F.col("la").alias("label")).distinct()
-    marks = scratch.write(inner)
-    for step in at.steps if marks.take(1) else []:
+    new = marks = scratch.write(inner)
+    for step in at.steps if new.take(1) else []:
         up = marks.join(step.select("id", "to"), "id").select(F.col("to").alias("id"), "label").join(at.single.select("id"), "id", "left_semi")
         new = scratch.write(up.distinct().join(marks.select("id"), "id", "left_anti"))
         if not new.take(1):  # closed under jumps of this length, so under all longer ones
             break
-        marks = scratch.write(marks.unionByName(new))
+        marks = marks.unionByName(new)
     all_found = found.unionByName(marks).unionByName(at.loops).groupBy("id").agg(F.min("label").alias("label"))
-    rest = own.join(all_found, "id", "left_anti").select("id", F.col("id").alias("label"))
-    return scratch.write(all_found.unionByName(rest))
+    return all_found.unionByName(own.join(all_found, "id", "left_anti").select("id", F.col("id").alias("label")))
 
 
 def _coloured(e: DataFrame, scratch: Scratch) -> DataFrame:
@@ -184,7 +186,7 @@ def _coloured(e: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _tree(nodes: DataFrame, e: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, up, depth, node) of the nodes a root reaches; ``up`` is null for roots."""
-    at = Pointers(e.where("c <> p"), scratch)
+    at = Pointers(e.where("c <> p"), scratch, False)
     roots = nodes.join(e.select(F.col("c").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("depth"))
     depth = scratch.write(roots)
     hops = at.several.join(at.ends.select(F.col("id").alias("p"), "to", "dist"), "p", "left").join(at.loops.select(F.col("id").alias("p"), F.lit(1).alias("l")), "p", "left")
@@ -235,7 +237,7 @@ def hierarchy(edges: DataFrame, scope: str, child: str, parent: str, paths: bool
     """
     scratch = Scratch(edges.sparkSession)
     nodes, e = numbered(distinct_edges(edges, scope, child, parent), scratch)
-    loops = strong(e, scratch).select("id", F.lit(True).alias("looped"))
+    loops = strong(e, scratch, False).select("id", F.lit(True).alias("looped"))
     placed = _ranges(_tree(nodes, e, scratch), scratch, paths)
     out = nodes.join(placed, "id", "left").join(loops, "id", "left")
     cyclic = F.coalesce("looped", F.lit(False))
@@ -248,7 +250,7 @@ def cycle_nodes(edges: DataFrame, scope: str, child: str, parent: str) -> DataFr
     """(scope, node) of the nodes reachable from themselves."""
     scratch = Scratch(edges.sparkSession)
     nodes, e = numbered(distinct_edges(edges, scope, child, parent), scratch)
-    return nodes.join(strong(e, scratch).select("id"), "id", "left_semi").select("scope", "node")
+    return nodes.join(strong(e, scratch, False).select("id"), "id", "left_semi").select("scope", "node")
 
 
 def descendants(edges: DataFrame, scope: str, child: str, parent: str) -> DataFrame:
