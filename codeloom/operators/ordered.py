@@ -75,16 +75,16 @@ def cut_sequences(df: DataFrame, groups: list[str], order: list[str], size: str,
     rows = in_order(clean, [*keys, *order], scratch, partitions)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [PART, *keys]
-    spans = rows.groupBy(*cols).agg(F.count("*").alias("n")).withColumn("parts", F.expr(f"count(*) over (partition by {', '.join(keys) or '1'})")).where("parts > 1").drop("parts")
-    spans = scratch.write(spans)  # at most two rows per range
+    spans = rows.groupBy(*cols).agg(F.count("*").alias("n")).withColumn("parts", F.expr(f"count(*) over (partition by {', '.join(keys) or '1'})")).where("parts > 1")
     state: dict[tuple, tuple[int, float, int]] = {}
-    known = sorted((tuple(r[k] for k in keys), r[PART]) for r in spans.select(*cols).collect())
+    known = sorted((tuple(r[k] for k in keys), r[PART]) for r in spans.select(*cols).collect())  # at most two rows per range
 
     def streamed(df: DataFrame) -> DataFrame:
         return df.repartition(n, *cols).sortWithinPartitions(*cols, *order)
 
     if known:
-        open_rows = rows.join(F.broadcast(spans.select(*cols)), cols, "left_semi").select(*cols, *[c for c in order if c not in cols], "_s")
+        ranges = spark.createDataFrame([(part, *key) for key, part in known], f"{PART} int" + "".join(f", {k} string" for k in keys))
+        open_rows = rows.join(F.broadcast(ranges), cols, "left_semi").select(*cols, *[c for c in order if c not in cols], "_s")
         newest = ", ".join(f"`{c}` desc nulls last" for c in order)
         last = open_rows.withColumn("_r", F.expr(f"row_number() over (partition by {', '.join(cols)} order by {newest})")).where(F.col("_r") <= max_items)
         tails = {(tuple(r[k] for k in keys), r[PART]): [x["_s"] for x in sorted(r["t"], key=lambda x: -x["_r"])] for r in last.groupBy(*cols).agg(F.collect_list(F.struct("_r", "_s")).alias("t")).collect()}

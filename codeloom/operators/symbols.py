@@ -43,14 +43,10 @@ def _declared() -> Column:
     return F.coalesce(*found)
 
 
-#: What every form has, so that most lines are read once.
-MAY_DECLARE = r"\b(?:class|trait|object|interface|enum|def|function|func|fn|struct|union|mod|impl|record|type|namespace)\b|[({]\s*$|\)|=>|,\s*$"
-
-
 def symbols(ls: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
     """keys.., name, kind, line_start, signature, by the general form and those of the path's language."""
     suffix = F.lower(F.substring_index(path, ".", -1)) if path in ls.columns else F.lit("")
-    out = ls.where(F.col("line").rlike(MAY_DECLARE)).withColumn("_suffix", suffix)
+    out = ls.withColumn("_suffix", suffix)  # every form begins at the line's begin, so most lines fail at once
     # the generator reads each form once, where a filter on the result would read it again
     out = out.select(*keys, "line_no", "line", F.explode(F.filter(F.array(_declared()), lambda x: x.isNotNull())).alias("_d"))
     return out.select(*keys, F.col("_d.name").alias("name"), F.col("_d.kind").alias("kind"), F.col("line_no").alias("line_start"), F.substring(F.trim("line"), 1, 200).alias("signature"))
